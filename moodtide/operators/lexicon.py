@@ -82,9 +82,10 @@ def _words_in_context(df: DataFrame, by: Sequence[str], text: str, ahead: int, *
         near = [F.get("_tokens", i + step).alias(name) for name, step in offsets.items()]
         return F.struct(i.alias("_pos"), *near)
 
-    split = df.select(*by, text, spaced_tokens(F.col(text)).alias("_tokens"))
-    rows = split.select(*by, *extra, F.explode_outer(F.transform("_tokens", context)).alias("_c"))
-    kept = [c for c in rows.columns if c != "_c"]
+    # Text-level columns are made before the explode, or they would be made once per word.
+    split = df.select(*by, text, spaced_tokens(F.col(text)).alias("_tokens")).select(*by, "_tokens", *extra)
+    kept = [c for c in split.columns if c != "_tokens"]
+    rows = split.select(*kept, F.explode_outer(F.transform("_tokens", context)).alias("_c"))
     return rows.select(*kept, "_c._pos", *[bare_word(F.col(f"_c.{name}")).alias(name) for name in offsets])
 
 

@@ -25,8 +25,12 @@ def _day(name: str) -> Column:
     return F.to_date(F.try_to_timestamp(F.col(f"`{name}`")))
 
 
-def read_posts(spark: SparkSession, path: str, source: str | None = None, fmt: str = "csv") -> DataFrame:
-    """All ``*submissions`` files below ``path``; ``community`` is the leading part of the file name.
+def read_posts(
+    spark: SparkSession, path: str, source: str | None = None, fmt: str = "csv", pattern: str = "*submissions.csv"
+) -> DataFrame:
+    """All post files below ``path``; ``community`` is the leading part of the file name.
+
+    The pattern leaves out derived files such as ``*-sia.csv``.
 
     ``source`` labels the rows and defaults to the community. Bodies hold line breaks and doubled
     quotes, which makes a CSV file unsplittable: store big sets as parquet (``write_posts``).
@@ -34,7 +38,7 @@ def read_posts(spark: SparkSession, path: str, source: str | None = None, fmt: s
     if fmt == "csv":
         posts = (
             spark.read.schema(schemas.POST_FILE)
-            .options(header=True, multiLine=True, quote='"', escape='"', pathGlobFilter="*submissions.csv")
+            .options(header=True, multiLine=True, quote='"', escape='"', pathGlobFilter=pattern)
             .csv(path)
         )
     else:
