@@ -13,6 +13,7 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from moodtide.functions import scores
 from moodtide.operators import examples as ex
@@ -30,7 +31,7 @@ def score_with_model(
     df: DataFrame, load: Callable[[], Callable], text: str = "text", out: str = "probability", batch_size: int = 512
 ) -> DataFrame:
     """Probability of a positive text by any batch predictor; ``load`` runs once per Python worker."""
-    predict = predict_batch_udf(load, return_type="double", batch_size=batch_size)
+    predict = predict_batch_udf(load, return_type=DoubleType(), batch_size=batch_size)
     return df.withColumn(out, predict(F.col(text)))
 
 
@@ -47,12 +48,11 @@ def prepared_examples(
     reaches into training rows.
     """
     used = [target, *[c for c in columns if c != target]]
-    complete = materialise(features.select("source", "date", *used).na.drop())
+    complete = features.select("source", "date", *used).na.drop()
     split = materialise(ex.chronological_split(complete, test_rows))
-    fit = ex.fit_min_max(split, used)
-    scaled = materialise(ex.scale_min_max(split, fit, used))
-    windows = ex.sliding_examples(scaled, target, columns, window)
-    return ex.flatten_examples(windows, len(used)), fit
+    fit = materialise(ex.fit_min_max(split, used))
+    windows = ex.sliding_examples(ex.scale_min_max(split, fit, used), target, columns, window)
+    return materialise(ex.flatten_examples(windows, len(used))), fit
 
 
 def with_fold(examples: DataFrame, folds: int = 2, time: str = "date") -> DataFrame:
@@ -69,7 +69,7 @@ def train_forecaster(
     seed: int = 7,
 ) -> CrossValidatorModel:
     """Grid search of a boosted regressor over the training examples of one source, refit on all of them."""
-    train = materialise(with_fold(examples.where("split = 'train'"), folds).select("features", "y", "fold"))
+    train = with_fold(examples.where("split = 'train'"), folds).select("features", "y", "fold")
     model = GBTRegressor(featuresCol="features", labelCol="y", seed=seed)
     builder = ParamGridBuilder()
     for name, values in grid.items():
@@ -126,13 +126,11 @@ def experiment_matrix(
 ) -> DataFrame:
     """One row of errors per source, target and run.
 
-    The driver only walks the small list of settings; every fit and prediction is a Spark job. A
-    target is not a feature of its own forecast twice: it is the first column of the window.
+    The driver only walks the small list of settings; every fit and prediction is a Spark job.
     """
     results = []
     for target in targets:
         flat, fit = prepared_examples(features, target, columns)
-        flat = materialise(flat)
         for source in sources:
             one = flat.where(F.col("source") == source)
             for run in range(runs):

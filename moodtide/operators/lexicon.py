@@ -92,9 +92,10 @@ def _words_in_context(df: DataFrame, by: Sequence[str], text: str, ahead: int, *
 def _with_membership(hits: DataFrame, lexicon: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Add ``<column>_known``: whether the lower-cased word is a lexicon term.
 
-    Each word column is joined on its own, against the same broadcast relation.
+    Each word column is joined on its own, against the same broadcast relation: ``lexicon`` comes
+    with its broadcast hint.
     """
-    terms = small_side(lexicon.select(F.col("term").alias("_member")))
+    terms = lexicon.select(F.col("term").alias("_member"))
     for c in columns:
         hits = (
             hits.join(terms, F.lower(c) == F.col("_member"), "left")
@@ -124,7 +125,8 @@ def lexicon_compound_modifiers(
     joined = carry is None
     by = list(keys) if joined else [*keys, *carry]
     words = _words_in_context(df, by, text, 0).withColumn("term", F.lower("_w"))
-    known = words.join(small_side(lexicon), "term", "left")
+    lexicon = small_side(lexicon)
+    known = words.join(lexicon, "term", "left")
     hits = known.where(F.col("polarity").isNotNull() | (F.coalesce("_pos", F.lit(0)) == 0))
     hits = _with_membership(hits, lexicon, ["_b1", "_b2", "_b3"])
     for d in (1, 2, 3):
@@ -168,7 +170,8 @@ def lexicon_compound_emphasis(
         F.array_position(F.transform(bare, F.lower), "but").alias("_but"),
         valence.punctuation_emphasis(F.col(text)).alias("_emphasis"),
     ).withColumn("term", F.lower("_w"))
-    known = words.join(small_side(lexicon), "term", "left")
+    lexicon = small_side(lexicon)
+    known = words.join(lexicon, "term", "left")
     hits = known.where(F.col("polarity").isNotNull() | (F.coalesce("_pos", F.lit(0)) == 0))
     hits = _with_membership(hits, lexicon, ["_b1", "_b2", "_b3", "_a1"])
 

@@ -66,7 +66,10 @@ def ewm_means(
     ``time`` is a DATE, unique per series. Weights decay by one step per row; a null value adds
     nothing and repeats the mean before it, and leading nulls give null. ``previous`` maps a column
     to the name under which its value of the row before is added.
+
+    The input is read for the rows and for the carries, so it is checkpointed first.
     """
+    df = materialise(df)
     previous = previous or {}
     keys = list(keys)
     block = [*keys, "_block"]
@@ -139,7 +142,7 @@ def macd(
 ) -> DataFrame:
     """Add ``macd``, the fast minus the slow average, and ``signal``, the average of ``macd``."""
     both = ewm_means(df, [Ewm.span(value, fast, "_fast"), Ewm.span(value, slow, "_slow")], keys)
-    line = materialise(both.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow"))
+    line = both.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
     return ewm_means(line, [Ewm.span("macd", smooth, "signal")], keys)
 
 
@@ -157,7 +160,7 @@ def _strength(gain: Column, loss: Column) -> Column:
 
 def rsi(df: DataFrame, value: str = "close", period: int = 14, out: str = "rsi", keys: Sequence[str] = ("series_id",)) -> DataFrame:
     """Relative strength index from the averages of gains and losses."""
-    moves = materialise(_with_moves(ewm_means(df, [], keys, previous={value: "_before"}), value, "_before"))
+    moves = _with_moves(ewm_means(df, [], keys, previous={value: "_before"}), value, "_before")
     specs = [Ewm("_gain", 1.0 / period, "_up"), Ewm("_loss", 1.0 / period, "_down")]
     means = ewm_means(moves, specs, keys)
     return means.withColumn(out, _strength(F.col("_up"), F.col("_down"))).select(*df.columns, out)
@@ -166,14 +169,13 @@ def rsi(df: DataFrame, value: str = "close", period: int = 14, out: str = "rsi",
 def price_indicators(prices: DataFrame, keys: Sequence[str] = ("series_id",)) -> DataFrame:
     """Prices with ``macd``, ``signal``, ``ema`` and ``rsi`` in two passes.
 
-    The first pass needs only closing prices, the second the values made by the first. Either
-    input is read for the rows and for the carries, so both are checkpointed once.
+    The first pass needs only closing prices, the second the values made by the first.
     """
     levels = [Ewm.span("close", 12, "_fast"), Ewm.span("close", 26, "_slow"), Ewm.span("close", 9, "ema")]
-    first = ewm_means(materialise(prices), levels, keys, previous={"close": "_before"})
+    first = ewm_means(prices, levels, keys, previous={"close": "_before"})
     first = _with_moves(first.withColumn("macd", F.col("_fast") - F.col("_slow")), "close", "_before")
     changes = [Ewm.span("macd", 9, "signal"), Ewm("_gain", 1 / 14, "_up"), Ewm("_loss", 1 / 14, "_down")]
-    second = ewm_means(materialise(first), changes, keys)
+    second = ewm_means(first, changes, keys)
     return second.withColumn("rsi", _strength(F.col("_up"), F.col("_down"))).select(
         *prices.columns, "macd", "signal", "ema", "rsi"
     )
@@ -183,8 +185,9 @@ def with_series_position(df: DataFrame, keys: Sequence[str], time: str = "date")
     """Add ``_pos``, the 0-based place of a row in its series, and ``_len``, the rows of the series.
 
     ``time`` is a DATE, unique per series. Places are counted inside calendar blocks, and the
-    block counts of a series are added up.
+    block counts of a series are added up. The input is read for both, so it is checkpointed first.
     """
+    df = materialise(df)
     keys = list(keys)
     block = [*keys, "_block"]
     rows = df.withColumn("_block", _block(time, BLOCK_DAYS))

@@ -23,7 +23,6 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
 
 def _trained(spark: SparkSession, sf: str, grid: dict = learn.SMALL_GRID):
     flat, fit = learn.prepared_examples(_features(spark, sf), "close", FEATURES)
-    flat = materialise(flat)
     return learn.train_forecaster(flat, grid), flat, fit
 
 

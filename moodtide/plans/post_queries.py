@@ -11,7 +11,7 @@ from moodtide.plans import fixtures as fx
 from moodtide.plans import flows
 from moodtide.plans.registry import query
 from moodtide.plans.series_sql import INDICATED_CTE
-from moodtide.session import scratch_path
+from moodtide.session import materialise, scratch_path
 from moodtide.sources import readers, writers
 
 
@@ -393,7 +393,7 @@ def merge_lexicon(spark: SparkSession, sf: str) -> DataFrame:
 def lexicon_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Every hit of a learned lexicon in the whole texts."""
     texts = clean.build_text(fx.posts(spark, sf), limit=None).select("source", "id", "text")
-    return lexicon.lexicon_lookup(texts, fx.learned_lexicon(spark, sf))
+    return lexicon.lexicon_lookup(texts, materialise(fx.learned_lexicon(spark, sf)))
 
 
 @query(

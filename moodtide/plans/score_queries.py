@@ -12,6 +12,7 @@ from moodtide.plans import fixtures as fx
 from moodtide.plans import flows
 from moodtide.plans.post_queries import BARE, CLEAN_CTE, SCORED_CTE, WEIGHT, WORDS, compound_cte
 from moodtide.plans.registry import query
+from moodtide.session import materialise
 
 
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -297,7 +298,8 @@ def build_vocab(spark: SparkSession, sf: str) -> DataFrame:
 )
 def encode_sequence(spark: SparkSession, sf: str) -> DataFrame:
     documents = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    encoded = encode.encode_sequence(documents, encode.build_vocab(documents, size=2000), 50)
+    vocab = materialise(encode.build_vocab(documents, size=2000))
+    encoded = encode.encode_sequence(documents, vocab, 50)
     return encoded.select("id", *[F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("input_ids", "attention_mask")])
 
 

@@ -154,7 +154,7 @@ PAIRED = ("open", "high", "low", "close", "volume", "constant")
     f"with {fx.PRICES_CTE}, f as (select *, 1.0::double as constant, case when day(date) % 3 <> 0 then low end as gappy from prices) "
     + " union all ".join(
         f"select '{a}' as feature_a, '{b}' as feature_b, "
-        + ("cast(null as double)" if "constant" in (a, b) else f"round(corr({a.replace('low', 'gappy')}, {b.replace('low', 'gappy')}), 6)")
+        + ("cast(max(null) as double)" if "constant" in (a, b) else f"round(corr({a.replace('low', 'gappy')}, {b.replace('low', 'gappy')}), 6)")
         + " as corr from f"
         for i, a in enumerate(PAIRED)
         for b in PAIRED[:i]

@@ -64,7 +64,8 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast when ``df`` has at most ``max_rows`` rows.
 
     Above the bound the frame is returned as it is: the join then shuffles and adaptive
-    execution splits skewed keys.
+    execution splits skewed keys. The check counts rows up to the bound, so a frame that is dear
+    to compute is materialised before.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
