@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_SPACE = r"\t-\r\x{1C}-\x{20}\x{85}\p{Z}"
 #: Runs of white space, control separators included.
-SPACES = r"[\t-\r\x{1C}-\x{20}\x{85}\p{Z}]+"
-#: The ASCII punctuation marks.
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+SPACES = f"[{_SPACE}]+"
+#: A token with its bare word, of at least three characters, as the first group. The marks around
+#: a word are the ASCII ones.
+WRAPPED_WORD = (
+    rf"(?<![^{_SPACE}])\p{{Punct}}*+([^\p{{Punct}}{_SPACE}][^{_SPACE}]+[^\p{{Punct}}{_SPACE}])\p{{Punct}}*(?![^{_SPACE}])"
+)
+#: A token with capitals and without small letters.
+CAPITAL_TOKEN = rf"(?<![^{_SPACE}])(?=[^{_SPACE}]*\p{{Lu}})[^\p{{Ll}}{_SPACE}]++(?![^{_SPACE}])"
 #: A word in frequency tables: a letter or digit followed by letters, digits or apostrophes.
 COUNTED_WORD = r"[\p{L}\p{N}_][\p{L}\p{N}_']+"
 #: A token for a vocabulary: a run of letters and digits, or one mark on its own.
@@ -21,18 +27,22 @@ def post_text(title: Column, body: Column, limit: int | None = 500) -> Column:
     return text if limit is None else F.substring(text, 1, limit)
 
 
-def spaced_tokens(text: Column) -> Column:
-    """The text split at white space."""
-    return F.filter(F.split(text, SPACES), lambda t: t != "")
+def bare_text(text: Column) -> Column:
+    """The text with the punctuation around its words removed.
 
+    Where at most two characters would be left of a token it stays as it is, for it may be an emoticon.
+    """
+    return F.regexp_replace(text, WRAPPED_WORD, "$1")
 
-def bare_word(token: Column) -> Column:
-    """The token without surrounding punctuation, unless at most two characters would be left.
 
-    Short ones stay as they are because they may be emoticons.
-    """
-    inner = F.btrim(token, F.lit(PUNCTUATION))
-    return F.when(F.length(inner) <= 2, token).otherwise(inner)
+def tokens(bare: Column) -> Column:
+    """The text split at white space."""
+    return F.filter(F.split(bare, SPACES), lambda t: t != "")
+
+
+def capital_tokens(bare: Column) -> Column:
+    """How many tokens are written in capitals."""
+    return F.regexp_count(bare, F.lit(CAPITAL_TOKEN))
 
 
 def counted_words(text: Column) -> Column:

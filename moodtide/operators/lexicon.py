@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodtide.functions import scores, valence
-from moodtide.functions.text import bare_word, spaced_tokens
+from moodtide.functions.text import bare_text, capital_tokens, tokens
 from moodtide.session import small_side
 
 POST_KEYS = ("source", "id")
@@ -29,12 +29,13 @@ def merge_lexicon(base: DataFrame, domain: DataFrame) -> DataFrame:
 
 def lexicon_lookup(df: DataFrame, lexicon: DataFrame, keys: Sequence[str] = POST_KEYS, text: str = "text") -> DataFrame:
     """One row ``(keys, pos, term, polarity)`` per word of the text that the lexicon holds."""
-    words = df.select(*keys, F.posexplode(spaced_tokens(F.col(text))).alias("pos", "_token"))
-    return (
-        words.withColumn("term", F.lower(bare_word(F.col("_token"))))
-        .join(small_side(lexicon), "term")
-        .select(*keys, "pos", "term", "polarity")
-    )
+    words = df.select(*keys, F.posexplode(_terms(text)).alias("pos", "term"))
+    return words.join(small_side(lexicon), "term").select(*keys, "pos", "term", "polarity")
+
+
+def _terms(text: str) -> Column:
+    """The bare words of a text in small letters."""
+    return tokens(F.lower(bare_text(F.col(text))))
 
 
 def _scored(df: DataFrame, hits: DataFrame, by: Sequence[str], joined: bool, out: str) -> DataFrame:
@@ -63,18 +64,19 @@ def lexicon_compound(
     """
     joined = carry is None
     by = list(keys) if joined else [*keys, *carry]
-    words = df.select(*by, F.posexplode_outer(spaced_tokens(F.col(text))).alias("_pos", "_token"))
-    known = words.withColumn("term", F.lower(bare_word(F.col("_token")))).join(small_side(lexicon), "term", "left")
+    words = df.select(*by, F.posexplode_outer(_terms(text)).alias("_pos", "term"))
+    known = words.join(small_side(lexicon), "term", "left")
     # The first word stays even when unknown, so that every post keeps a row.
     hits = known.where(F.col("polarity").isNotNull() | (F.coalesce("_pos", F.lit(0)) == 0))
     return _scored(df, hits.withColumn("_value", F.col("polarity")), by, joined, out)
 
 
-def _words_in_context(df: DataFrame, by: Sequence[str], text: str, ahead: int, *extra: Column) -> DataFrame:
-    """One row per word with the three words before it and ``ahead`` words after it.
+def _words_in_context(df: DataFrame, by: Sequence[str], text: str, ahead: int, **extra: Column) -> DataFrame:
+    """One row per bare word with the three words before it and ``ahead`` words after it.
 
     ``_w`` is the word, ``_b1`` to ``_b3`` the words before, ``_a1`` and so on those after; null
-    where the text ends. A text without words gives one row of nulls.
+    where the text ends. A text without words gives one row of nulls. ``extra`` columns are made
+    once per text, from ``text`` or from its bare form ``_bare``.
     """
     offsets = {"_w": 0, "_b1": -1, "_b2": -2, "_b3": -3} | {f"_a{i}": i for i in range(1, ahead + 1)}
 
@@ -82,11 +84,10 @@ def _words_in_context(df: DataFrame, by: Sequence[str], text: str, ahead: int, *
         near = [F.get("_tokens", i + step).alias(name) for name, step in offsets.items()]
         return F.struct(i.alias("_pos"), *near)
 
-    # Text-level columns are made before the explode, or they would be made once per word.
-    split = df.select(*by, text, spaced_tokens(F.col(text)).alias("_tokens")).select(*by, "_tokens", *extra)
-    kept = [c for c in split.columns if c != "_tokens"]
-    rows = split.select(*kept, F.explode_outer(F.transform("_tokens", context)).alias("_c"))
-    return rows.select(*kept, "_c._pos", *[bare_word(F.col(f"_c.{name}")).alias(name) for name in offsets])
+    bare = df.select(*by, text, bare_text(F.col(text)).alias("_bare"))
+    once = bare.select(*by, tokens(F.col("_bare")).alias("_tokens"), *[c.alias(name) for name, c in extra.items()])
+    rows = once.select(*by, *extra, F.explode_outer(F.transform("_tokens", context)).alias("_c"))
+    return rows.select(*by, *extra, "_c.*")
 
 
 def _with_membership(hits: DataFrame, lexicon: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -159,16 +160,15 @@ def lexicon_compound_emphasis(
     """
     joined = carry is None
     by = list(keys) if joined else [*keys, *carry]
-    bare = F.transform("_tokens", bare_word)
-    upper = F.size(F.filter(bare, valence.is_upper))
+    capitals = capital_tokens(F.col("_bare"))
     words = _words_in_context(
         df,
         by,
         text,
         2,
-        ((upper > 0) & (upper < F.size("_tokens"))).alias("_mixed"),
-        F.array_position(F.transform(bare, F.lower), "but").alias("_but"),
-        valence.punctuation_emphasis(F.col(text)).alias("_emphasis"),
+        _mixed=(capitals > 0) & (capitals < F.size(tokens(F.col("_bare")))),
+        _but=F.array_position(tokens(F.lower("_bare")), "but"),
+        _emphasis=valence.punctuation_emphasis(F.col(text)),
     ).withColumn("term", F.lower("_w"))
     lexicon = small_side(lexicon)
     known = words.join(lexicon, "term", "left")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moodtide.session import spread
+
 #: Polarities of the test lexicon.
 LEXICON = {"the": 0.1, "of": -0.2, "and": 0.35, "to": -0.45, "that": 0.5, "was": -0.6, "with": 0.75, "for": -0.1}
 MARKERS = ("license", "!")
@@ -17,16 +19,21 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with their texts, spread over all cores: a text costs far more to read than to move."""
+    return spread(table(spark, sf, "documents").select("doc_id", "source", "text", "n_chars"), "doc_id")
+
+
 def lexicon(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(LEXICON.items()), "term string, polarity double")
 
 
 def posts(spark: SparkSession, sf: str) -> DataFrame:
     """One post per document; engagement and time come from an event."""
-    documents = table(spark, sf, "documents").select("doc_id", "source", "text")
+    texts = documents(spark, sf).select("doc_id", "source", "text")
     events = table(spark, sf, "events").select("event_id", "ts", "value", "props")
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
-    return documents.join(events, F.col("event_id") == F.col("doc_id") * 5).select(
+    return texts.join(events, F.col("event_id") == F.col("doc_id") * 5).select(
         F.col("doc_id").alias("id"),
         "source",
         F.substring("text", 1, 80).alias("title"),
@@ -109,9 +116,9 @@ def indicators(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
-    documents = table(spark, sf, "documents").select("doc_id", "text")
+    texts = documents(spark, sf).select("doc_id", "text")
     labels = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
-    return documents.join(labels, "doc_id")
+    return texts.join(labels, "doc_id")
 
 
 def learned_lexicon(spark: SparkSession, sf: str) -> DataFrame:

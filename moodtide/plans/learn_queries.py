@@ -72,7 +72,7 @@ def experiment_matrix(spark: SparkSession, sf: str) -> DataFrame:
 
 def _labelled_split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Labelled documents; every fifth source serves for validation."""
-    documents = fx.table(spark, sf, "documents").select("doc_id", "source", "text")
+    documents = fx.documents(spark, sf).select("doc_id", "source", "text")
     labels = fx.table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
     rows = documents.join(labels, "doc_id")
     held = F.pmod(F.xxhash64("source"), F.lit(5)) == 0

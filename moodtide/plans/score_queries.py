@@ -184,7 +184,7 @@ FIRST_TOKENS = r"""list_slice([t for t in string_split_regex(lower(text), '[ \t\
     select doc_id as id, round(1 / (1 + exp(-coalesce(z, 0.0))), 6) as probability from documents left join logits using (doc_id)""",
 )
 def model_probability(spark: SparkSession, sf: str) -> DataFrame:
-    documents = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    documents = fx.documents(spark, sf).select(F.col("doc_id").alias("id"), "text")
     scored = learn.score_with_model(documents, models.bag_of_words_logit(fx.LEXICON))
     return scored.select("id", F.round("probability", 6).alias("probability"))
 
@@ -280,7 +280,7 @@ VOCAB_CTE = f"""tokens as (select doc_id, regexp_extract_all(lower(text), '{VOCA
 
 @query("build_vocab", f"with {VOCAB_CTE} select term, token_id, n from vocab")
 def build_vocab(spark: SparkSession, sf: str) -> DataFrame:
-    return encode.build_vocab(fx.table(spark, sf, "documents"))
+    return encode.build_vocab(fx.documents(spark, sf))
 
 
 @query(
@@ -297,7 +297,7 @@ def build_vocab(spark: SparkSession, sf: str) -> DataFrame:
            array_to_string([cast(i <> 0 as int) for i in input_ids], ' ') as attention_mask from padded""",
 )
 def encode_sequence(spark: SparkSession, sf: str) -> DataFrame:
-    documents = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    documents = fx.documents(spark, sf).select(F.col("doc_id").alias("id"), "text")
     vocab = materialise(encode.build_vocab(documents, size=2000))
     encoded = encode.encode_sequence(documents, vocab, 50)
     return encoded.select("id", *[F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("input_ids", "attention_mask")])
@@ -315,7 +315,7 @@ def _stopwords(spark: SparkSession) -> DataFrame:
 
 @query("word_frequency", f"with {COUNTS_CTE} select term, n from counts order by n desc, term limit 200")
 def word_frequency(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.word_frequency(fx.table(spark, sf, "documents"), 200, _stopwords(spark))
+    return stats.word_frequency(fx.documents(spark, sf), 200, _stopwords(spark))
 
 
 @query(
