@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import chain
-from operator import add, or_
+from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values of the published rule model -------------------------------------------------------
@@ -62,17 +62,12 @@ def is_upper(word: Column) -> Column:
     return (word == F.upper(word)) & (word != F.lower(word))
 
 
-def negates(word: Column) -> Column:
-    return F.coalesce(word.isin(NEGATORS) | word.contains("n't"), F.lit(False))
-
-
-def degree(word: Column) -> Column:
-    """Strength a degree word adds to a positive word after it; 0 for other words."""
-    return F.when(word.isin(STRENGTHENERS), DEGREE_STEP).when(word.isin(WEAKENERS), -DEGREE_STEP).otherwise(0.0)
-
-
-def is_degree(word: Column) -> Column:
-    return F.coalesce(word.isin(STRENGTHENERS + WEAKENERS), F.lit(False))
+def modifier_words(spark: SparkSession) -> DataFrame:
+    """Degree words and negators as a table ``(word, degree, negates)``."""
+    degrees = dict.fromkeys(STRENGTHENERS, DEGREE_STEP) | dict.fromkeys(WEAKENERS, -DEGREE_STEP)
+    words = sorted({*degrees, *NEGATORS})
+    rows = [(w, degrees.get(w, 0.0), w in NEGATORS) for w in words]
+    return spark.createDataFrame(rows, "word string, degree double, negates boolean")
 
 
 def shifted(value: Column, degree_before: Column, capitals_before: Column, distance: int) -> Column:
@@ -87,48 +82,49 @@ def capitals(word: Column, mixed: Column) -> Column:
     return F.when(mixed & is_upper(word), CAPITALS_STEP).otherwise(0.0)
 
 
-def negation_factor(word: Column) -> Column:
-    return F.when(negates(word), NEGATION_FACTOR).otherwise(1.0)
+def negation_factor(word: Column, listed: Column) -> Column:
+    """Factor of a word before a hit; ``listed`` says whether it is a listed negator."""
+    return F.when(listed | word.contains("n't"), NEGATION_FACTOR).otherwise(1.0)
 
 
-def contextual_negation_factor(before: dict[int, Column], distance: int) -> Column:
+def contextual_negation_factor(before: dict[int, Column], listed: Column, distance: int) -> Column:
     """Factor of the word at ``distance``; "never so" strengthens, "without doubt" changes nothing."""
+    plain = negation_factor(before[distance], listed)
     nearer = [before[d] for d in range(1, distance)]
     if not nearer:
-        return negation_factor(before[distance])
+        return plain
     so = reduce(or_, [F.coalesce(w.isin("so", "this"), F.lit(False)) for w in nearer])
     doubt = reduce(or_, [w.eqNullSafe(F.lit("doubt")) for w in nearer])
     return (
         F.when((before[distance] == "never") & so, NEVER_SO_FACTOR)
         .when((before[distance] == "without") & doubt, 1.0)
-        .otherwise(negation_factor(before[distance]))
+        .otherwise(plain)
     )
 
 
-def phrase(*words: Column) -> Column:
+def joined(*words: Column | str) -> Column:
     """The words joined by blanks; null when one is missing."""
-    return reduce(lambda a, b: F.concat(a, F.lit(" "), b), words)
+    return reduce(lambda a, b: F.concat(a, F.lit(" "), b), [F.col(w) if isinstance(w, str) else w for w in words])
 
 
-def idiom_value(before: dict[int, Column], word: Column, after: dict[int, Column]) -> Column:
+#: Phrases around a word, by the names of their words; later ones build on earlier ones.
+PAIRS = {"_p32": ("_b3", "_b2"), "_p21": ("_b2", "_b1"), "_p1t": ("_b1", "term"), "_pt1": ("term", "_a1")}
+TRIPLES = {"_p321": ("_b3", "_p21"), "_p21t": ("_p21", "term"), "_pt12": ("_pt1", "_a2")}
+
+
+def idiom_value() -> Column:
     """Valence of an idiom the word is part of or stands behind; null when there is none."""
     values = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in IDIOMS.items()))
-    places = [
-        phrase(word, after[1], after[2]),
-        phrase(word, after[1]),
-        phrase(before[1], word),
-        phrase(before[2], before[1], word),
-        phrase(before[2], before[1]),
-        phrase(before[3], before[2], before[1]),
-        phrase(before[3], before[2]),
-    ]
-    return F.coalesce(*[F.when(p.isin(list(IDIOMS)), F.element_at(values, p)) for p in places])
-
-
-def weakening(before: dict[int, Column]) -> Column:
+    places = F.array("_pt12", "_pt1", "_p1t", "_p21t", "_p21", "_p321", "_p32")
+    found = F.transform(F.array_compact(places), lambda p: F.try_element_at(values, p))
+    return F.get(F.array_compact(found), F.lit(0))
+
+
+def weakening() -> Column:
     """What weakening phrases of several words before the word take off its valence."""
-    places = [phrase(before[3], before[2], before[1]), phrase(before[3], before[2]), phrase(before[2], before[1])]
-    return reduce(add, [F.when(p.isin(*WEAKENING_PHRASES), DEGREE_STEP).otherwise(0.0) for p in places])
+    weak = F.array(*map(F.lit, WEAKENING_PHRASES))
+    count = F.size(F.filter(F.array("_p321", "_p32", "_p21"), lambda p: F.array_contains(weak, p)))
+    return count * DEGREE_STEP
 
 
 def punctuation_emphasis(text: Column) -> Column:

@@ -71,12 +71,12 @@ def lexicon_compound(
     return _scored(df, hits.withColumn("_value", F.col("polarity")), by, joined, out)
 
 
-def _words_in_context(df: DataFrame, by: Sequence[str], text: str, ahead: int, **extra: Column) -> DataFrame:
+def _words_in_context(df: DataFrame, by: Sequence[str], text: Column, ahead: int, **extra: Column) -> DataFrame:
     """One row per bare word with the three words before it and ``ahead`` words after it.
 
     ``_w`` is the word, ``_b1`` to ``_b3`` the words before, ``_a1`` and so on those after; null
     where the text ends. A text without words gives one row of nulls. ``extra`` columns are made
-    once per text, from ``text`` or from its bare form ``_bare``.
+    once per text, from the text ``_text`` or its bare form ``_bare``.
     """
     offsets = {"_w": 0, "_b1": -1, "_b2": -2, "_b3": -3} | {f"_a{i}": i for i in range(1, ahead + 1)}
 
@@ -84,31 +84,47 @@ def _words_in_context(df: DataFrame, by: Sequence[str], text: str, ahead: int, *
         near = [F.get("_tokens", i + step).alias(name) for name, step in offsets.items()]
         return F.struct(i.alias("_pos"), *near)
 
-    bare = df.select(*by, text, bare_text(F.col(text)).alias("_bare"))
+    bare = df.select(*by, text.alias("_text"), bare_text(text).alias("_bare"))
     once = bare.select(*by, tokens(F.col("_bare")).alias("_tokens"), *[c.alias(name) for name, c in extra.items()])
     rows = once.select(*by, *extra, F.explode_outer(F.transform("_tokens", context)).alias("_c"))
     return rows.select(*by, *extra, "_c.*")
 
 
-def _with_membership(hits: DataFrame, lexicon: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Add ``<column>_known``: whether the lower-cased word is a lexicon term.
+def _word_table(lexicon: DataFrame) -> DataFrame:
+    """Every lexicon term and modifier with its polarity, degree and negation; null or 0 where it has none."""
+    modifiers = valence.modifier_words(lexicon.sparkSession)
+    words = lexicon.select(F.col("term").alias("word"), "polarity").unionByName(modifiers, allowMissingColumns=True)
+    return small_side(
+        words.groupBy("word").agg(
+            F.max("polarity").alias("polarity"),
+            F.coalesce(F.max("degree"), F.lit(0.0)).alias("degree"),
+            F.coalesce(F.max("negates"), F.lit(False)).alias("negates"),
+        )
+    )
+
+
+def _looked_up(rows: DataFrame, words: DataFrame, column: str) -> DataFrame:
+    """Add ``<column>_polarity``, ``_degree`` and ``_negates`` of the word in ``column``.
 
-    Each word column is joined on its own, against the same broadcast relation: ``lexicon`` comes
-    with its broadcast hint.
+    Every column is joined on its own, against the same broadcast relation.
     """
-    terms = lexicon.select(F.col("term").alias("_member"))
-    for c in columns:
-        hits = (
-            hits.join(terms, F.lower(c) == F.col("_member"), "left")
-            .withColumn(f"{c}_known", F.col("_member").isNotNull())
-            .drop("_member")
-        )
-    return hits
+    facts = words.select(F.col("word").alias("_word"), *[F.col(c).alias(f"{column}_{c}") for c in words.columns[1:]])
+    return rows.join(facts, F.col(column) == F.col("_word"), "left").drop("_word")
+
+
+def _hits(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """The lexicon hits, and the first word of every text so that each post keeps a row."""
+    known = _looked_up(rows, words, "term")
+    return known.where(F.col("term_polarity").isNotNull() | (F.coalesce("_pos", F.lit(0)) == 0))
 
 
 def _modifies(distance: int) -> Column:
     """Whether the word at this distance before a hit exists and is no lexicon term itself."""
-    return F.col(f"_b{distance}").isNotNull() & ~F.col(f"_b{distance}_known")
+    return F.col(f"_b{distance}").isNotNull() & F.col(f"_b{distance}_polarity").isNull()
+
+
+def _if_modifies(distance: int, value: Column, neutral: float) -> Column:
+    return F.when(_modifies(distance), F.coalesce(value, F.lit(neutral))).otherwise(neutral)
 
 
 def lexicon_compound_modifiers(
@@ -125,20 +141,17 @@ def lexicon_compound_modifiers(
     """
     joined = carry is None
     by = list(keys) if joined else [*keys, *carry]
-    words = _words_in_context(df, by, text, 0).withColumn("term", F.lower("_w"))
-    lexicon = small_side(lexicon)
-    known = words.join(lexicon, "term", "left")
-    hits = known.where(F.col("polarity").isNotNull() | (F.coalesce("_pos", F.lit(0)) == 0))
-    hits = _with_membership(hits, lexicon, ["_b1", "_b2", "_b3"])
+    rows = _words_in_context(df, by, F.lower(text), 0).withColumn("term", F.col("_w"))
+    words = _word_table(lexicon)
+    hits = _hits(rows, words)
     for d in (1, 2, 3):
-        word, active = F.lower(f"_b{d}"), _modifies(d)
-        hits = hits.withColumns(
-            {
-                f"_degree{d}": F.when(active, valence.degree(word)).otherwise(0.0),
-                f"_factor{d}": F.when(active, valence.negation_factor(word)).otherwise(1.0),
-            }
-        )
-    value = F.col("polarity")
+        hits = _looked_up(hits, words, f"_b{d}")
+    factors = {d: valence.negation_factor(F.col(f"_b{d}"), F.coalesce(f"_b{d}_negates", F.lit(False))) for d in (1, 2, 3)}
+    hits = hits.withColumns(
+        {f"_degree{d}": _if_modifies(d, F.col(f"_b{d}_degree"), 0.0) for d in factors}
+        | {f"_factor{d}": _if_modifies(d, factors[d], 1.0) for d in factors}
+    )
+    value = F.col("term_polarity")
     for d in (1, 2, 3):
         hits = hits.withColumn("_value", valence.shifted(value, F.col(f"_degree{d}"), F.lit(0.0), d) * F.col(f"_factor{d}"))
         value = F.col("_value")
@@ -161,23 +174,27 @@ def lexicon_compound_emphasis(
     joined = carry is None
     by = list(keys) if joined else [*keys, *carry]
     capitals = capital_tokens(F.col("_bare"))
-    words = _words_in_context(
+    rows = _words_in_context(
         df,
         by,
-        text,
+        F.col(text),
         2,
         _mixed=(capitals > 0) & (capitals < F.size(tokens(F.col("_bare")))),
         _but=F.array_position(tokens(F.lower("_bare")), "but"),
-        _emphasis=valence.punctuation_emphasis(F.col(text)),
+        _emphasis=valence.punctuation_emphasis(F.col("_text")),
     ).withColumn("term", F.lower("_w"))
-    lexicon = small_side(lexicon)
-    known = words.join(lexicon, "term", "left")
-    hits = known.where(F.col("polarity").isNotNull() | (F.coalesce("_pos", F.lit(0)) == 0))
-    hits = _with_membership(hits, lexicon, ["_b1", "_b2", "_b3", "_a1"])
-
-    term = F.col("term")
-    before = {d: F.lower(f"_b{d}") for d in (1, 2, 3)}
-    after = {d: F.lower(f"_a{d}") for d in (1, 2)}
+    words = _word_table(lexicon)
+    lower = {f"_b{d}": F.lower(f"_b{d}") for d in (1, 2, 3)} | {f"_a{d}": F.lower(f"_a{d}") for d in (1, 2)}
+    shouted = {f"_caps{d}": valence.capitals(F.col(f"_b{d}"), F.col("_mixed")) for d in (1, 2, 3)}
+    hits = _hits(rows, words).withColumns(lower | shouted | {"_caps": valence.capitals(F.col("_w"), F.col("_mixed"))})
+    for c in ("_b1", "_b2", "_b3", "_a1"):
+        hits = _looked_up(hits, words, c)
+    for phrases in (valence.PAIRS, valence.TRIPLES):
+        hits = hits.withColumns({name: valence.joined(*parts) for name, parts in phrases.items()})
+
+    term, polarity = F.col("term"), F.col("term_polarity")
+    before = {d: F.col(f"_b{d}") for d in (1, 2, 3)}
+    after = {d: F.col(f"_a{d}") for d in (1, 2)}
     no = F.lit("no")
     follows_no = (
         before[1].eqNullSafe(no)
@@ -185,35 +202,33 @@ def lexicon_compound_emphasis(
         | (before[3].eqNullSafe(no) & F.coalesce(before[1].isin("or", "nor"), F.lit(False)))
     )
     stated = (
-        F.when(follows_no, F.col("polarity") * valence.NEGATION_FACTOR)
-        .when((term == "no") & F.col("_a1_known"), F.lit(0.0))
-        .otherwise(F.col("polarity"))
+        F.when(follows_no, polarity * valence.NEGATION_FACTOR)
+        .when((term == "no") & F.col("_a1_polarity").isNotNull(), F.lit(0.0))
+        .otherwise(polarity)
     )
     modifiers = {}
     for d in (1, 2, 3):
-        strength = valence.degree(before[d])
-        loud = F.when(valence.is_degree(before[d]), valence.capitals(F.col(f"_b{d}"), F.col("_mixed"))).otherwise(0.0)
-        modifiers[f"_degree{d}"] = F.when(_modifies(d), strength).otherwise(0.0)
-        modifiers[f"_loud{d}"] = F.when(_modifies(d), loud).otherwise(0.0)
-        modifiers[f"_factor{d}"] = F.when(_modifies(d), valence.contextual_negation_factor(before, d)).otherwise(1.0)
+        degree, listed = F.col(f"_b{d}_degree"), F.coalesce(f"_b{d}_negates", F.lit(False))
+        modifiers[f"_degree{d}"] = _if_modifies(d, degree, 0.0)
+        modifiers[f"_loud{d}"] = _if_modifies(d, F.when(degree != 0, F.col(f"_caps{d}")), 0.0)
+        modifiers[f"_factor{d}"] = _if_modifies(d, valence.contextual_negation_factor(before, listed, d), 1.0)
     least = before[1].eqNullSafe(F.lit("least")) & ~F.coalesce(before[2].isin("at", "very"), F.lit(False))
-    silent = valence.is_degree(term) | ((term == "kind") & after[1].eqNullSafe(F.lit("of")))
+    silent = (F.col("term_degree") != 0) | ((term == "kind") & after[1].eqNullSafe(F.lit("of")))
     place, turn = F.col("_pos") + 1, F.col("_but")
     hits = hits.withColumns(
         {
             **modifiers,
             "_stated": stated,
-            "_capitals": valence.capitals(F.col("_w"), F.col("_mixed")),
-            "_idiom": F.when(_modifies(3), valence.idiom_value(before, term, after)),
-            "_weakening": F.when(_modifies(3), valence.weakening(before)).otherwise(0.0),
-            "_least": F.when(least & ~F.col("_b1_known"), valence.NEGATION_FACTOR).otherwise(1.0),
+            "_idiom": F.when(_modifies(3), valence.idiom_value()),
+            "_weakening": F.when(_modifies(3), valence.weakening()).otherwise(0.0),
+            "_least": F.when(least & _modifies(1), valence.NEGATION_FACTOR).otherwise(1.0),
             "_turn": F.when(silent, 0.0)
             .when((turn > 0) & (place < turn), valence.BEFORE_BUT)
             .when((turn > 0) & (place > turn), valence.AFTER_BUT)
             .otherwise(1.0),
         }
     )
-    louder = F.when(F.col("_stated") > 0, F.col("_capitals")).otherwise(-F.col("_capitals"))
+    louder = F.when(F.col("_stated") > 0, F.col("_caps")).otherwise(-F.col("_caps"))
     hits = hits.withColumn("_value", F.col("_stated") + louder)
     for d in (1, 2, 3):
         moved = valence.shifted(F.col("_value"), F.col(f"_degree{d}"), F.col(f"_loud{d}"), d)
