@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from moodtide import schemas
 
 #: Text between two messages of an export indented by one blank per level.
-INDENTED_MESSAGE_BREAK = "\n   },\n   {\n"
+INDENTED_MESSAGE_BREAK = "\n  },\n  {\n"
 
 
 def _csv(spark: SparkSession, path: str, **options: str) -> DataFrame:
@@ -64,10 +64,14 @@ def read_messages(spark: SparkSession, path: str, layout: str = "document") -> D
         exports = spark.read.schema(schemas.CHAT_EXPORT).json(path, multiLine=True)
         messages = exports.select(chat.alias("source"), F.explode("messages").alias("m"))
     elif layout == "indented":
+        opening = '"messages": [\n  {\n'
+        value = F.col("value")
         pieces = spark.read.option("lineSep", INDENTED_MESSAGE_BREAK).text(path)
-        headless = F.regexp_replace("value", r'(?s)\A\{.*?"messages": \[\n   \{\n', "")
-        body = F.regexp_replace(headless, r"(?s)\n   \}\s*\].*\z", "")
-        messages = pieces.where(~F.col("value").rlike(r'"messages": \[\s*\]')).select(
+        # The first piece of a file carries the head of the document, or is all of it when there are no messages.
+        filled = pieces.where(~value.startswith("{") | value.contains(opening))
+        headless = F.when(value.startswith("{"), F.substring_index(value, opening, -1)).otherwise(value)
+        body = F.regexp_replace(headless, r"(?s)\n  \}\s*\].*\z", "")
+        messages = filled.select(
             chat.alias("source"),
             F.from_json(F.concat(F.lit("{"), body, F.lit("}")), schemas.MESSAGE).alias("m"),
         )
