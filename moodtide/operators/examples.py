@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from moodtide.operators.series import with_series_position
+from moodtide.session import materialise
 
 #: Rows an example looks back on, and rows predicted at the end of a series.
 WINDOW_ROWS = 30
@@ -29,7 +30,7 @@ def chronological_split(
     df: DataFrame, test_rows: int = TEST_ROWS, keys: Sequence[str] = ("source",), time: str = "date"
 ) -> DataFrame:
     """Add ``split``: the last ``test_rows`` rows of a source are ``test``, the others ``train``."""
-    placed = with_series_position(df, keys, time)
+    placed = with_series_position(materialise(df), keys, time)
     split = F.when(F.col("_pos") >= F.col("_len") - test_rows, F.lit("test")).otherwise(F.lit("train"))
     return placed.withColumn("split", split).drop("_pos", "_len")
 
@@ -80,7 +81,7 @@ def sliding_examples(
     """
     run_rows = max(RUN_ROWS, window)
     columns = [target, *[c for c in features if c != target]]
-    placed = with_series_position(df.select(*keys, time, *columns), keys, time)
+    placed = with_series_position(materialise(df.select(*keys, time, *columns)), keys, time)
     run = F.floor(F.col("_pos") / run_rows)
     also_next = F.col("_pos") % run_rows >= run_rows - window
     copies = placed.withColumn("_own", run).withColumn(

@@ -68,8 +68,12 @@ def train_forecaster(
     parallelism: int = 4,
     seed: int = 7,
 ) -> CrossValidatorModel:
-    """Grid search of a boosted regressor over the training examples of one source, refit on all of them."""
-    train = with_fold(examples.where("split = 'train'"), folds).select("features", "y", "fold")
+    """Grid search of a boosted regressor over the training examples of one source, refit on all of them.
+
+    ``examples`` are stored or checkpointed. Every fit reads the training rows, so these are
+    checkpointed once with their folds.
+    """
+    train = materialise(with_fold(examples.where("split = 'train'"), folds).select("features", "y", "fold"))
     model = GBTRegressor(featuresCol="features", labelCol="y", seed=seed)
     builder = ParamGridBuilder()
     for name, values in grid.items():

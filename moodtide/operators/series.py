@@ -185,9 +185,9 @@ def with_series_position(df: DataFrame, keys: Sequence[str], time: str = "date")
     """Add ``_pos``, the 0-based place of a row in its series, and ``_len``, the rows of the series.
 
     ``time`` is a DATE, unique per series. Places are counted inside calendar blocks, and the
-    block counts of a series are added up. The input is read for both, so it is checkpointed first.
+    block counts of a series are added up. The input is read twice, so it should be a stored or
+    checkpointed frame.
     """
-    df = materialise(df)
     keys = list(keys)
     block = [*keys, "_block"]
     rows = df.withColumn("_block", _block(time, BLOCK_DAYS))

@@ -26,22 +26,26 @@ def score_posts(
     scorer: Callable[..., DataFrame] = lexicon.lexicon_compound_emphasis,
     limit: int | None = 500,
     markers: Sequence[str] = clean.REMOVED_MARKERS,
+    keep_text: bool = False,
 ) -> DataFrame:
-    """Clean posts with ``sia_bert``, ``sia_vader`` and the weighted ``sia``, without their texts.
+    """Clean posts with ``sia_bert``, ``sia_vader`` and the weighted ``sia``.
 
-    Posts must be unique by source and id and have a ``date``.
+    Posts must be unique by source and id and have a ``date``. Their texts are left behind unless
+    ``keep_text`` is set, which joins the lexicon score to all columns and so moves the texts once.
     """
     cleaned = clean.drop_marked(clean.cast_defaults(clean.fill_text_nulls(posts)), markers)
     cleaned = clean.build_text(clean.drop_missing_time(cleaned, "date"), limit)
-    scored = cleaned.withColumn("has_title", F.col("title") != "").select("source", "id", *CARRIED, "text")
-    carry = list(CARRIED)
+    scored = cleaned.withColumn("has_title", F.col("title") != "")
+    carry = None if keep_text else list(CARRIED)
+    if not keep_text:
+        scored = scored.select("source", "id", *CARRIED, "text")
     if model_share >= scores.MIN_SHARE:
         scored = learn.score_with_model(scored, load_model, out="sia_bert")
         scored = scored.withColumn("sia_bert", scores.rescale_unit(F.col("sia_bert")))
-        carry.append("sia_bert")
+        carry = carry and [*carry, "sia_bert"]
     if 1.0 - model_share >= scores.MIN_SHARE:
         scored = scorer(scored, terms, carry=carry)
-    return daily.add_blend(scored.drop("text"), model_share)
+    return daily.add_blend(scored if keep_text else scored.drop("text"), model_share)
 
 
 def daily_features(scored: DataFrame, indicators: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodtide.functions import scores
 from moodtide.operators import clean, daily, lexicon, series
 from moodtide.plans import fixtures as fx
 from moodtide.plans import flows

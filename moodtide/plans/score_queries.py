@@ -9,8 +9,7 @@ from moodtide.functions import models, scores, valence
 from moodtide.functions.text import COUNTED_WORD, VOCABULARY_TOKEN
 from moodtide.operators import clean, daily, encode, learn, lexicon, stats
 from moodtide.plans import fixtures as fx
-from moodtide.plans import flows
-from moodtide.plans.post_queries import BARE, CLEAN_CTE, SCORED_CTE, WEIGHT, WORDS, compound_cte
+from moodtide.plans.post_queries import BARE, SCORED_CTE, WEIGHT, WORDS, compound_cte
 from moodtide.plans.registry import query
 from moodtide.session import materialise
 
