@@ -78,16 +78,18 @@ def _words_in_context(df: DataFrame, by: Sequence[str], text: Column, ahead: int
     where the text ends. A text without words gives one row of nulls. ``extra`` columns are made
     once per text, from the text ``_text`` or its bare form ``_bare``.
     """
-    offsets = {"_w": 0, "_b1": -1, "_b2": -2, "_b3": -3} | {f"_a{i}": i for i in range(1, ahead + 1)}
-
-    def context(_: Column, i: Column) -> Column:
-        near = [F.get("_tokens", i + step).alias(name) for name, step in offsets.items()]
-        return F.struct(i.alias("_pos"), *near)
+    missing = F.lit(None).cast("string")
+    words = F.col("_tokens")
+    shifted = {"_w": words}
+    shifted |= {f"_b{d}": F.concat(F.array(*[missing] * d), words) for d in (1, 2, 3)}
+    shifted |= {f"_a{d}": F.slice(words, d + 1, F.size(words)) for d in range(1, ahead + 1)}
 
     bare = df.select(*by, text.alias("_text"), bare_text(text).alias("_bare"))
     once = bare.select(*by, tokens(F.col("_bare")).alias("_tokens"), *[c.alias(name) for name, c in extra.items()])
-    rows = once.select(*by, *extra, F.explode_outer(F.transform("_tokens", context)).alias("_c"))
-    return rows.select(*by, *extra, "_c.*")
+    beside = once.select(*by, *extra, *[c.alias(name) for name, c in shifted.items()])
+    rows = beside.select(*by, *extra, F.posexplode_outer(F.arrays_zip(*shifted)).alias("_pos", "_c")).select(*by, *extra, "_pos", "_c.*")
+    # The shifted columns are longer than the text; its first row stays for a text without words.
+    return rows.where(F.col("_w").isNotNull() | (F.coalesce("_pos", F.lit(0)) == 0))
 
 
 def _word_table(lexicon: DataFrame) -> DataFrame:

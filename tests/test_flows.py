@@ -95,3 +95,19 @@ def test_union_and_features(spark):
     a = spark.createDataFrame([("s", 1, 2.0)], "source string, id int, v double")
     b = spark.createDataFrame([(2, "t")], "id int, source string")
     assert sorted(tuple(r) for r in clean.union_sources(a, b, a).select("source", "id", "v").collect()) == [("s", 1, 2.0), ("s", 1, 2.0), ("t", 2, None)]
+
+
+def test_files_to_daily_features(spark, tmp_path):
+    """The example of the README: a post fetched twice counts once, with its typed engagement."""
+    from moodtide.sources import readers
+
+    head = "id,url,title,score,num_comments,created_utc,selftext,upvote_ratio\n"
+    rows = "a,u,good,3,9,1577836800,,1.0\na,u,good,3,10,1577836800,,1.0\nb,u,[removed],3,10,1577836800,,1.0\nc,u,x,1,1,,,1\n"
+    (tmp_path / "x-submissions.csv").write_text(head + rows)
+    (tmp_path / "lexicon.csv").write_text("term,polarity\ngood,0.5\n")
+    (tmp_path / "metrics.csv").write_text("Time,BTC / Closing Price\n2020-01-01,1.0\n")
+    posts = clean.cast_defaults(clean.epoch_to_date(readers.read_posts(spark, str(tmp_path), source="forum")))
+    scored = flows.score_posts(clean.dedupe_posts(posts), readers.load_lexicon(spark, str(tmp_path / "lexicon.csv")))
+    (found,) = flows.daily_features(scored, readers.read_indicators(spark, str(tmp_path / "metrics.csv"))).collect()
+    assert (found.source, found.date, found.num_posts, found.num_comments, found.log_price) == ("forum", DAY, 1, 10, 0.0)
+    assert found.sia_vader_sum == pytest.approx(0.12803687993289598)
