@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Texts of about so many bytes are worked on together; one longer text forms a chunk of its own.
 CHUNK_BYTES = 2_000_000
@@ -33,7 +34,7 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         piece = np.cumsum(sizes, dtype=np.int64) // limit
         edges = [0, *(np.flatnonzero(np.diff(piece)) + 1), batch.num_rows]
         for lo, hi in zip(edges, edges[1:]):

@@ -18,6 +18,7 @@ import heapq
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -221,7 +222,7 @@ def encode(text: Column, ranks: bytes, pattern: str) -> Column:
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         codec, out = Codec.of(ranks, pattern), []
-        sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
         for piece in _pieces(texts, sizes):
             flat, places = codec.encode(piece.to_pylist())
             out.append(pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(flat, pa.int32())))
@@ -236,8 +237,8 @@ def decode(ids: Column, ranks: bytes, pattern: str) -> Column:
     @F.arrow_udf("binary")
     def spelled(lists: pa.Array) -> pa.Array:
         codec, out = Codec.of(ranks, pattern), []
-        for piece in _pieces(lists, pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)):
-            lengths = pa.compute.fill_null(pa.compute.list_value_length(piece), 0).to_numpy(zero_copy_only=False)
+        for piece in _pieces(lists, pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)):
+            lengths = pc.fill_null(pc.list_value_length(piece), 0).to_numpy(zero_copy_only=False)
             places = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
             data, ends = codec.decode(piece.flatten().to_numpy(zero_copy_only=False), places)
             whole = data.tobytes()

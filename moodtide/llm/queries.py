@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodtide.llm import bpe, credentials, mixing
+from moodtide.llm import bpe, credentials, langid, mixing, parsing, pii
 from moodtide.plans.registry import query
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -47,29 +47,29 @@ def count_kind(spans: F.Column, kind: str) -> F.Column:
 
 OP3_SQL = r"""
 with spans as (
-  select doc_id, source, row_number() over () as row, coalesce(text, '') as text from documents
+  select doc_id, source, row_number() over () as rid, coalesce(text, '') as text from documents
 ), raw as (
-  select row, doc_id, source, 0 as kind_no, 'assign' as kind,
+  select rid, doc_id, source, 0 as kind_no, 'assign' as kind,
          regexp_extract_all(text, '(?s)(.*?)((?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?)([A-Za-z0-9+/_.=-]+)', 1) as gap,
          regexp_extract_all(text, '(?s)(.*?)((?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?)([A-Za-z0-9+/_.=-]+)', 2) as head,
          regexp_extract_all(text, '(?s)(.*?)((?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?)([A-Za-z0-9+/_.=-]+)', 3) as body from spans
   union all
-  select row, doc_id, source, 1, 'access', regexp_extract_all(text, '(?s)(.*?)(AKIA[A-Z0-9]+)', 1), null,
+  select rid, doc_id, source, 1, 'access', regexp_extract_all(text, '(?s)(.*?)(AKIA[A-Z0-9]+)', 1), null,
          regexp_extract_all(text, '(?s)(.*?)(AKIA[A-Z0-9]+)', 2) from spans
   union all
-  select row, doc_id, source, 2, 'hex', regexp_extract_all(text, '(?s)(.*?)([0-9a-f]{16,})', 1), null,
+  select rid, doc_id, source, 2, 'hex', regexp_extract_all(text, '(?s)(.*?)([0-9a-f]{16,})', 1), null,
          regexp_extract_all(text, '(?s)(.*?)([0-9a-f]{16,})', 2) from spans
   union all
-  select row, doc_id, source, 3, 'other', regexp_extract_all(text, '(?s)(.*?)(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|[A-Za-z0-9+/_-]{24,})', 1), null,
+  select rid, doc_id, source, 3, 'other', regexp_extract_all(text, '(?s)(.*?)(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|[A-Za-z0-9+/_-]{24,})', 1), null,
          regexp_extract_all(text, '(?s)(.*?)(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|[A-Za-z0-9+/_-]{24,})', 2) from spans
 ), each as (
-  select row, doc_id, source, kind_no, kind, unnest(range(1, len(body) + 1)) as at, gap, head, body from raw where len(body) > 0
+  select rid, doc_id, source, kind_no, kind, unnest(range(1, len(body) + 1)) as nth, gap, head, body from raw where len(body) > 0
 ), sized as (
-  select row, doc_id, source, kind_no, kind, at, length(gap[at]) as gap, coalesce(length(head[at]), 0) as head, body[at] as body from each
+  select rid, doc_id, source, kind_no, kind, nth, length(gap[nth]) as gap, coalesce(length(head[nth]), 0) as head, body[nth] as body from each
 ), placed as (
-  select *, sum(gap + head + length(body)) over (partition by row, kind_no order by at) as stop from sized
+  select *, sum(gap + head + length(body)) over (partition by rid, kind_no order by nth) as stop from sized
 ), found as (
-  select row, doc_id, source, kind_no, kind, body, stop, stop - head - length(body) as start from placed
+  select rid, doc_id, source, kind_no, kind, body, stop, stop - head - length(body) as start from placed
   where length(body) >= case kind_no when 0 then 12 when 1 then 18 when 2 then 16 else 13 end
     and (kind_no < 3 or (regexp_matches(body, '[0-9]') and regexp_matches(body, '[A-Z]') and regexp_matches(body, '[a-z]')))
 ), owners as (
@@ -77,15 +77,15 @@ with spans as (
 ), judged as (
   select f.*, owners = 1 as live from found f join owners o on f.body = o.body where kind_no < 3 or owners = 1
 ), lists as (
-  select row, count(*) filter (kind_no = 0) as n_assign, count(*) filter (kind_no = 1) as n_access, count(*) filter (kind_no = 2) as n_hex,
+  select rid, count(*) filter (kind_no = 0) as n_assign, count(*) filter (kind_no = 1) as n_access, count(*) filter (kind_no = 2) as n_hex,
          count(*) filter (live) as n_live,
          string_agg(kind || ':' || start::bigint || ':' || stop::bigint, ',' order by start, kind_no) filter (kind_no < 3) as base,
          string_agg(kind || ':' || start::bigint || ':' || stop::bigint, ',' order by start, kind_no) as spans
-  from judged group by row
+  from judged group by rid
 )
 select s.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
        sha256(coalesce(base, '')) as base_sha256, coalesce(l.spans, '') as spans, coalesce(n_live, 0) as n_live
-from spans s left join lists l on s.row = l.row
+from spans s left join lists l on s.rid = l.rid
 """
 
 
@@ -165,3 +165,43 @@ from ends
 @query("op5_mixing", OP5_SQL)
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"), ["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op4_pii")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    found = docs.select("doc_id", pii.spans(F.col("text"), pii.fit(docs)).alias("spans"))
+    spans = F.col("spans")
+    return found.select(
+        "doc_id",
+        *[count_kind(spans, kind).alias(f"n_{kind}") for kind in pii.KINDS[: pii.BASE]],
+        F.sha2(span_text(spans, pii.BASE), 256).alias("base_sha256"),
+        span_text(spans).alias("spans"),
+    )
+
+
+@query("op6_fingerprints")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = table(spark, sf, "documents").select("doc_id", text.alias("text"))
+    docs = docs.withColumn("print", parsing.fingerprint(F.col("text")))
+    pairs = parsing.with_next(docs, "doc_id", ["text", "print"])
+    pairs = pairs.withColumn("edited", parsing.edited(F.col("text"), F.col("next_text")))
+    pairs = pairs.withColumn("edited_print", parsing.fingerprint(F.col("edited")))
+    return pairs.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        F.lower(F.hex("print")).alias("fingerprint"),
+        F.lower(F.hex("edited_print")).alias("edited_fingerprint"),
+        parsing.likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
+        parsing.likeness(F.col("print"), F.col("next_print")).alias("near_next"),
+    )
+
+
+@query("op7_language")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").withColumn("held_out", langid.fold(F.col("doc_id"), 3) == 1)
+    filters = langid.fit(docs.where(~F.col("held_out")).select("text", "lang"))
+    found = docs.select("doc_id", "held_out", langid.predict(F.col("text"), filters).alias("p"))
+    return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
