@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodtide.llm import bpe, credentials, langid, mixing, parsing, pii
+from moodtide.llm import bpe, credentials, jaccard, langid, mixing, parsing, pii
 from moodtide.plans.registry import query
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -205,3 +205,29 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     filters = langid.fit(docs.where(~F.col("held_out")).select("text", "lang"))
     found = docs.select("doc_id", "held_out", langid.predict(F.col("text"), filters).alias("p"))
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
+OP9_SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), each as (
+  select doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) as i from words where len(w) > 0
+), sets as (
+  select distinct doc_id, array_to_string(w[i:i + 3], ' ') as s from each
+), sizes as (
+  select doc_id, count(*) as n from sets group by doc_id
+), pairs as (
+  select a.doc_id as x, b.doc_id as y, count(*) as shared from sets a join sets b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2
+), links as (
+  select x, y from pairs join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * shared >= 85 * (p.n + q.n - shared)
+), ways as (select x, y from links union all select y, x from links
+), reach as (
+  select doc_id as node, doc_id as seen from words union select r.node, w.y from reach r join ways w on r.seen = w.x
+), least as (select node, min(seen) as component_id from reach group by node)
+select w.doc_id, coalesce(n, 0) as n_shingles, component_id from words w join least on node = w.doc_id left join sizes s on s.doc_id = w.doc_id
+"""
+
+
+@query("op9_jaccard", OP9_SQL)
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.link(table(spark, sf, "documents").select("doc_id", "text"))
