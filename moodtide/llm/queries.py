@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodtide.llm import bpe, credentials, jaccard, langid, mixing, parsing, pii
+from moodtide.llm import bpe, credentials, jaccard, langid, mixing, parsing, pii, scoring, search
 from moodtide.plans.registry import query
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -231,3 +231,14 @@ select w.doc_id, coalesce(n, 0) as n_shingles, component_id from words w join le
 @query("op9_jaccard", OP9_SQL)
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.link(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query("op10_neighbours")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return search.search(table(spark, sf, "embeddings"), F.col("id") % 100 == 0)
+
+
+@query("op8_scoring")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return scoring.score(docs, langid.fold(F.col("doc_id"), 5) != 1)
