@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodtide.llm import bpe, credentials, jaccard, langid, mixing, parsing, pii, scoring, search
+from moodtide.llm import bpe, credentials, jaccard, langid, mixing, parsing, passages, pii, scoring, search
 from moodtide.plans.registry import query
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -242,3 +242,8 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return scoring.score(docs, langid.fold(F.col("doc_id"), 5) != 1)
+
+
+@query("op1_passages")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return passages.find(table(spark, sf, "documents").select("doc_id", "text"))
