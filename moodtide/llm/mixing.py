@@ -118,7 +118,7 @@ def mix(
     words in [start, stop) and, where the run wraps round inside the document, in [0, wrap). ``carry`` columns
     travel with the row.
     """
-    docs = docs.select(*{*carry, "doc_id", "source"}, words_in(F.col("text")).alias("size"))
+    docs = docs.select(*dict.fromkeys([*carry, "doc_id", "source"]), words_in(F.col("text")).alias("size"))
     sources = source_targets(docs, weights, share, most)
     seats = F.floor(F.sum("target").over(W.partitionBy()) / block_words + 0.5)
     quotas = apportion(sources.withColumn("seats", seats), [], F.col("seats"), F.col("target"), [F.col("source").asc_nulls_last()], "blocks")
@@ -156,16 +156,17 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     the text. Columns and their order are those of ``docs``.
     """
     columns = docs.columns
-    mixed = mix(docs, columns, **parameters)
+    row = F.struct(*columns).alias("_row")  # so that no column clashes with those of the mix
+    mixed = mix(docs.select(row, "doc_id", "source", "text"), ["_row"], **parameters)
     entry = lambda lo, hi: F.struct(lo.alias("lo"), F.col(hi).alias("hi"))
     zero = F.lit(0).cast("long")
     full = F.array_repeat(entry(zero, "size"), F.col("passes").cast("int"))
     parts = F.filter(F.array(entry(F.col("start"), "stop"), entry(zero, "wrap")), lambda e: e["hi"] > e["lo"])
     rows = mixed.where("taken > 0").withColumn("_part", F.explode(F.concat(full, parts)))
-    units = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    text = F.col("_row.text")
+    units = F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     cut = F.array_join(F.slice(units, (F.col("_part.lo") + 1).cast("int"), (F.col("_part.hi") - F.col("_part.lo")).cast("int")), "")
     is_whole = (F.col("_part.lo") == 0) & (F.col("_part.hi") == F.col("size"))
-    rows = rows.withColumn("text", F.when(is_whole, F.col("text")).otherwise(cut))
-    if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*columns)
+    rows = rows.withColumn("_text", F.when(is_whole, text).otherwise(cut))
+    changed = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return rows.select(*[changed.get(c, F.col(f"_row.`{c}`")).alias(c) for c in columns])
