@@ -6,17 +6,17 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Tokens of a text a predictor reads, as the classifier's input is limited.
+#: Tokens of a text that the classifier reads: its input is limited.
 MAX_TOKENS = 500
 
 
-def bag_of_words_logit(weights: dict[str, float], bias: float = 0.0) -> Callable[[], Callable]:
+def bag_of_words_logit(weights: dict[str, float], bias: float = 0.0, max_tokens: int = MAX_TOKENS) -> Callable[[], Callable]:
     """A logistic model over lower-cased words between blanks: the smallest predictor that fits the contract."""
 
     def load():
         def predict(texts: np.ndarray) -> np.ndarray:
             logits = [
-                bias + sum(weights.get(token, 0.0) for token in (text or "").lower().split()[:MAX_TOKENS]) for text in texts
+                bias + sum(weights.get(token, 0.0) for token in (text or "").lower().split()[:max_tokens]) for text in texts
             ]
             return 1.0 / (1.0 + np.exp(-np.asarray(logits, dtype=np.float64)))
 

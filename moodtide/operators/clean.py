@@ -104,13 +104,16 @@ def dedupe_posts(
 ) -> DataFrame:
     """One row per post: the copy with the highest ``prefer`` columns, other columns breaking ties.
 
+    A row without a full key is a post of its own and stays.
     Spark applies the rank limit before the shuffle as well, so many copies of one post shrink to
     one per task first.
     """
     rest = [c for c, kind in df.dtypes if c not in keys and c not in prefer and kind != "variant"]
     order = [F.col(c).desc_nulls_last() for c in prefer] + [F.col(c).asc_nulls_last() for c in rest]
-    copies = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_copy", F.row_number().over(copies)).where("_copy = 1").drop("_copy")
+    nameless = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    known = df.withColumn("_own", F.when(nameless, F.monotonically_increasing_id()))
+    copies = W.partitionBy(*keys, "_own").orderBy(*order)
+    return known.withColumn("_copy", F.row_number().over(copies)).where("_copy = 1").drop("_copy", "_own")
 
 
 def union_sources(*frames: DataFrame) -> DataFrame:

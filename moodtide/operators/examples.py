@@ -51,18 +51,18 @@ def _width(c: str) -> Column:
 def scale_min_max(df: DataFrame, fit: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("source",)) -> DataFrame:
     """Scale by the training range; test values may leave [0, 1].
 
-    ``fit`` has one row per source: adaptive execution broadcasts it while it is small, and
-    splits the rows of a dominant source otherwise.
+    A source without training rows keeps its rows with null values. ``fit`` has one row per source:
+    adaptive execution broadcasts it while it is small, and splits the rows of a dominant source otherwise.
     """
     scaled = {c: (F.col(c).cast("double") - F.col(f"{c}_min")) / _width(c) for c in columns}
-    return df.join(fit, list(keys)).withColumns(scaled).select(*df.columns)
+    return df.join(fit, list(keys), "left").withColumns(scaled).select(*df.columns)
 
 
 def inverse_scale(df: DataFrame, fit: DataFrame, column: str, values: Sequence[str], keys: Sequence[str] = ("source",)) -> DataFrame:
-    """Undo the scaling of ``column`` in each of the ``values`` columns."""
+    """Undo the scaling of ``column`` in each of the ``values`` columns; null for a source without a fit."""
     restored = {v: F.col(v) * _width(column) + F.col(f"{column}_min") for v in values}
     bounds = fit.select(*keys, f"{column}_min", f"{column}_max")
-    return df.join(bounds, list(keys)).withColumns(restored).select(*df.columns)
+    return df.join(bounds, list(keys), "left").withColumns(restored).select(*df.columns)
 
 
 def sliding_examples(

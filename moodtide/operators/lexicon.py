@@ -9,6 +9,8 @@ narrow partial sum per post.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +40,18 @@ def _terms(text: str) -> Column:
     return tokens(F.lower(bare_text(F.col(text))))
 
 
+def _identified(df: DataFrame, keys: Sequence[str], carry: Sequence[str] | None, text: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with a number for each of its rows, and the columns that words are grouped by.
+
+    Rows without an id or with the same one stay apart. Where the scores are joined back, a digest of the text
+    stands for the row.
+    """
+    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    if carry is not None:
+        return numbered, [*keys, *carry, "_row"]
+    return numbered.withColumn("_digest", F.xxhash64(text)), [*keys, "_digest", "_row"]
+
+
 def _scored(df: DataFrame, hits: DataFrame, by: Sequence[str], joined: bool, out: str) -> DataFrame:
     """Add up ``_value`` of the hits per post and squash the total."""
     total = F.coalesce(F.sum("_value"), F.lit(0.0))
@@ -45,8 +59,11 @@ def _scored(df: DataFrame, hits: DataFrame, by: Sequence[str], joined: bool, out
         total = valence.with_emphasis(total, F.max("_emphasis"))
     sums = hits.groupBy(*by).agg(scores.compound(total).alias(out))
     if not joined:
-        return sums
-    return df.join(sums, list(by), "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
+        return sums.drop("_row")
+    same = [c for c in by if c != "_row"]
+    once = sums.dropDuplicates(same).select(out, *[F.col(c).alias(f"_of_{c}") for c in same])  # equal texts have equal scores
+    match = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in same])
+    return df.join(once, match, "left").select(*[c for c in df.columns if c not in ("_row", "_digest")], F.coalesce(out, F.lit(0.0)).alias(out))
 
 
 def lexicon_compound(
@@ -60,10 +77,11 @@ def lexicon_compound(
     """Compound score from the plain polarity total; 0 for a text without a hit.
 
     With ``carry`` the result holds only the keys, those columns and the score, and comes from a
-    single aggregation. Without it the score is joined to all columns of ``df``. Keys must be unique.
+    single aggregation. Without it the score is joined to all columns of ``df``. Every row keeps a score of
+    its own, whether its key is unique, repeated or null.
     """
     joined = carry is None
-    by = list(keys) if joined else [*keys, *carry]
+    df, by = _identified(df, keys, carry, text)
     words = df.select(*by, F.posexplode_outer(_terms(text)).alias("_pos", "term"))
     known = words.join(small_side(lexicon), "term", "left")
     # The first word stays even when unknown, so that every post keeps a row.
@@ -142,7 +160,7 @@ def lexicon_compound_modifiers(
     A word that is itself a lexicon term does not modify the words after it.
     """
     joined = carry is None
-    by = list(keys) if joined else [*keys, *carry]
+    df, by = _identified(df, keys, carry, text)
     rows = _words_in_context(df, by, F.lower(text), 0).withColumn("term", F.col("_w"))
     words = _word_table(lexicon)
     hits = _hits(rows, words)
@@ -174,7 +192,7 @@ def lexicon_compound_emphasis(
     first "but", "no", "least", "never so", idioms and weakening phrases.
     """
     joined = carry is None
-    by = list(keys) if joined else [*keys, *carry]
+    df, by = _identified(df, keys, carry, text)
     capitals = capital_tokens(F.col("_bare"))
     rows = _words_in_context(
         df,

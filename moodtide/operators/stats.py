@@ -40,22 +40,30 @@ def word_frequency(df: DataFrame, k: int = 200, stopwords: DataFrame | None = No
 
 
 def _binned(df: DataFrame, columns: Sequence[str], lo: float, hi: float, bins: int) -> DataFrame:
-    """Long form ``(metric, bin, value)``; the upper bound belongs to the last bin, outliers to the outer bins."""
-    long = df.unpivot([], list(columns), "metric", "value").where(F.col("value").isNotNull())
+    """Long form ``(metric, bin, value)``; the upper bound belongs to the last bin.
+
+    Values below ``lo`` are in bin 0, values above ``hi`` in bin ``bins + 1``; nulls and NaN are left out.
+    """
+    long = df.unpivot([], list(columns), "metric", "value").where(F.col("value").isNotNull() & ~F.isnan("value"))
     place = F.width_bucket("value", F.lit(float(lo)), F.lit(float(hi)), F.lit(bins))
-    return long.withColumn("bin", F.greatest(F.lit(1), F.least(F.lit(bins), place)).cast("int"))
+    place = F.when(F.col("value") == float("inf"), bins + 1).when(F.col("value") == -float("inf"), 0).otherwise(place)
+    return long.withColumn("bin", F.when(F.col("value") == hi, bins).otherwise(place).cast("int"))
 
 
 def score_histogram(
     df: DataFrame, columns: Sequence[str] = ("sia_vader", "sia_bert"), lo: float = -1.0, hi: float = 1.0, bins: int = 50
 ) -> DataFrame:
-    """Rows per score column and bin of equal width; empty bins are left out."""
+    """Rows per score column and bin of equal width; empty bins are left out.
+
+    Outliers are counted in bin 0 and bin ``bins + 1``, which have one open end (null).
+    """
     width = (hi - lo) / bins
+    edge = F.lit(lo) + (F.col("bin") - 1) * width
     return (
         _binned(df, columns, lo, hi, bins)
         .groupBy("metric", "bin")
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumns({"lower": F.lit(lo) + (F.col("bin") - 1) * width, "upper": F.lit(lo) + F.col("bin") * width})
+        .withColumns({"lower": F.when(F.col("bin") > 0, edge), "upper": F.when(F.col("bin") <= bins, F.lit(lo) + F.col("bin") * width)})
     )
 
 
@@ -107,7 +115,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
 
     def pair(a: str, b: str) -> Column:
-        x, y = F.col(a).cast("double"), F.col(b).cast("double")
+        x, y = (F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in (a, b))
         spread = F.sqrt(F.var_pop(F.when(y.isNotNull(), x)) * F.var_pop(F.when(x.isNotNull(), y)))
         return F.try_divide(F.covar_pop(x, y), spread)
 
@@ -127,18 +135,20 @@ def rmse(df: DataFrame, truth: str = "truth", prediction: str = "prediction", by
 
 
 def batch_metrics(
-    df: DataFrame, order: Sequence[str], logit: str = "logit", label: str = "label", batch_size: int = 32
+    df: DataFrame, order: Sequence[str], logit: str = "logit", label: str = "label", batch_size: int = 32, position: str | None = None
 ) -> DataFrame:
     """Accuracy as the plain mean over batches, loss as the sum over batches of the mean loss.
 
-    Batches are cut in the total order given by ``order``; a short last batch counts in full.
+    Batches are cut in the total order given by ``order``, or by the numbers that ``position`` already holds; a
+    short last batch counts in full.
     """
     z, y = F.col(logit).cast("double"), F.col(label)
-    narrow = df.select(*order, z.alias("_z"), y.cast("double").alias("_y"))
+    kept = [F.col(position).alias("position")] if position else list(order)
+    narrow = df.select(*kept, z.alias("_z"), y.cast("double").alias("_y"))
     batch = F.floor(F.col("position") / batch_size)
     right = scores.accuracy_flag(scores.sigmoid(F.col("_z")), F.col("_y")).cast("double")
     per_batch = (
-        with_global_position(narrow, list(order))
+        (narrow if position else with_global_position(narrow, list(order)))
         .groupBy(batch.alias("batch"))
         .agg(F.avg(right).alias("_accuracy"), F.avg(scores.binary_cross_entropy(F.col("_z"), F.col("_y"))).alias("_loss"))
     )

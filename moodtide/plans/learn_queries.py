@@ -1,73 +1,195 @@
-"""Queries: learning jobs and the stream. Their numbers depend on the learner, so most have no SQL."""
+"""Queries: learning jobs and streams. The numbers a learner finds have no SQL; what the jobs promise has."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodtide.operators import learn, lexicon, series
+from moodtide.operators import daily, learn, lexicon, series
+from moodtide.operators import examples as ex
 from moodtide.plans import fixtures as fx
-from moodtide.plans.post_queries import compound_cte
+from moodtide.plans.post_queries import DAILY_CTE, compound_cte, scored_posts
 from moodtide.plans.registry import query
+from moodtide.plans.series_sql import INDICATED_CTE
 from moodtide.session import materialise, scratch_path
-from moodtide.sources import writers
+from moodtide.sources import readers, writers
 from moodtide.streaming import score as stream
 
-FEATURES = ("macd", "signal", "ema", "rsi", "volume")
+#: What the forecast reads besides its target: sentiment, engagement, market metrics, price indicators.
+FEATURES = ("sia_sum", "num_posts", "num_comments", "active_addr_cnt", "nvt", "tx_cnt", "macd", "signal", "ema", "rsi", "volume")
+#: A day without posts has no sentiment and no comments.
+FILL = {"sia_sum": 0.0, "num_posts": 0, "num_comments": 0}
+#: Posts and events of the test tables are dealt out to the days of the price series, so that the two meet.
+FIRST_DAY, DAYS = "1995-01-01", 2400
+#: The queries search this part of the full grid; the README says what the whole one takes.
+QUERY_GRID = {"maxDepth": (1, 2), "maxIter": (5, 10), "stepSize": (0.3, 0.5)}
+RUN_GRID = {"maxDepth": (1,), "maxIter": (2, 5), "stepSize": (0.3,)}
+
+
+def _day(number: str) -> F.Column:
+    return F.date_add(F.lit(FIRST_DAY).cast("date"), (F.col(number) % DAYS).cast("int"))
+
+
+def _market(spark: SparkSession, sf: str) -> DataFrame:
+    events = fx.table(spark, sf, "events").select(_day("event_id").alias("date"), "user_id", "value")
+    count = F.count(F.lit(1))
+    return events.groupBy("date").agg(
+        F.count_distinct("user_id").alias("active_addr_cnt"), F.round(F.sum("value") / count, 6).alias("nvt"), count.alias("tx_cnt")
+    )
 
 
 def _features(spark: SparkSession, sf: str) -> DataFrame:
-    prices = fx.prices(spark, sf).select("series_id", "date", "close", "volume")
-    return series.price_indicators(prices).withColumnRenamed("series_id", "source")
+    """Daily sentiment, market metrics and price indicators beside the price: the columns the forecast learns from."""
+    posts = fx.posts(spark, sf).withColumn("date", _day("id"))
+    sentiment = daily.daily_sentiment(scored_posts(spark, sf, posts).withColumn("source", F.lit("orders")), F.col("has_title"))
+    prices = series.price_indicators(fx.prices(spark, sf).select("series_id", "date", "close", "volume"))
+    joined = prices.withColumnRenamed("series_id", "source").join(sentiment.drop("sia_bert_sum", "sia_vader_sum"), ["source", "date"], "left")
+    return daily.join_indicators(joined, _market(spark, sf)).select("source", "date", "close", *FEATURES)
+
+
+DATED_DAILY = DAILY_CTE.replace("cast(e.ts as date) as date", f"cast(date '{FIRST_DAY}' + cast(d.doc_id % {DAYS} as int) as date) as date")
+MATRIX_CTE = f"""{DATED_DAILY}, {INDICATED_CTE},
+    sentiment as (
+      select date, sum(sia_sum) as sia_sum, sum(num_posts)::bigint as num_posts, sum(num_comments)::bigint as num_comments
+      from daily group by date),
+    market as (
+      select cast(date '{FIRST_DAY}' + cast(event_id % {DAYS} as int) as date) as date, count(distinct user_id) as active_addr_cnt,
+             round(sum(value) / count(*), 6) as nvt, count(*) as tx_cnt from events group by 1),
+    matrix as (
+      select series_id as source, i.date, close, coalesce(sia_sum, 0) as sia_sum, coalesce(num_posts, 0) as num_posts,
+             coalesce(num_comments, 0) as num_comments, active_addr_cnt, nvt, tx_cnt, macd, signal, ema, rsi, volume
+      from indicated i left join sentiment s on s.date = i.date left join market m on m.date = i.date),
+    complete as (select * from matrix where active_addr_cnt is not null and macd is not null and signal is not null
+                 and ema is not null and rsi is not null and close is not null)"""
+ROUNDED = {"sia_sum": 5, "nvt": 5, "macd": 3, "signal": 3, "ema": 3, "rsi": 6}
+
+
+@query(
+    "feature_matrix",
+    f"with {MATRIX_CTE} select source, date, close, "
+    + ", ".join(f"round({c}, {ROUNDED[c]}) + 0.0 as {c}" if c in ROUNDED else c for c in FEATURES)
+    + " from matrix",
+)
+def feature_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """The twelve columns of the forecast, one row per day of the price series."""
+    rows = _features(spark, sf).fillna(FILL)
+    return rows.withColumns({c: F.round(c, d) + F.lit(0.0) for c, d in ROUNDED.items()})
+
+
+@query(
+    "missing_report",
+    f"""with {MATRIX_CTE} select source, count(*) as rows, (select count(*) from complete) as complete,
+    count(*) filter (active_addr_cnt is null) as without_active_addr_cnt, count(*) filter (rsi is null) as without_rsi
+    from matrix group by source""",
+)
+def missing_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Days that the forecast leaves out, and why."""
+    report = learn.missing_report(_features(spark, sf).fillna(FILL), ["close", *FEATURES])
+    return report.select("source", "rows", "complete", "without_active_addr_cnt", "without_rsi")
+
+
+EXAMPLES_CTE = f"""{MATRIX_CTE},
+    halves as (
+      select *, case when row_number() over (partition by source order by date desc) <= 60 then 'test' else 'train' end as split,
+             close + {" + ".join(FEATURES)} as total from complete),
+    windowed as (
+      select source, split, date, close as y, count(*) over back as n, sum(total) over back as total
+      from halves window back as (partition by source, split order by date rows between 30 preceding and 1 preceding))"""
+
 
+@query(
+    "matrix_examples",
+    f"with {EXAMPLES_CTE} select source, split, date, y, 360 as n_values, round(total, 1) as total from windowed where n = 30",
+)
+def matrix_examples(spark: SparkSession, sf: str) -> DataFrame:
+    """Examples of 30 days by 12 columns, unscaled so that SQL can add them up."""
+    complete = _features(spark, sf).fillna(FILL).na.drop()
+    windows = ex.sliding_examples(ex.chronological_split(complete), "close", FEATURES)
+    flat = windows.select("source", "split", "date", "y", ex.flat_values(F.col("x"), 1 + len(FEATURES)).alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda a, b: a + b)
+    return flat.select("source", "split", "date", "y", F.size("v").alias("n_values"), F.round(total, 1).alias("total"))
+
+
+def _trained(spark: SparkSession, sf: str):
+    flat, fit = learn.prepared_examples(_features(spark, sf), "close", FEATURES, fill=FILL)
+    return learn.train_forecaster(flat, QUERY_GRID), flat, fit
 
-def _trained(spark: SparkSession, sf: str, grid: dict = learn.SMALL_GRID):
-    flat, fit = learn.prepared_examples(_features(spark, sf), "close", FEATURES)
-    return learn.train_forecaster(flat, grid), flat, fit
 
+CANDIDATES = ", ".join(
+    f"({i}, {depth}, {trees}, {step}::double)"
+    for i, (depth, trees, step) in enumerate(
+        (d, n, s) for d in QUERY_GRID["maxDepth"] for n in QUERY_GRID["maxIter"] for s in QUERY_GRID["stepSize"]
+    )
+)
+
+
+@query("grid_scores", f'select *, true as scored from (values {CANDIDATES}) as g(candidate, "maxDepth", "maxIter", "stepSize")')
+def grid_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Every candidate of the grid has a score of at most 1."""
+    table = learn.grid_scores(spark, _trained(spark, sf)[0])
+    return table.select("candidate", "maxDepth", "maxIter", "stepSize", (F.col("mean_score") <= 1).alias("scored"))
 
-@query("train_forecaster")
+
+@query("train_forecaster", "select true as in_grid, true as is_best")
 def train_forecaster(spark: SparkSession, sf: str) -> DataFrame:
-    """The chosen parameter set."""
+    """The chosen parameter set is a candidate, and none has a better score."""
     model, _, _ = _trained(spark, sf)
-    return learn.grid_scores(spark, model).orderBy(F.col("mean_score").desc(), "candidate").limit(1)
+    best = model.bestModel
+    table = learn.grid_scores(spark, model)
+    chosen = (F.col("maxDepth") == best.getMaxDepth()) & (F.col("maxIter") == best.getNumTrees) & (F.col("stepSize") == best.getStepSize())
+    return table.agg(F.bool_or(chosen).alias("in_grid"), (F.max(F.when(chosen, F.col("mean_score"))) == F.max("mean_score")).alias("is_best"))
 
 
-@query("grid_scores")
-def grid_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return learn.grid_scores(spark, _trained(spark, sf)[0])
+def _last_days(more: str) -> str:
+    """SQL of the 30 days that are predicted."""
+    return f"with {MATRIX_CTE} select source, date, {more} from complete order by date desc limit 30"
 
 
-@query("predict_forecast")
+@query("predict_forecast", _last_days("round(close, 2) as truth, true as predicted"))
 def predict_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    """Truth of the 30 last days in real units, each with a prediction."""
     model, flat, fit = _trained(spark, sf)
-    return learn.predict_forecast(model, flat, fit, "close")
+    rows = learn.predict_forecast(model, flat, fit, "close")
+    finite = F.abs("prediction") < float("inf")
+    return rows.select("source", "date", F.round("truth", 2).alias("truth"), finite.alias("predicted"))
 
 
-@query("write_predictions")
+@query("write_predictions", _last_days("round(close, 2) as truth, 'boosted' as model, 'close' as target, true as as_computed"))
 def write_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored predictions equal the computed ones, and another target written later leaves them alone."""
     path = scratch_path(spark, "predictions")
-    writers.write_predictions(predict_forecast(spark, sf), path)
-    return spark.read.parquet(path)
+    model, flat, fit = _trained(spark, sf)
+    rows = materialise(learn.predict_forecast(model, flat, fit, "close"))
+    for target in ("close", "other"):
+        writers.write_predictions(rows, path, "boosted", target)
+    stored = readers.read_predictions(spark, path).where("target = 'close'")
+    both = stored.join(rows.select("source", "date", F.col("prediction").alias("computed")), ["source", "date"])
+    same = (F.col("prediction") == F.col("computed")).alias("as_computed")
+    return both.select("source", "date", F.round("truth", 2).alias("truth"), "model", "target", same)
 
 
-@query("save_load_model")
+@query("save_load_model", _last_days("true as as_fitted"))
 def save_load_model(spark: SparkSession, sf: str) -> DataFrame:
-    """Predictions of the stored and reloaded model beside those of the fitted one."""
+    """Predictions of the stored and reloaded model equal those of the fitted one."""
     model, flat, _ = _trained(spark, sf)
     path = scratch_path(spark, "model")
     learn.save_model(model, path)
     test = flat.where("split = 'test'")
     fitted = model.transform(test).select("source", "date", F.col("prediction").alias("fitted"))
     reloaded = learn.load_model(path).transform(test).select("source", "date", F.col("prediction").alias("reloaded"))
-    return fitted.join(reloaded, ["source", "date"])
+    return fitted.join(reloaded, ["source", "date"]).select("source", "date", (F.col("fitted") == F.col("reloaded")).alias("as_fitted"))
 
 
-@query("experiment_matrix")
+@query(
+    "experiment_matrix",
+    """select 'orders' as source, 'boosted' as model, target, run::int as run, true as measured
+    from (values ('close'), ('log_price')) as t(target), range(10) as r(run)""",
+)
 def experiment_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    features = _features(spark, sf).withColumn("log_price", F.ln("close"))
-    grid = {"maxDepth": (1,), "maxIter": (2,), "stepSize": (0.3,)}
-    return learn.experiment_matrix(materialise(features), ["orders"], ["close", "log_price"], FEATURES, runs=1, grid=grid)
+    """Ten runs for each target, every one with its errors."""
+    features = materialise(_features(spark, sf).withColumn("log_price", F.ln("close")))
+    errors = learn.experiment_matrix(features, ["orders"], ["close", "log_price"], FEATURES, grid=RUN_GRID, fill=FILL)
+    return errors.select("source", "model", "target", "run", ((F.col("rmse") >= 0) & (F.col("rmse_scaled") >= 0)).alias("measured"))
 
 
 def _labelled_split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -79,10 +201,31 @@ def _labelled_split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]
     return rows.where(~held), rows.where(held)
 
 
-@query("train_text_classifier")
+@query(
+    "train_text_classifier",
+    "select * from (values (0, 2, true), (1, 5, true), (2, 10, true)) as t(epoch, iterations, measured)",
+)
 def train_text_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per length of training with its accuracy and loss."""
     train, valid = _labelled_split(spark, sf)
-    return learn.train_text_classifier(train, valid, ["doc_id"], iterations=(1, 3))[1]
+    _, history = learn.train_text_classifier(train, valid, ["doc_id"])
+    return history.select("epoch", "iterations", (F.col("accuracy").between(0, 1) & (F.col("loss") >= 0)).alias("measured"))
+
+
+@query("classify_stream", "select doc_id as id, true as as_batch from documents")
+def classify_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The trained classifier, stored and loaded, labels a stream of all documents as it labels the batch."""
+    arriving, out, state, path = (scratch_path(spark, label) for label in ("arriving", "labelled-stream", "stream-state", "classifier"))
+    learn.save_classifier(learn.train_text_classifier(*_labelled_split(spark, sf), ["doc_id"])[0], path)
+    model = learn.load_classifier(path)
+    documents = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    documents.write.parquet(arriving)
+    texts = stream.read_text_stream(spark, arriving, "id bigint, text string")
+    classify = lambda df: learn.classifier_probability(model, df)
+    stream.stream_classify(texts, classify, out, state).awaitTermination()
+    batch = learn.classify_label(classify(documents)).select("id", F.col("sentiment").alias("s"), F.col("percentage").alias("p"))
+    same = F.col("sentiment").eqNullSafe(F.col("s")) & F.col("percentage").eqNullSafe(F.col("p"))
+    return spark.read.parquet(out).join(batch, "id").select("id", same.alias("as_batch"))
 
 
 def _lexicon_probability(terms: DataFrame):
@@ -106,7 +249,7 @@ def stream_score(spark: SparkSession, sf: str) -> DataFrame:
     """All documents as a stream of files, scored in micro-batches and read back."""
     arriving, out, state = (scratch_path(spark, label) for label in ("arriving", "scored-stream", "stream-state"))
     documents = fx.table(spark, sf, "documents").select("source", F.col("doc_id").alias("id"), "text")
-    documents.repartition(4, "id").write.parquet(arriving)
-    texts = stream.read_text_stream(spark, arriving, "source string, id bigint, text string", files_per_batch=2)
+    documents.write.parquet(arriving)
+    texts = stream.read_text_stream(spark, arriving, "source string, id bigint, text string")
     stream.stream_score(texts, _lexicon_probability(fx.lexicon(spark)), out, state).awaitTermination()
     return spark.read.parquet(out).select("source", "id", "sentiment", "percentage")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moodtide.functions import models
 from moodtide.operators import clean, daily, lexicon, series
 from moodtide.plans import fixtures as fx
 from moodtide.plans import flows
 from moodtide.plans.registry import query
+from moodtide.plans.rules_sql import BARE, CONTEXT_CTE, TOTALS_CTE, WORDS, classifier_cte
 from moodtide.plans.series_sql import INDICATED_CTE
 from moodtide.session import materialise, scratch_path
 from moodtide.sources import readers, writers
@@ -46,6 +48,35 @@ def read_messages(spark: SparkSession, sf: str) -> DataFrame:
     return clean.iso_to_date(clean.flatten_messages(chat)).select("id", "date", "text")
 
 
+def _exported(spark: SparkSession, sf: str, path: str) -> None:
+    """The messages as one exported document per conversation, indented as the exporter does."""
+    one = F.concat(F.lit("  {\n"), F.substring(F.to_json(F.struct("id", "date", "text")), 2, 1 << 30))
+    one = F.concat(F.substring(one, F.lit(1), F.length(one) - 1), F.lit("\n  }"))
+    rows = fx.messages(spark, sf).select(F.floor(F.col("id") / 1000).alias("chat"), "id", one.alias("one"))
+    bodies = rows.groupBy("chat").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "one"))), lambda m: m["one"]), ",\n").alias("b"))
+    document = F.concat(F.lit('{\n "name": "chat",\n "messages": [\n'), F.col("b"), F.lit("\n ]\n}"))
+    bodies.select("chat", document.alias("value")).write.partitionBy("chat").text(path)
+
+
+def _layout(spark: SparkSession, sf: str, layout: str) -> DataFrame:
+    path = scratch_path(spark, "exported")
+    _exported(spark, sf, path)
+    chat = readers.read_messages(spark, f"{path}/*", layout=layout)
+    return clean.iso_to_date(clean.flatten_messages(chat)).select("id", "date", "text")
+
+
+@query("read_messages_document", f"with {fx.MESSAGES_CTE} select id, date, text from messages")
+def read_messages_document(spark: SparkSession, sf: str) -> DataFrame:
+    """One JSON document per conversation."""
+    return _layout(spark, sf, "document")
+
+
+@query("read_messages_indented", f"with {fx.MESSAGES_CTE} select id, date, text from messages")
+def read_messages_indented(spark: SparkSession, sf: str) -> DataFrame:
+    """The same documents, cut at the exporter's indentation."""
+    return _layout(spark, sf, "indented")
+
+
 @query(
     "read_indicators",
     f"with {fx.INDICATORS_CTE} select date, round(closing_price, 6) as closing_price, "
@@ -100,13 +131,19 @@ def normalise_records(spark: SparkSession, sf: str) -> DataFrame:
     return readers.normalise_records(fx.table(spark, sf, "documents"), columns)
 
 
-def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    return flows.score_posts(fx.posts(spark, sf), fx.lexicon(spark), scorer=lexicon.lexicon_compound, markers=fx.MARKERS)
+def _merged_lexicon(spark: SparkSession, sf: str) -> DataFrame:
+    return materialise(lexicon.merge_lexicon(fx.learned_lexicon(spark, sf), fx.lexicon(spark)))
 
 
-WORDS = r"""[t for t in string_split_regex({text}, '[\t-\r\x{{1C}}-\x{{20}}\x{{85}}\p{{Z}}]+') if t <> '']"""
-BARE = """case when length(trim({t}, '!"#$%&''()*+,-./:;<=>?@[\\]^_`{{|}}~')) <= 2 then {t}
-          else trim({t}, '!"#$%&''()*+,-./:;<=>?@[\\]^_`{{|}}~') end"""
+def scored_posts(spark: SparkSession, sf: str, posts: DataFrame, keep_text: bool = False) -> DataFrame:
+    """Posts scored as the flows do it: all rules over the merged lexicon, blended with the classifier."""
+    classifier = models.bag_of_words_logit(fx.LEXICON)
+    terms = _merged_lexicon(spark, sf)
+    return flows.score_posts(posts, terms, flows.POST_MODEL_SHARE, classifier, markers=fx.MARKERS, keep_text=keep_text)
+
+
+def _scored(spark: SparkSession, sf: str, keep_text: bool = False) -> DataFrame:
+    return scored_posts(spark, sf, fx.posts(spark, sf), keep_text)
 
 
 def compound_cte(rows: str, text: str, out: str = "compound") -> str:
@@ -128,12 +165,29 @@ CLEAN_CTE = """clean as (
   select *, left(title || ' ' || selftext, 500) as text from posts
   where not (contains(title, 'license') or contains(title, '!') or contains(selftext, 'license') or contains(selftext, '!')))"""
 
-SCORED_CTE = f"""{fx.POSTS_CTE}, {fx.LEXICON_CTE}, {CLEAN_CTE},
+#: Both lexicons of the flows, the domain's terms winning.
+MERGED_CTE = f"""{fx.LEARNED_LEXICON_CTE}, {fx.LEXICON_CTE.replace("lexicon(", "domain(")},
+    lexicon as (
+      select coalesce(d.term, b.term) as term, coalesce(d.polarity, b.polarity) as polarity
+      from learned b full join domain d on b.term = d.term)"""
+
+#: The plain total of the small lexicon.
+PLAIN_SCORED_CTE = f"""{fx.POSTS_CTE}, {fx.LEXICON_CTE}, {CLEAN_CTE},
     {compound_cte("clean", "text")},
+    scored as (select c.*, sia_vader from clean c join compound using (source, id))"""
+
+#: The whole scorer of the flows: all rules over the merged lexicon, blended with the classifier.
+SCORED_CTE = f"""{fx.POSTS_CTE}, {MERGED_CTE}, {CLEAN_CTE},
+    texts as (select source, id, text from clean),
+    {CONTEXT_CTE},
+    {TOTALS_CTE},
+    {classifier_cte("texts", "domain")},
+    parts as (
+      select c.*, 2 * p - 1 as sia_bert, s / sqrt(s * s + 15) as sia_vader, {WEIGHT} as weight
+      from clean c join totals using (source, id) join classified using (source, id)),
     scored as (
-      select c.source, c.id, c.date, c.title, c.score, c.num_comments, c.upvote_ratio, 0.0::double as sia_bert, sia_vader,
-             {WEIGHT} * sia_vader as sia
-      from clean c join compound using (source, id))"""
+      select * exclude (weight), {flows.POST_MODEL_SHARE} * weight * sia_bert + {1 - flows.POST_MODEL_SHARE} * weight * sia_vader as sia
+      from parts)"""
 
 DAILY_CTE = f"""{SCORED_CTE},
     daily as (
@@ -152,20 +206,22 @@ def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 @query(
     "write_scored",
     f"""with {SCORED_CTE}
-    select source, id, date, score, num_comments, round(sia_vader, 6) + 0.0 as sia_vader, round(sia, 6) + 0.0 as sia from scored""",
+    select source, id, title, selftext, text, date, score, num_comments, round(sia_bert, 6) + 0.0 as sia_bert,
+           round(sia_vader, 6) + 0.0 as sia_vader, round(sia, 6) + 0.0 as sia from scored""",
 )
 def write_scored(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole scored frame, stored and read again."""
     path = scratch_path(spark, "scored")
-    writers.write_scored(_scored(spark, sf), path)
-    stored = spark.read.parquet(path)
-    return _rounded(stored, "sia_vader", "sia").select("source", "id", "date", "score", "num_comments", "sia_vader", "sia")
+    writers.write_scored(_scored(spark, sf, keep_text=True), path)
+    stored = _rounded(readers.read_scored(spark, path), "sia_bert", "sia_vader", "sia")
+    return stored.select("source", "id", "title", "selftext", "text", "date", "score", "num_comments", "sia_bert", "sia_vader", "sia")
 
 
 @query("write_daily", f"with {DAILY_CTE} select {DAILY_COLUMNS} from daily")
 def write_daily(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "daily")
     writers.write_daily(daily.daily_sentiment(_scored(spark, sf), F.col("has_title")), path)
-    stored = spark.read.parquet(path)
+    stored = readers.read_daily(spark, path)
     return _rounded(stored, "sia_bert_sum", "sia_vader_sum", "sia_sum")
 
 
@@ -397,17 +453,25 @@ def lexicon_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "chat_daily_features",
-    f"""with {fx.MESSAGES_CTE}, {fx.LEXICON_CTE}, {fx.INDICATORS_CTE},
-    {compound_cte("messages", "text || ' '")},
+    f"""with {fx.MESSAGES_CTE}, {MERGED_CTE}, {fx.INDICATORS_CTE},
+    texts as (select source, id, text || ' ' as text from messages),
+    {CONTEXT_CTE},
+    {TOTALS_CTE},
+    {classifier_cte("texts", "domain")},
+    parts as (
+      select m.source, date, m.text, 2 * p - 1 as sia_bert, s / sqrt(s * s + 15) as sia_vader
+      from messages m join totals using (source, id) join classified using (source, id)),
     daily as (
-      select source, date, sum(sia_vader) as sia_vader_sum, sum(sia_vader / (1 + exp(-0.1))) as sia_sum,
-             count(nullif(text, '')) as num_posts, cast(0 as bigint) as num_comments, cast(0 as double) as sia_bert_sum
-      from messages join compound using (source, id) group by source, date)
+      select source, date, sum(sia_bert) as sia_bert_sum, sum(sia_vader) as sia_vader_sum,
+             sum(({flows.CHAT_MODEL_SHARE} * sia_bert + {1 - flows.CHAT_MODEL_SHARE} * sia_vader) / (1 + exp(-0.1))) as sia_sum,
+             count(nullif(text, '')) as num_posts, cast(0 as bigint) as num_comments
+      from parts group by source, date)
     select {DAILY_COLUMNS}, {MARKET_COLUMNS} from daily left join indicators using (date)""",
 )
 def chat_daily_features(spark: SparkSession, sf: str) -> DataFrame:
     """Chat messages to daily features, uncut texts and constant engagement."""
     chat = flows.chat_posts(fx.messages(spark, sf))
-    scored = flows.score_posts(chat, fx.lexicon(spark), scorer=lexicon.lexicon_compound, limit=None)
+    classifier = models.bag_of_words_logit(fx.LEXICON)
+    scored = flows.score_posts(chat, _merged_lexicon(spark, sf), flows.CHAT_MODEL_SHARE, classifier, limit=None)
     features = flows.daily_features(scored, fx.indicators(spark, sf))
     return _rounded(features, "sia_bert_sum", "sia_vader_sum", "sia_sum", "closing_price", "log_price")

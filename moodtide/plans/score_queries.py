@@ -9,16 +9,17 @@ from moodtide.functions import models, scores, valence
 from moodtide.functions.text import COUNTED_WORD, VOCABULARY_TOKEN
 from moodtide.operators import clean, daily, encode, learn, lexicon, stats
 from moodtide.plans import fixtures as fx
-from moodtide.plans.post_queries import BARE, SCORED_CTE, WEIGHT, WORDS, compound_cte
+from moodtide.plans.post_queries import PLAIN_SCORED_CTE, WEIGHT, compound_cte
 from moodtide.plans.registry import query
+from moodtide.plans.rules_sql import CONTEXT_CTE, FIRST_TOKENS, TOTALS_CTE, quoted
 from moodtide.session import materialise
 
 
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
-    return clean.build_text(fx.posts(spark, sf)).select("source", "id", "text")
+    return clean.build_text(fx.posts(spark, sf), limit=None).select("source", "id", "text")
 
 
-TEXTS_CTE = f"{fx.POSTS_CTE}, {fx.LEXICON_CTE}, texts as (select source, id, left(title || ' ' || selftext, 500) as text from posts)"
+TEXTS_CTE = f"{fx.POSTS_CTE}, {fx.LEXICON_CTE}, texts as (select source, id, title || ' ' || selftext as text from posts)"
 
 
 @query(
@@ -50,10 +51,6 @@ def _ruled_lexicon(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(RULED_LEXICON.items()), "term string, polarity double")
 
 
-def _quoted(words: object) -> str:
-    return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
-
-
 def _nested_replace() -> str:
     sql = "title || ' ' || selftext"
     for old, new in REWORDED:
@@ -61,29 +58,10 @@ def _nested_replace() -> str:
     return sql
 
 
-STEP = valence.DEGREE_STEP
 RULES_CTE = f"""{fx.POSTS_CTE},
     lexicon(term, polarity) as (values {", ".join(f"('{t}', {p}::double)" for t, p in RULED_LEXICON.items())}),
     texts as (select source, id, {_nested_replace()} as text from posts),
-    split as (
-      select source, id, text, generate_subscripts(ws, 1) as pos, unnest(ws) as t
-      from (select *, {WORDS.format(text="text")} as ws from texts)),
-    bare as (select source, id, text, pos, {BARE.format(t="t")} as w from split),
-    flagged as (
-      select *, lower(w) as lw, coalesce(w = upper(w) and w <> lower(w), false) as up,
-             case when lower(w) in {_quoted(valence.STRENGTHENERS)} then {STEP}
-                  when lower(w) in {_quoted(valence.WEAKENERS)} then -{STEP} else 0 end as deg,
-             lower(w) in {_quoted(valence.NEGATORS)} or contains(lower(w), 'n''t') as neg
-      from bare),
-    looked as (select f.*, polarity, polarity is not null as known from flagged f left join lexicon on term = lw),
-    context as (
-      select *,
-             {", ".join(f"lag({c}, {d}) over w as {c}{d}" for c in ("lw", "up", "deg", "neg", "known") for d in (1, 2, 3))},
-             lead(lw) over w as next1, lead(lw, 2) over w as next2, lead(known) over w as next_known,
-             count(*) filter (up) over (partition by source, id) as ups,
-             count(*) over (partition by source, id) as n,
-             min(pos) filter (lw = 'but') over (partition by source, id) as turn
-      from looked window w as (partition by source, id order by pos))"""
+    {CONTEXT_CTE}"""
 
 
 def _plain_step(value: str, d: int) -> str:
@@ -105,65 +83,10 @@ def lexicon_compound_modifiers(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("sia_vader", F.round("sia_vader", 6) + F.lit(0.0))
 
 
-def _ruled_step(value: str, d: int) -> str:
-    caps = f"case when deg{d} <> 0 and up{d} and mixed then {valence.CAPITALS_STEP} else 0 end"
-    moved = (
-        f"({value} + (case when {value} < 0 then -deg{d} else deg{d} end + "
-        f"case when {value} > 0 then {caps} else -({caps}) end) * {valence.DISTANCE_DAMPING[d]})"
-    )
-    negated = f"case when neg{d} then {valence.NEGATION_FACTOR} else 1 end"
-    near = [f"lw{k}" for k in range(1, d)]
-    if near:
-        so = " or ".join(f"coalesce({w} in ('so', 'this'), false)" for w in near)
-        doubt = " or ".join(f"coalesce({w} = 'doubt', false)" for w in near)
-        negated = (
-            f"case when lw{d} = 'never' and ({so}) then {valence.NEVER_SO_FACTOR} "
-            f"when lw{d} = 'without' and ({doubt}) then 1 else {negated} end"
-        )
-    return f"case when not known{d} then {moved} * {negated} else {value} end"
-
-
-IDIOM_MAP = "map {" + ", ".join(f"'{k}': {v}::double" for k, v in valence.IDIOMS.items()) + "}"
-IDIOM_PLACES = (
-    "lw || ' ' || next1 || ' ' || next2", "lw || ' ' || next1", "lw1 || ' ' || lw", "lw2 || ' ' || lw1 || ' ' || lw",
-    "lw2 || ' ' || lw1", "lw3 || ' ' || lw2 || ' ' || lw1", "lw3 || ' ' || lw2",
-)
-WEAK_PLACES = ("lw3 || ' ' || lw2 || ' ' || lw1", "lw3 || ' ' || lw2", "lw2 || ' ' || lw1")
-
-
 @query(
     "lexicon_compound_emphasis",
     f"""with {RULES_CTE},
-    mixed as (select *, ups > 0 and ups < n as mixed from context where known),
-    stated as (
-      select *, case when lw1 = 'no' or lw2 = 'no' or (lw3 = 'no' and lw1 in ('or', 'nor')) then polarity * {valence.NEGATION_FACTOR}
-                     when lw = 'no' and next_known then 0.0 else polarity end as p from mixed),
-    v0 as (select *, p + case when up and mixed then case when p > 0 then {valence.CAPITALS_STEP} else -{valence.CAPITALS_STEP} end
-                    else 0 end as v from stated),
-    v1 as (select * exclude v, {_ruled_step("v", 1)} as v from v0),
-    v2 as (select * exclude v, {_ruled_step("v", 2)} as v from v1),
-    v3 as (select * exclude v, {_ruled_step("v", 3)} as v from v2),
-    settled as (
-      select *, case when not known3 then
-          coalesce({", ".join(f"{IDIOM_MAP}[{p}]" for p in IDIOM_PLACES)}, v)
-          - {" - ".join(f"case when {p} in {_quoted(valence.WEAKENING_PHRASES)} then {STEP} else 0 end" for p in WEAK_PLACES)}
-        else v end as s from v3),
-    final as (
-      select source, id, s
-        * case when lw1 = 'least' and not known1 and not coalesce(lw2 in ('at', 'very'), false) then {valence.NEGATION_FACTOR} else 1 end
-        * case when deg <> 0 or (lw = 'kind' and coalesce(next1 = 'of', false)) then 0
-               when pos < turn then {valence.BEFORE_BUT} when pos > turn then {valence.AFTER_BUT} else 1 end as s
-      from settled),
-    sums as (select source, id, sum(s) as s from final group by source, id),
-    marks as (
-      select source, id, least(length(text) - length(replace(text, '!', '')), 4) * {valence.EXCLAMATION_STEP} as ep,
-             length(text) - length(replace(text, '?', '')) as q from texts),
-    emphasis as (
-      select source, id, ep + case when q <= 1 then 0 when q <= 3 then q * {valence.QUESTION_STEP} else {valence.QUESTION_CEILING} end as e
-      from marks),
-    totals as (
-      select t.source, t.id, case when s > 0 then s + e when s < 0 then s - e else 0.0 end as s
-      from texts t left join sums using (source, id) join emphasis using (source, id))
+    {TOTALS_CTE}
     select source, id, round(s / sqrt(s * s + 15), 6) + 0.0 as sia_vader from totals""",
 )
 def lexicon_compound_emphasis(spark: SparkSession, sf: str) -> DataFrame:
@@ -172,9 +95,6 @@ def lexicon_compound_emphasis(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("sia_vader", F.round("sia_vader", 6) + F.lit(0.0))
 
 
-FIRST_TOKENS = r"""list_slice([t for t in string_split_regex(lower(text), '[ \t\n\x0B\f\r]+') if t <> ''], 1, 500)"""
-
-
 @query(
     "model_probability",
     f"""with {fx.LEXICON_CTE}, words as (
@@ -234,7 +154,7 @@ def engagement_weight(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "blend_sentiment",
-    f"""with {SCORED_CTE.replace("0.0::double as sia_bert", "0.0::double as unused")}
+    f"""with {PLAIN_SCORED_CTE}
     select source, id, round(0.3 * {WEIGHT} * {SENTIMENT} + 0.7 * {WEIGHT} * sia_vader, 6) + 0.0 as sia
     from scored""",
 )
@@ -284,11 +204,10 @@ def build_vocab(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "encode_sequence",
-    f"""with {VOCAB_CTE}, kept as (select * from vocab where token_id < 2004),
-    used as (
+    f"""with {VOCAB_CTE}, used as (
       select doc_id, generate_subscripts(ts, 1) as pos, unnest(ts) as term from (select doc_id, ts[1:48] as ts from tokens)),
     ids as (
-      select doc_id, list(coalesce(token_id, 1) order by pos) as body from used left join kept using (term) group by doc_id),
+      select doc_id, list(coalesce(token_id, 1) order by pos) as body from used left join vocab using (term) group by doc_id),
     padded as (
       select doc_id, list_resize(list_concat([2], coalesce(body, []), [3]), 50, 0) as input_ids
       from documents left join ids using (doc_id))
@@ -297,7 +216,7 @@ def build_vocab(spark: SparkSession, sf: str) -> DataFrame:
 )
 def encode_sequence(spark: SparkSession, sf: str) -> DataFrame:
     documents = fx.documents(spark, sf).select(F.col("doc_id").alias("id"), "text")
-    vocab = materialise(encode.build_vocab(documents, size=2000))
+    vocab = materialise(encode.build_vocab(documents))
     encoded = encode.encode_sequence(documents, vocab, 50)
     return encoded.select("id", *[F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("input_ids", "attention_mask")])
 
@@ -305,7 +224,7 @@ def encode_sequence(spark: SparkSession, sf: str) -> DataFrame:
 STOPWORDS = ("the", "of", "and", "der", "die", "les", "que")
 COUNTS_CTE = f"""counts as (
       select term, count(*) as n from (select unnest(regexp_extract_all(lower(text), '{COUNTED_WORD.replace("'", "''")}')) as term from documents)
-      where term not in {_quoted(STOPWORDS)} group by term)"""
+      where term not in {quoted(STOPWORDS)} group by term)"""
 
 
 def _stopwords(spark: SparkSession) -> DataFrame:

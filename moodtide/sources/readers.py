@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from moodtide import schemas
 
@@ -12,8 +15,28 @@ INDENTED_MESSAGE_BREAK = "\n  },\n  {\n"
 
 
 def _csv(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """A CSV with a header, every column as text, so that column order does not matter."""
-    return spark.read.options(header=True, inferSchema=False, **options).csv(path)
+    """A CSV with a header, every column as text and known by its name.
+
+    Files of one path must have the same header; Spark checks that instead of going by position.
+    """
+    reader = spark.read.options(header=True, inferSchema=False, enforceSchema=False, **options)
+    names = reader.csv(path).columns
+    # a column without a name, as an index has, is called _c and its place by Spark but blank in the header
+    blank = [StructField("" if c == f"_c{i}" else c, StringType()) for i, c in enumerate(names)]
+    return reader.schema(StructType(blank)).csv(path).withColumn("_file_name", F.col("_metadata.file_name")).toDF(*names, "_file_name")
+
+
+def _named(raw: DataFrame, columns: dict[str, str], required: Sequence[str], *more: Column) -> DataFrame:
+    """The named columns of a file by their header; one that must be there and is not is an error."""
+    missing = [c for c in required if c not in raw.columns]
+    if missing:
+        raise ValueError(f"the file lacks the columns {missing}; it has {raw.columns[:-1]}")
+    found = [(F.col(f"`{c}`").try_cast(t) if c in raw.columns else F.lit(None).cast(t)).alias(c) for c, t in columns.items()]
+    return raw.select(*found, *more)
+
+
+def _ddl(schema: str) -> dict[str, str]:
+    return dict(part.split() for part in schema.split(", "))
 
 
 def _number(name: str) -> Column:
@@ -22,7 +45,10 @@ def _number(name: str) -> Column:
 
 
 def _day(name: str) -> Column:
-    return F.to_date(F.try_to_timestamp(F.col(f"`{name}`")))
+    """A date or time as text, or milliseconds since 1970."""
+    value = F.col(f"`{name}`")
+    millis = F.when(value.rlike(r"^-?[0-9]{9,}(\.0*)?$"), F.date_from_unix_date(F.floor(value.try_cast("double") / 86_400_000).cast("int")))
+    return F.coalesce(millis, F.to_date(F.try_to_timestamp(value)))
 
 
 def read_posts(
@@ -30,22 +56,22 @@ def read_posts(
 ) -> DataFrame:
     """All post files below ``path``; ``community`` is the leading part of the file name.
 
-    The pattern leaves out derived files such as ``*-sia.csv``.
+    The pattern leaves out derived files such as ``*-sia.csv``. Columns are found by their header,
+    whatever their order; further ones are left out, and a file without id, title or time is an error.
 
     ``source`` labels the rows and defaults to the community. Bodies hold line breaks and doubled
     quotes, which makes a CSV file unsplittable: store big sets as parquet (``write_posts``).
     """
     if fmt == "csv":
-        posts = (
-            spark.read.schema(schemas.POST_FILE)
-            .options(header=True, multiLine=True, quote='"', escape='"', pathGlobFilter=pattern)
-            .csv(path)
-        )
+        raw = _csv(spark, path, multiLine="true", quote='"', escape='"', pathGlobFilter=pattern)
+        name = F.regexp_extract("_file_name", r"^(.*?)-?submissions\.", 1)
+        community = F.col("community") if "community" in raw.columns else name
+        posts = _named(raw, _ddl(schemas.POST_FILE), ("id", "title", "created_utc"), community.alias("community"))
     else:
         posts = spark.read.format(fmt).load(path)
-    if "community" not in posts.columns:
-        name = F.col("_metadata.file_name")
-        posts = posts.withColumn("community", F.regexp_extract(name, r"^(.*?)-?submissions\.", 1))
+        if "community" not in posts.columns:
+            name = F.col("_metadata.file_name")
+            posts = posts.withColumn("community", F.regexp_extract(name, r"^(.*?)-?submissions\.", 1))
     return posts.withColumn("source", F.lit(source) if source else F.col("community"))
 
 
@@ -97,13 +123,12 @@ def read_prices(spark: SparkSession, path: str, series_id: str = "price") -> Dat
 
 def read_labelled(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated ``sentence`` and 0/1 ``label`` with a header; quotes are plain characters."""
-    return spark.read.schema(schemas.LABELLED).options(sep="\t", header=True, quote="").csv(path)
+    return _named(_csv(spark, path, sep="\t", quote=""), _ddl(schemas.LABELLED), ("sentence", "label"))
 
 
 def load_lexicon(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
     """Lexicon ``(term, polarity)``; polarity text becomes a double and terms must be unique."""
-    raw = spark.read.schema(schemas.LEXICON_FILE).options(header=True, escape='"').csv(path)
-    lexicon = raw.select("term", F.col("polarity").try_cast("double").alias("polarity"))
+    lexicon = _named(_csv(spark, path, escape='"'), {"term": "string", "polarity": "double"}, ("term", "polarity"))
     if check:
         doubled = lexicon.groupBy("term").count().where("count > 1").select("term").head(3)
         if doubled:
@@ -111,6 +136,21 @@ def load_lexicon(spark: SparkSession, path: str, check: bool = True) -> DataFram
     return lexicon
 
 
+def read_scored(spark: SparkSession, path: str) -> DataFrame:
+    """Scored posts as ``write_scored`` stored them, to go on from there."""
+    return spark.read.parquet(path)
+
+
+def read_daily(spark: SparkSession, path: str) -> DataFrame:
+    """Daily features as ``write_daily`` stored them."""
+    return spark.read.parquet(path)
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """Predictions of all models and targets as ``write_predictions`` stored them."""
+    return spark.read.parquet(path)
+
+
 def normalise_records(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """The named columns in order and with their types; a column ``df`` lacks is null."""
     return df.select(

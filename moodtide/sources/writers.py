@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Upper bound on the rows of one output file, so that a big source still gives readable files.
 ROWS_PER_FILE = 5_000_000
@@ -18,30 +21,33 @@ CSV_OPTIONS = {
 }
 
 
-def _write(df: DataFrame, path: str, by: str | None, fmt: str, **options: str) -> None:
-    writer = df.write.mode("overwrite").format(fmt).option("maxRecordsPerFile", ROWS_PER_FILE).options(**options)
-    (writer.partitionBy(by) if by else writer).save(path)
+def _write(df: DataFrame, path: str, by: Sequence[str], fmt: str, order: Sequence[str] = (), **options: str) -> None:
+    """Write one folder per value of ``by`` and replace just those folders; others stay.
 
+    Rows are rebalanced first: a folder gets as many files as its size asks for, and a dominant value
+    is split between tasks.
+    """
+    even = df.hint("rebalance", *by)
+    writer = (even.sortWithinPartitions(*order) if order else even).write.mode("overwrite").format(fmt)
+    writer = writer.option("maxRecordsPerFile", ROWS_PER_FILE).option("partitionOverwriteMode", "dynamic").options(**options)
+    writer.partitionBy(*by).save(path)
 
-def write_posts(df: DataFrame, path: str, by: str = "community") -> None:
-    """Fetched posts, one folder per community.
 
-    Tasks write their own rows without a shuffle, so a community with a large share of the posts
-    is written by as many tasks as hold its rows.
-    """
-    _write(df, path, by, "parquet")
+def write_posts(df: DataFrame, path: str, by: str = "community") -> None:
+    """Fetched posts, one folder per community."""
+    _write(df, path, [by], "parquet")
 
 
 def write_scored(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Scored posts of all sources, one folder per source."""
-    _write(df, path, "source", fmt, **(CSV_OPTIONS if fmt == "csv" else {}))
+    """Scored posts, one folder per source; sources that are not among them keep what they have."""
+    _write(df, path, ["source"], fmt, **(CSV_OPTIONS if fmt == "csv" else {}))
 
 
 def write_daily(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Daily features, one folder per source, in date order within a file."""
-    _write(df.sortWithinPartitions("source", "date"), path, "source", fmt, **(CSV_OPTIONS if fmt == "csv" else {}))
+    _write(df, path, ["source"], fmt, ["source", "date"], **(CSV_OPTIONS if fmt == "csv" else {}))
 
 
-def write_predictions(df: DataFrame, path: str) -> None:
-    """Truth and prediction per forecast row."""
-    _write(df, path, None, "parquet")
+def write_predictions(df: DataFrame, path: str, model: str, target: str) -> None:
+    """Truth and prediction per forecast row, one folder per model and target; other runs stay."""
+    _write(df.withColumns({"model": F.lit(model), "target": F.lit(target)}), path, ["model", "target"], "parquet")

@@ -80,3 +80,11 @@ def test_cleaning_report(spark):
         "source string, title string, selftext string, score int, num_comments int, upvote_ratio float, date string",
     )
     assert tuple(clean.cleaning_report(rows).head()) == ("s", 4, 1, 1, 2, 1)
+
+
+def test_dedupe_keeps_rows_without_an_id(spark):
+    rows = [("s", None, 1, 1), ("s", None, 1, 1), (None, "a", 1, 1), ("s", "a", 1, 1), ("s", "a", 2, 1)]
+    df = spark.createDataFrame(rows, "source string, id string, num_comments int, score int")
+    assert sorted((str(r.source), str(r.id), r.num_comments) for r in clean.dedupe_posts(df).collect()) == [
+        ("None", "a", 1), ("s", "None", 1), ("s", "None", 1), ("s", "a", 2),
+    ]

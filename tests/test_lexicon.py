@@ -122,3 +122,13 @@ def test_capital_tokens(spark):
     texts = ["ABC def G1 123 É Éa A.B!", ""]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(text.capital_tokens(F.col("t")).alias("n"))
     assert [r.n for r in rows.collect()] == [4, 0]
+
+
+@pytest.mark.parametrize("carry", [None, []])
+@pytest.mark.parametrize("scorer", [lexicon.lexicon_compound, lexicon.lexicon_compound_modifiers, lexicon.lexicon_compound_emphasis])
+def test_posts_without_an_id_or_with_a_doubled_one_keep_their_scores(spark, scorer, carry):
+    terms = spark.createDataFrame([("good", 0.5), ("bad", -0.4)], "term string, polarity double")
+    texts = [("s", None, "good"), ("s", None, "bad"), ("s", None, "x"), ("s", 1, "good"), ("s", 1, "good"), (None, 2, "bad")]
+    df = spark.createDataFrame(texts, "source string, id int, text string")
+    found = sorted(round(r.sia_vader, 4) for r in scorer(df, terms, carry=carry).collect())
+    assert found == [-0.1027, -0.1027, 0.0, 0.128, 0.128, 0.128]

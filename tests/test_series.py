@@ -123,3 +123,13 @@ def test_tail(spark):
     assert sorted(r.y for r in found.where("source = 's'").collect()) == [float(i) for i in range(40, 50)]
     assert found.where("source = 't'").count() == 3
     assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_source_without_training_rows_keeps_its_rows(spark):
+    long, short = frame(spark, 90, "long"), frame(spark, 50, "short")
+    split = ex.chronological_split(long.unionByName(short))
+    fit = ex.fit_min_max(split, ["y"])
+    scaled = ex.scale_min_max(split, fit, ["y"])
+    assert {r.source: r["count"] for r in scaled.groupBy("source").count().collect()} == {"long": 90, "short": 50}
+    assert scaled.where("source = 'short' and y is not null").count() == 0
+    assert ex.inverse_scale(scaled, fit, "y", ["y"]).count() == 140

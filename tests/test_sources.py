@@ -98,3 +98,48 @@ def test_daily_round_trip(spark, tmp_path):
     rows = spark.range(20).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"), F.date_add(F.lit(dt.date(2020, 1, 1)), F.col("id").cast("int")).alias("date"))
     writers.write_daily(rows, str(tmp_path / "d"))
     assert spark.read.parquet(str(tmp_path / "d")).count() == 20
+
+
+def test_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "a-submissions.csv").write_text(",title,url,created_utc,id,extra\n0,T,u,1577836800,x,e\n")
+    row = readers.read_posts(spark, str(tmp_path)).head()
+    assert (row.id, row.title, row.url, row.created_utc, row.selftext, row.community) == ("x", "T", "u", "1577836800", None, "a")
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "b-submissions.csv").write_text("url,id\nu,x\n")
+    with pytest.raises(ValueError, match="title"):
+        readers.read_posts(spark, str(tmp_path / "b"))
+    (tmp_path / "l.tsv").write_text("label\tsentence\n1\tfine\n")
+    assert tuple(readers.read_labelled(spark, str(tmp_path / "l.tsv")).head()) == ("fine", 1)
+    (tmp_path / "lex.csv").write_text("polarity,note,term\n0.5,n,good\n")
+    assert tuple(readers.load_lexicon(spark, str(tmp_path / "lex.csv")).head()) == ("good", 0.5)
+
+
+def test_dates_in_milliseconds(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("date,open,high,low,close,volume\n1577836800000,1,2,0,1,5\n2020-01-02,1,2,0,1,5\n")
+    assert [str(r.date) for r in readers.read_prices(spark, str(tmp_path / "p.csv")).orderBy("date").collect()] == ["2020-01-01", "2020-01-02"]
+
+
+def test_writes_of_other_sources_stay_and_files_follow_the_size(spark, tmp_path):
+    frame = spark.range(2000).select("id", F.when(F.col("id") % 10 > 0, "hot").otherwise("cold").alias("source")).repartition(16)
+    path = str(tmp_path / "scored")
+    writers.write_scored(frame, path)
+    writers.write_scored(frame.limit(5).withColumn("source", F.lit("third")), path)
+    stored = readers.read_scored(spark, path)
+    assert {r.source: r["count"] for r in stored.groupBy("source").count().collect()} == {"hot": 1800, "cold": 200, "third": 5}
+    assert len(list((tmp_path / "scored").glob("*/part-*"))) <= 4
+    writers.write_scored(frame.where("source = 'cold'").limit(3), path)
+    assert readers.read_scored(spark, path).where("source = 'cold'").count() == 3
+    for model, target in (("m", "a"), ("m", "b"), ("m", "a")):
+        writers.write_predictions(frame.select("id"), str(tmp_path / "p"), model, target)
+    assert readers.read_predictions(spark, str(tmp_path / "p")).groupBy("model", "target").count().count() == 2
+
+
+def test_a_flow_goes_on_from_stored_scores(spark, tmp_path):
+    from moodtide.operators import daily
+
+    kinds = "source string, date date, sia_bert double, sia_vader double, sia double, title string, num_comments int"
+    rows = [(f"s{i % 2}", dt.date(2020, 1, 1 + i % 3), 0.1 * i, 0.2, 0.3, "t" if i % 4 else "", i) for i in range(20)]
+    scored = spark.createDataFrame(rows, kinds)
+    writers.write_scored(scored, str(tmp_path / "s"))
+    key = lambda df: sorted((r.source, r.date, round(r.sia_bert_sum, 9), r.num_posts, r.num_comments) for r in df.collect())
+    assert key(daily.daily_sentiment(readers.read_scored(spark, str(tmp_path / "s")))) == key(daily.daily_sentiment(scored))

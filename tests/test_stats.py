@@ -38,10 +38,29 @@ def test_correlation(spark):
     assert found["d", "a"] == pytest.approx(expected)
 
 
-def test_histogram_clamps(spark):
-    rows = spark.createDataFrame([(-1.0,), (1.0,), (0.0,), (2.0,), (-3.0,), (None,)], "v double")
-    found = {r.bin: r.n for r in stats.score_histogram(rows, ["v"], bins=4).collect()}
-    assert found == {1: 2, 3: 1, 4: 2}
+def test_histogram_counts_outliers_apart_and_leaves_out_nan(spark):
+    values = [(v,) for v in (float("nan"), 0.1, 5.0, -3.0, 1.0, -1.0, None, float("inf"))]
+    rows = stats.score_histogram(spark.createDataFrame(values, "v double"), ["v"], bins=4).collect()
+    assert {r.bin: (r.n, r.lower, r.upper) for r in rows} == {0: (1, None, -1.0), 1: (1, -1.0, -0.5), 3: (1, 0.0, 0.5), 4: (1, 0.5, 1.0), 5: (2, 1.0, None)}
+
+
+def test_correlation_skips_nan(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (float("nan"), 1.0), (3.0, 6.0)], "a double, b double")
+    assert stats.correlation_matrix(df, ["a", "b"]).head()["corr"] == pytest.approx(1.0)
+
+
+def test_density_equals_the_exact_kernel_sum(spark):
+    import math
+    import random
+
+    rng = random.Random(1)
+    values = [max(-1.0, min(1.0, rng.gauss(0.1, 0.3))) for _ in range(3000)]
+    found = stats.score_density(spark.createDataFrame([(v,) for v in values], "v double"), ["v"]).collect()
+    mean = sum(values) / len(values)
+    h = math.sqrt(sum((v - mean) ** 2 for v in values) / (len(values) - 1)) * len(values) ** -0.2
+    for r in found[::10]:
+        exact = sum(math.exp(-(((r.x - v) / h) ** 2) / 2) for v in values) / (len(values) * h * math.sqrt(2 * math.pi))
+        assert r.density == pytest.approx(exact, abs=2e-3)
 
 
 def test_density_integrates_to_one(spark):
