@@ -26,6 +26,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from moodtide.llm.sampling import by_hash
+from moodtide.session import scratch_path
+
 TRAIN_ROWS, PRECISION, TREES, DEPTH = 20_000, 0.98, 12, 4
 #: Calibration needs so many rows; with fewer, only base spans are reported.
 LEAST_HELD = 50
@@ -74,9 +77,9 @@ def base_matches(text: str) -> list[Span]:
             out += [(m.start(), 1, m.end(), all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))) for m in _IP.finditer(text)]
         for m in _CARD.finditer(text):
             n = m.end() - m.start()
-            if n >= 12:
-                digits = m[0].replace(" ", "").replace("-", "")
-                out.append((m.start(), 2, m.end(), 12 <= len(digits) <= 19 and _luhn(digits)))
+            digits = m[0].replace(" ", "").replace("-", "") if n >= 12 else ""
+            if 12 <= len(digits) <= 19:
+                out.append((m.start(), 2, m.end(), _luhn(digits)))
         if "+" in text:
             out += [(m.start(), 3, m.end(), 9 <= sum(c in "0123456789" for c in m[0]) <= 15) for m in _PHONE.finditer(text)]
     return out
@@ -182,8 +185,9 @@ def labelled(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def fit(docs: DataFrame, text: str = "text") -> Trees:
     """Train and calibrate on at most ``TRAIN_ROWS`` labelled proposals, chosen by hash from all texts."""
-    order = F.xxhash64("x", "label")
-    sample = labelled(docs, text).orderBy(order, "x", "label").limit(TRAIN_ROWS).toArrow()  # bounded
+    path = scratch_path(docs.sparkSession, "proposals")
+    labelled(docs, text).write.parquet(path)
+    sample = by_hash(docs.sparkSession.read.parquet(path), TRAIN_ROWS, "x", "label").toArrow()
     x = np.array(sample.column("x").to_pylist(), float).reshape(-1, WIDTH)
     y = sample.column("label").to_numpy()
     held = np.arange(len(y)) % 5 == 4

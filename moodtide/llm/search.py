@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from moodtide.llm.sampling import by_hash
 from moodtide.session import materialise, scratch_path
 
 #: Rows the centroids are fitted on, vectors of the sample in a cluster, neighbours of a centroid in the graph.
@@ -143,7 +144,7 @@ class Lists:
 
 def fit(rows: DataFrame) -> Lists | None:
     """Centroids and graph from a sample by hash of at most ``SAMPLE`` vectors."""
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").toArrow()
+    sample = by_hash(rows, SAMPLE, "id", "vector").select("vector").toArrow()
     return Lists.of(_matrix(sample.column("vector"))) if sample.num_rows else None
 
 
