@@ -45,8 +45,8 @@ def test_next_document_and_edits_equal_plain_ones(spark):
 
 
 def test_likeness_and_awkward_rows(spark, awkward, nothing):
-    out = awkward.withColumn("p", parsing.fingerprint(F.col("text")))
-    rows = parsing.with_next(out.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "p"), "doc_id", ["text", "p"])
+    texts = awkward.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = parsing.with_next(texts, "doc_id", ["text"], {"p": parsing.fingerprint(F.col("text"))})
     rows = rows.withColumn("near", parsing.likeness(F.col("p"), F.col("next_p"))).collect()
     assert len(rows) == awkward.count()
     near = {(r.doc_id, r.near) for r in rows}

@@ -55,5 +55,5 @@ def test_awkward_rows_pass_every_stage(spark, awkward, nothing):
         docs = pipeline.tokens(spark, docs, DIR)
         assert docs.where("decoded_sha256 is null").count() == 0
     kept = pipeline.near_copies(spark, pipeline.language(spark, awkward, DIR), DIR)
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "5", "6", "8", "None"]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "6", "8", "None"]  # none of the trigrams of 5 is known
     assert len(AWKWARD) == 10
