@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values of the published rule model -------------------------------------------------------
+# They are part of a model published under the MIT licence, Copyright (c) 2016 C.J. Hutto. Permission is granted,
+# free of charge, to use, copy, modify and distribute it provided that this notice is included; it is provided
+# "as is", without warranty of any kind.
 
 DEGREE_STEP = 0.293
 CAPITALS_STEP = 0.733

@@ -10,7 +10,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from moodtide.operators.series import with_series_position
-from moodtide.session import materialise
 
 #: Rows an example looks back on, and rows predicted at the end of a series.
 WINDOW_ROWS = 30
@@ -27,12 +26,24 @@ def tail_n(df: DataFrame, n: int, keys: Sequence[str] = ("source",), time: str =
 
 
 def chronological_split(
-    df: DataFrame, test_rows: int = TEST_ROWS, keys: Sequence[str] = ("source",), time: str = "date"
+    df: DataFrame,
+    test_rows: int = TEST_ROWS,
+    keys: Sequence[str] = ("source",),
+    time: str = "date",
+    position: str | None = None,
 ) -> DataFrame:
-    """Add ``split``: the last ``test_rows`` rows of a source are ``test``, the others ``train``."""
-    placed = with_series_position(materialise(df), keys, time)
-    split = F.when(F.col("_pos") >= F.col("_len") - test_rows, F.lit("test")).otherwise(F.lit("train"))
-    return placed.withColumn("split", split).drop("_pos", "_len")
+    """Add ``split``: the last ``test_rows`` rows of a source are ``test``, the others ``train``.
+
+    ``position`` names a column for the place of a row in its part, which ``sliding_examples`` can use. The input
+    is read twice.
+    """
+    placed = with_series_position(df, keys, time)
+    test = F.col("_pos") >= F.col("_len") - test_rows
+    split = placed.withColumn("split", F.when(test, F.lit("test")).otherwise(F.lit("train")))
+    if position:
+        first = F.greatest(F.col("_len") - test_rows, F.lit(0))
+        split = split.withColumn(position, F.col("_pos") - F.when(test, first).otherwise(0))
+    return split.drop("_pos", "_len")
 
 
 def fit_min_max(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("source",)) -> DataFrame:
@@ -72,16 +83,21 @@ def sliding_examples(
     window: int = WINDOW_ROWS,
     keys: Sequence[str] = ("source", "split"),
     time: str = "date",
+    position: str | None = None,
 ) -> DataFrame:
     """One example per row that has ``window`` rows before it in its group.
 
     ``x`` holds those rows, target first and features after it, and ``y`` the target of the row
     itself. A group is cut into runs of rows; a run also receives the last rows of the run before
-    it, so that every example is complete and no task holds more than one run.
+    it, so that every example is complete and no task holds more than one run. Rows are numbered in time
+    order unless ``position`` names a column that does so, from 0 in each group.
     """
     run_rows = max(RUN_ROWS, window)
     columns = [target, *[c for c in features if c != target]]
-    placed = with_series_position(materialise(df.select(*keys, time, *columns)), keys, time)
+    if position:
+        placed = df.select(*keys, time, *columns, F.col(position).alias("_pos"))
+    else:
+        placed = with_series_position(df.select(*keys, time, *columns), keys, time)
     run = F.floor(F.col("_pos") / run_rows)
     also_next = F.col("_pos") % run_rows >= run_rows - window
     copies = placed.withColumn("_own", run).withColumn(

@@ -61,10 +61,10 @@ def prepared_examples(
     """
     used = [target, *[c for c in columns if c != target]]
     filled = features.fillna(fill) if fill else features
-    complete = filled.select("source", "date", *used).na.drop()
-    split = materialise(ex.chronological_split(complete, test_rows))
+    complete = materialise(filled.select("source", "date", *used).na.drop())
+    split = ex.chronological_split(complete, test_rows, position="position")
     fit = materialise(ex.fit_min_max(split, used))
-    windows = ex.sliding_examples(ex.scale_min_max(split, fit, used), target, columns, window)
+    windows = ex.sliding_examples(ex.scale_min_max(split, fit, used), target, columns, window, position="position")
     return materialise(ex.flatten_examples(windows, len(used))), fit
 
 

@@ -94,7 +94,7 @@ def _words_in_context(df: DataFrame, by: Sequence[str], text: Column, ahead: int
 
     ``_w`` is the word, ``_b1`` to ``_b3`` the words before, ``_a1`` and so on those after; null
     where the text ends. A text without words gives one row of nulls. ``extra`` columns are made
-    once per text, from the text ``_text`` or its bare form ``_bare``.
+    once per text, from the text ``_text``, its bare form ``_bare`` or its words ``_tokens``.
     """
     missing = F.lit(None).cast("string")
     words = F.col("_tokens")
@@ -103,7 +103,8 @@ def _words_in_context(df: DataFrame, by: Sequence[str], text: Column, ahead: int
     shifted |= {f"_a{d}": F.slice(words, d + 1, F.size(words)) for d in range(1, ahead + 1)}
 
     bare = df.select(*by, text.alias("_text"), bare_text(text).alias("_bare"))
-    once = bare.select(*by, tokens(F.col("_bare")).alias("_tokens"), *[c.alias(name) for name, c in extra.items()])
+    split = bare.select(*by, "_text", "_bare", tokens(F.col("_bare")).alias("_tokens"))
+    once = split.select(*by, "_tokens", *[c.alias(name) for name, c in extra.items()])
     beside = once.select(*by, *extra, *[c.alias(name) for name, c in shifted.items()])
     rows = beside.select(*by, *extra, F.posexplode_outer(F.arrays_zip(*shifted)).alias("_pos", "_c")).select(*by, *extra, "_pos", "_c.*")
     # The shifted columns are longer than the text; its first row stays for a text without words.
@@ -199,8 +200,8 @@ def lexicon_compound_emphasis(
         by,
         F.col(text),
         2,
-        _mixed=(capitals > 0) & (capitals < F.size(tokens(F.col("_bare")))),
-        _but=F.array_position(tokens(F.lower("_bare")), "but"),
+        _mixed=(capitals > 0) & (capitals < F.size("_tokens")),
+        _but=F.array_position(F.transform("_tokens", F.lower), "but"),
         _emphasis=valence.punctuation_emphasis(F.col("_text")),
     ).withColumn("term", F.lower("_w"))
     words = _word_table(lexicon)

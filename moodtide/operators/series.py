@@ -67,9 +67,9 @@ def ewm_means(
     nothing and repeats the mean before it, and leading nulls give null. ``previous`` maps a column
     to the name under which its value of the row before is added.
 
-    The input is read for the rows and for the carries, so it is checkpointed first.
+    The input is read for the rows and for the carries, from one shuffle of both: a frame that is dear to
+    compute is stored by the caller.
     """
-    df = materialise(df)
     previous = previous or {}
     keys = list(keys)
     block = [*keys, "_block"]
@@ -141,7 +141,7 @@ def macd(
     keys: Sequence[str] = ("series_id",),
 ) -> DataFrame:
     """Add ``macd``, the fast minus the slow average, and ``signal``, the average of ``macd``."""
-    both = ewm_means(df, [Ewm.span(value, fast, "_fast"), Ewm.span(value, slow, "_slow")], keys)
+    both = materialise(ewm_means(df, [Ewm.span(value, fast, "_fast"), Ewm.span(value, slow, "_slow")], keys))
     line = both.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
     return ewm_means(line, [Ewm.span("macd", smooth, "signal")], keys)
 
@@ -160,7 +160,7 @@ def _strength(gain: Column, loss: Column) -> Column:
 
 def rsi(df: DataFrame, value: str = "close", period: int = 14, out: str = "rsi", keys: Sequence[str] = ("series_id",)) -> DataFrame:
     """Relative strength index from the averages of gains and losses."""
-    moves = _with_moves(ewm_means(df, [], keys, previous={value: "_before"}), value, "_before")
+    moves = materialise(_with_moves(ewm_means(df, [], keys, previous={value: "_before"}), value, "_before"))
     specs = [Ewm("_gain", 1.0 / period, "_up"), Ewm("_loss", 1.0 / period, "_down")]
     means = ewm_means(moves, specs, keys)
     return means.withColumn(out, _strength(F.col("_up"), F.col("_down"))).select(*df.columns, out)
@@ -172,7 +172,7 @@ def price_indicators(prices: DataFrame, keys: Sequence[str] = ("series_id",)) ->
     The first pass needs only closing prices, the second the values made by the first.
     """
     levels = [Ewm.span("close", 12, "_fast"), Ewm.span("close", 26, "_slow"), Ewm.span("close", 9, "ema")]
-    first = ewm_means(prices, levels, keys, previous={"close": "_before"})
+    first = materialise(ewm_means(prices, levels, keys, previous={"close": "_before"}))
     first = _with_moves(first.withColumn("macd", F.col("_fast") - F.col("_slow")), "close", "_before")
     changes = [Ewm.span("macd", 9, "signal"), Ewm("_gain", 1 / 14, "_up"), Ewm("_loss", 1 / 14, "_down")]
     second = ewm_means(first, changes, keys)

@@ -101,7 +101,7 @@ def prices(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def indicators(spark: SparkSession, sf: str) -> DataFrame:
-    """Daily market metrics with missing days."""
+    """Daily market metrics from purchases. Every seventh day of a month is left out of this view, so that joins have misses."""
     day = F.col("ts").cast("date")
     return (
         table(spark, sf, "events")
@@ -121,16 +121,16 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
     return texts.join(labels, "doc_id")
 
 
-def learned_lexicon(spark: SparkSession, sf: str) -> DataFrame:
-    """Terms of at least five labelled documents with the mean label of those documents in [-1, 1]."""
+def learned_lexicon(spark: SparkSession, sf: str, min_letters: int = 3, min_documents: int = 5) -> DataFrame:
+    """Terms of ``min_letters`` and ``min_documents`` labelled documents with the mean label of those in [-1, 1]."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1))
     return (
         labelled(spark, sf)
         .select("label", F.explode(words).alias("term"))
-        .where(F.length("term") >= 3)
+        .where(F.length("term") >= min_letters)
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("good"))
-        .where("n >= 5")
+        .where(F.col("n") >= min_documents)
         .select("term", F.round(F.col("good") * 2.0 / F.col("n") - 1.0, 2).alias("polarity"))
     )
 

@@ -415,14 +415,15 @@ def join_indicators(spark: SparkSession, sf: str) -> DataFrame:
     f"""with {INDICATED_CTE}
     select p.series_id as source, p.date, p.low, i.close, i.volume, round(macd, 3) + 0.0 as macd,
            round(signal, 3) + 0.0 as signal, round(ema, 3) as ema, round(rsi, 6) as rsi
-    from prices p left join indicated i on p.date = i.date and year(p.date) < 2000""",
+    from (select series_id, cast(date + 400 as date) as date, low from prices) p left join indicated i on p.date = i.date""",
 )
 def join_prices(spark: SparkSession, sf: str) -> DataFrame:
+    """The features run 400 days ahead, so their last days have no prices."""
     features = fx.prices(spark, sf).select(
-        F.col("series_id").alias("source"), "date", "low", F.lit(0.0).alias("macd"), F.lit(0.0).alias("volume")
+        F.col("series_id").alias("source"), F.date_add("date", 400).alias("date"), "low", F.lit(0.0).alias("macd"), F.lit(0.0).alias("volume")
     )
     computed = series.price_indicators(fx.prices(spark, sf).select("series_id", "date", "close", "volume"))
-    joined = daily.join_prices(features, computed.where(F.year("date") < 2000))
+    joined = daily.join_prices(features, computed)
     rounded = _rounded(joined, "macd", "signal", digits=3)
     return rounded.withColumns({"ema": F.round("ema", 3), "rsi": F.round("rsi", 6)})
 

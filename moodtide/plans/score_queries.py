@@ -131,11 +131,11 @@ def sigmoid(spark: SparkSession, sf: str) -> DataFrame:
 )
 def ensemble_mean(spark: SparkSession, sf: str) -> DataFrame:
     """Mean of the lexicon scores of title and body."""
-    posts = fx.posts(spark, sf).select("source", "id", "title", "selftext")
-    terms = fx.lexicon(spark)
-    titles = lexicon.lexicon_compound(posts, terms, carry=["selftext"], text="title", out="title_score")
-    both = lexicon.lexicon_compound(titles, terms, carry=["title_score"], text="selftext", out="body_score")
-    score = scores.ensemble_mean([F.col("title_score"), F.col("body_score")])
+    fields = [F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in ("title", "selftext")]
+    texts = fx.posts(spark, sf).select("source", "id", F.inline(F.array(*fields)))
+    found = lexicon.lexicon_compound(texts, fx.lexicon(spark), keys=("source", "id", "field"), carry=[])
+    both = found.groupBy("source", "id").agg(*[F.max(F.when(F.col("field") == c, F.col("sia_vader"))).alias(c) for c in ("title", "selftext")])
+    score = scores.ensemble_mean([F.col("title"), F.col("selftext")])
     return both.select("source", "id", (F.round(score, 6) + F.lit(0.0)).alias("score"))
 
 

@@ -121,8 +121,8 @@ CENTS_SQL = "array_to_string([cast(cast(round(v * 100) as bigint) as varchar) fo
     x[30][1] as last_close, round(list_sum([r[3] for r in x]), 4) as volume_sum from numbered where n > 30""",
 )
 def sliding_examples(spark: SparkSession, sf: str) -> DataFrame:
-    split = ex.chronological_split(_features(spark, sf))
-    found = ex.sliding_examples(split, "close", ["high", "volume"])
+    split = ex.chronological_split(_features(spark, sf), position="place")
+    found = ex.sliding_examples(split, "close", ["high", "volume"], position="place")
     total = F.aggregate("x", F.lit(0.0), lambda acc, r: acc + r["f3"])
     return found.select(
         "source",
@@ -140,8 +140,8 @@ def sliding_examples(spark: SparkSession, sf: str) -> DataFrame:
 def flatten_examples(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
-    split = ex.chronological_split(_features(spark, sf))
-    flat = ex.flatten_examples(ex.sliding_examples(split, "close", ["high", "volume"]), 3)
+    split = ex.chronological_split(_features(spark, sf), position="place")
+    flat = ex.flatten_examples(ex.sliding_examples(split, "close", ["high", "volume"], position="place"), 3)
     values = flat.withColumn("v", vector_to_array("features"))
     return values.select("source", "split", "date", F.md5(_cents(F.col("v"))).alias("x_digest"), F.size("v").alias("width"))
 
