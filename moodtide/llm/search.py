@@ -33,8 +33,9 @@ from moodtide.session import materialise, scratch_path
 
 #: Rows the centroids are fitted on, vectors of the sample in a cluster, neighbours of a centroid in the graph.
 SAMPLE, CLUSTER, NEIGHBOURS = 50_000, 100, 16
-#: Greatest number of lists of a vector and their greatest relative distance; relative distance and breadth of a search.
-COPIES, REACH, PRUNE, BREADTH = 4, 1.15, 1.45, 64
+#: Greatest number of lists of a vector and their greatest relative distance; greatest relative distance of the lists
+#: that a query reads; centroids that a walk keeps, for a vector and for a query.
+COPIES, REACH, PRUNE, BREADTH, PROBES = 4, 1.15, 1.5, 64, 128
 #: Vectors of a list that one task compares with the queries that read it.
 BLOCK = 20_000
 
@@ -137,7 +138,7 @@ class Lists:
         """The lists that each query reads."""
         out = []
         for row in x:
-            nodes, far = self.walk(row, BREADTH)
+            nodes, far = self.walk(row, PROBES)
             out.append(nodes[far <= PRUNE * far[0]] if far[0] > 0 else nodes)
         return out
 
