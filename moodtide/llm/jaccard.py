@@ -4,15 +4,16 @@ A document is the set of its distinct word shingles. All sets are put into one o
 common in the corpus last. Two sets that are similar enough share at least ``k`` of the first
 n - o + k shingles of each, where n is a set's size and o the least overlap it can have with a similar set. A
 document of common shingles lengthens its prefix (greater k) as long as the work it expects falls: a longer
-prefix meets more sets, but a pair is only verified after k shared shingles. For a pair the smaller of the two
-k holds.
+prefix meets more sets, but a pair is only verified after more shared shingles. What a pair has to share
+follows from both sizes and prefixes: all that it shares beyond the prefix that ends first lies in the rest of
+that set, so c shared prefix shingles allow an overlap of c plus the greater rest at most (``_enough``).
 
 How common a shingle is, is estimated from counts in a table of fixed size over all documents. The
 estimate only chooses the order and k; whatever they are, no pair is lost.
 
-Equal sets are one node. Nodes that share a prefix shingle are first paired with one of them only;
-the links found so join nodes to components. Then the pairs between different components are
-listed, counted against k and verified. A pair within a component cannot change the result, so a group of
+Equal sets are one node. For each prefix shingle its nodes are first paired with one of them only, a few times with
+different ones; the links found so join nodes to components. Then the pairs between different components are
+listed, counted and verified. A pair within a component cannot change the result, so a group of
 copies never turns into all its pairs.
 
 Defined results: a null text or one without words has the empty set, is linked with nothing and is a
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ from moodtide.session import materialise, scratch_path, small_side
 
 #: Counters that estimate how common a shingle is, greatest k, and the work of a verification in postings.
 COUNTERS, MOST, VERIFY = 1 << 20, 4, 20
+#: Times that nodes are paired with one centre for each shingle, before the rest is listed.
+TURNS = 2
 _SHIFT = np.uint64(44)
 
 
@@ -49,8 +52,8 @@ def _sets(batch: pa.RecordBatch, size: int) -> Iterator[np.ndarray]:
 
 def _node(hashes: np.ndarray) -> int:
     """One number for a set."""
-    total = mix64(hashes).sum(dtype=np.uint64) + mix64(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) * np.uint64(3)
-    return int(mix64(np.array([total + np.uint64(len(hashes))], np.uint64)).view(np.int64)[0])
+    sums = np.array([mix64(hashes).sum(dtype=np.uint64), mix64(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64), len(hashes)], np.uint64)
+    return int(mix64((sums * np.array([1, 3, 5], np.uint64)).sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0])
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -59,8 +62,8 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * (n + smaller) // (100 + percent))
 
 
-def prefix(hashes: np.ndarray, common: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """The prefix of a set and its k; ``common`` has the estimated number of other documents by counter."""
+def prefix(hashes: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
+    """The prefix of a set; ``common`` has the estimated number of other documents by counter."""
     n, overlap = len(hashes), least_overlap(len(hashes), percent)
     met = common[(hashes >> _SHIFT).astype(np.int64)]
     order = np.lexsort((hashes, met))
@@ -71,7 +74,7 @@ def prefix(hashes: np.ndarray, common: np.ndarray, percent: int) -> tuple[np.nda
         cost = length + work[length - 1] + VERIFY * work[length - 1] / more
         if best is None or cost < best:
             best, k = cost, more
-    return hashes[order[: n - overlap + k]], k
+    return hashes[order[: n - overlap + k]]
 
 
 def document_sets(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
@@ -92,7 +95,7 @@ def document_sets(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int64()), pa.array(counters[used]), pa.nulls(len(used), pa.int64()), pa.array(used, pa.int32())], ["doc_id", "n_shingles", "node", "slot"])
 
     path = scratch_path(docs.sparkSession, "shingle-sets")
-    docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n_shingles long, node long, slot int").write.parquet(path)
+    docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "doc_id long, n_shingles long, node long, slot int").write.parquet(path)
     stored = docs.sparkSession.read.parquet(path)
     sums = stored.where("slot is not null").groupBy("slot").agg(F.sum("n_shingles").alias("n")).toArrow()  # COUNTERS rows at most
     counters = np.zeros(COUNTERS, np.int64)
@@ -101,30 +104,39 @@ def document_sets(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
 
 
 def postings(docs: DataFrame, size: int, percent: int, common: np.ndarray) -> DataFrame:
-    """token, node, n, k for every prefix shingle of every node."""
+    """token, node, n, rest (shingles beyond the prefix), pos (place in the node's order) for every prefix shingle of every node."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            tokens, nodes, sizes, ks, lengths = [], [], [], [], []
+            tokens, nodes, sizes, lengths = [], [], [], []
             seen = set()
             for hashes in _sets(batch, size):
                 if len(hashes) and (node := _node(hashes)) not in seen:
                     seen.add(node)
-                    found, k = prefix(hashes, common, percent)
+                    found = prefix(hashes, common, percent)
                     tokens.append(found)
                     nodes.append(node)
                     sizes.append(len(hashes))
-                    ks.append(k)
                     lengths.append(len(found))
             if nodes:
-                columns = [np.repeat(np.array(c, t), lengths) for c, t in ((nodes, np.int64), (sizes, np.int32), (ks, np.int8))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), *map(pa.array, columns)], ["token", "node", "n", "k"])
+                node, n = (np.repeat(np.array(c, t), lengths) for c, t in ((nodes, np.int64), (sizes, np.int32)))
+                rest = n - np.repeat(np.array(lengths, np.int32), lengths)
+                pos = np.concatenate([np.arange(m, dtype=np.int32) for m in lengths])
+                columns = [pa.array(np.concatenate(tokens).view(np.int64)), *map(pa.array, (node, n, rest, pos))]
+                yield pa.RecordBatch.from_arrays(columns, ["token", "node", "n", "rest", "pos"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "token long, node long, n int, k byte")
+    return docs.select("doc_id", "text").mapInArrow(scan, "token long, node long, n int, rest int, pos int")
 
 
-def _fits(percent: int) -> str:
-    return f"least(n, m) * 100L >= greatest(n, m) * {percent}L"
+def _overlap(percent: int) -> Column:
+    """Least overlap of two similar sets of n and m shingles."""
+    return F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent) - 1e-9)
+
+
+def _enough(shared: Column, percent: int) -> Column:
+    """Whether a pair can be similar: n, m are the sizes, rest_a, rest_b what lies beyond the prefixes, ``shared`` counts prefix shingles."""
+    overlap = _overlap(percent)
+    return (shared + F.greatest("rest_a", "rest_b") >= overlap) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
 
 
 def verify(docs: DataFrame, representative: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -160,6 +172,13 @@ def verify(docs: DataFrame, representative: DataFrame, pairs: DataFrame, size: i
     return materialise(two.where(similar("of_a", "of_b")).select("a", "b"))
 
 
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    """Written to the shared folder and read again; smaller than a checkpoint."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def link(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links) for each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
@@ -171,28 +190,48 @@ def link(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     # postings that at least two nodes share
     by_token = W.partitionBy("token")
     met = postings(docs, size, percent, common).dropDuplicates(["token", "node"])
-    met = met.withColumns({"least": F.min("node").over(by_token), "most": F.max("node").over(by_token)}).where("least < most")
-    path = scratch_path(spark, "postings")
-    met.drop("most").write.parquet(path)
-    met = spark.read.parquet(path)
-
-    stars = materialise(met.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
-    links = verify(docs, nodes, stars, size, percent)
-    first = materialise(components(links, "a", "b"))
-
-    # what is left: pairs between different components
-    placed = met.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = placed.withColumns({"lo": F.min("component").over(by_token), "hi": F.max("component").over(by_token)}).where("lo < hi")
-    path = scratch_path(spark, "open-postings")
-    open_.select("token", "node", "n", "k", "component").write.parquet(path)
-    x = spark.read.parquet(path)
-    y = x.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("k").alias("j"), F.col("component").alias("other"))
-    pairs = x.withColumnRenamed("node", "a").join(y, "token").where(f"a < b and component <> other and {_fits(percent)}")
-    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("k", "j")).alias("least")).where("shared >= least")
-    pairs = materialise(pairs.select("a", "b").join(stars, ["a", "b"], "left_anti"))
-    more = verify(docs, nodes, pairs, size, percent)
-    classes = materialise(components(links.union(more), "a", "b")) if not more.isEmpty() else first
-
+    met = _stored(met.withColumns({"lo": F.min("node").over(by_token), "hi": F.max("node").over(by_token)}).where("lo < hi").drop("lo", "hi"), "postings")
+    # the node whose prefix others share most is a good first centre: an original rather than one of its copies
+    score = met.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.max(F.col("n") - F.col("rest")).alias("p"))
+    score = materialise(score.select("node", (F.col("c") / F.col("p")).alias("score")))
+    met = met.join(score, "node").withColumn("component", F.col("node"))
+
+    facts = [F.count(F.lit(1)).alias("shared"), *[F.min(c).alias(c) for c in ("n", "m", "rest_a", "rest_b")]]
+    links = tested = classes = None
+    for turn in range(TURNS):
+        rank = F.struct(F.col("score") if not turn else F.xxhash64("node", F.lit(turn)), "node", "n", "rest", "component")
+        placed = met.withColumns({"lo": F.min("component").over(by_token), "hi": F.max("component").over(by_token), "head": F.max(rank).over(by_token)})
+        met = _stored(placed.where("lo < hi").drop("lo", "hi"), "open-postings")
+        stars = met.where("component <> head.component").select(
+            F.least("head.node", "node").alias("a"), F.greatest("head.node", "node").alias("b"),
+            F.col("head.n").alias("n"), F.col("head.rest").alias("rest_a"), F.col("n").alias("m"), F.col("rest").alias("rest_b"),
+        )
+        stars = stars.groupBy("a", "b").agg(*facts).where(_enough(F.col("shared"), percent)).select("a", "b")
+        stars = materialise(stars if tested is None else stars.join(tested, ["a", "b"], "left_anti"))
+        tested = stars if tested is None else tested.union(stars)
+        found = verify(docs, nodes, stars, size, percent)
+        if found.isEmpty():
+            break
+        links = found if links is None else links.union(found)
+        classes = materialise(components(links, "a", "b"))
+        met = met.drop("head", "component").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    # what is left: all pairs between different components, but for those whose nodes share too little with anything
+    met = met.drop("head") if "head" in met.columns else met
+    placed = met.withColumns({"lo": F.min("component").over(by_token), "hi": F.max("component").over(by_token)})
+    left = placed.where("lo < hi").drop("lo", "hi", "score").withColumn("c", F.count(F.lit(1)).over(W.partitionBy("node")))
+    x = _stored(left, "open-postings").withColumnsRenamed({"node": "a", "rest": "rest_a", "pos": "pos_a", "c": "c_a"})
+    y = x.toDF(*[{"a": "b", "n": "m", "rest_a": "rest_b", "pos_a": "pos_b", "c_a": "c_b", "component": "other"}.get(c, c) for c in x.columns])
+    pairs = x.join(y, "token").where("a < b and component <> other").where(_enough(F.least("c_a", "c_b"), percent))
+    # the first shingle that two similar sets share stands early enough in both for the rest to be shared
+    early = (F.col("pos_a") <= F.col("n") - _overlap(percent)) & (F.col("pos_b") <= F.col("m") - _overlap(percent))
+    pairs = materialise(pairs.where(early).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+    found = verify(docs, nodes, pairs, size, percent)
+    if not found.isEmpty():
+        classes = materialise(components(found if links is None else links.union(found), "a", "b"))
+
+    if classes is None:
+        classes = nodes.select("node", F.col("node").alias("component")).limit(0)
     named = nodes.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = materialise(named.join(materialise(least), "component").select("node", "component_id"))
