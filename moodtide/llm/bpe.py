@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from moodtide.llm.arrays import CHUNK_BYTES, mix64, spread_runs
 
 #: Merged words that a Python worker remembers, twice over; a memory bound, results do not depend on it.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 250_000
 
 
 def read_ranks(spark: SparkSession, path: str) -> bytes:
@@ -37,6 +38,40 @@ def read_ranks(spark: SparkSession, path: str) -> bytes:
         return file.read()
 
 
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+
+
+def plain_pattern(pattern: str) -> re.Pattern | None:
+    """The same pattern for texts of the basic plane, with its character classes written out; None if it uses others.
+
+    The standard library looks such classes up in a bitmap, which takes half the time.
+    """
+    ranges = {}
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        inside = [m.span() for m in regex.finditer(name + "+", _PLANE)]
+        ranges[name] = "".join(f"\\u{lo:04x}-\\u{hi - 1:04x}" for lo, hi in inside)
+    out, at, in_class = [], 0, False
+    while at < len(pattern):
+        name = next((n for n in (*ranges, r"\S") if pattern.startswith(n, at)), pattern[at])
+        if name == r"\S":
+            if in_class:
+                return None
+            out.append(f"[^{ranges[chr(92) + 's']}]")
+        elif name in ranges:
+            out.append(ranges[name] if in_class else f"[{ranges[name]}]")
+        elif name in "\\.&~":
+            return None
+        else:
+            in_class = name == "[" or (in_class and name != "]")
+            out.append(name)
+        at += len(name)
+    return re.compile("".join(out))
+
+
+#: Every character of the basic plane at its own place; a space of no class stands for the surrogates.
+_PLANE = "".join("\x00" if 0xD800 <= i <= 0xDFFF else chr(i) for i in range(0x10000))
+
+
 class PerfectHash:
     """Minimal perfect hash of strings: levels of bit slots, where a key alone in its slot settles.
 
@@ -102,6 +137,7 @@ class Codec:
         rows = [line.split() for line in ranks.splitlines() if line]
         self.ids = {base64.b64decode(token): int(rank) for token, rank in rows}
         self.pattern = regex.compile(pattern)
+        self.plain = plain_pattern(pattern) or self.pattern
         whole = {}
         for token, rank in self.ids.items():
             try:
@@ -112,14 +148,21 @@ class Codec:
         self.hash = PerfectHash(keys)
         self.keys = keys[self.hash.positions]
         self.key_ids = np.array(list(whole.values()), np.int32)[self.hash.positions]
-        self.single = [self.ids.get(bytes([b]), -1) for b in range(256)]
-        #: Id of the token that a pair of ids merges to.
-        self.pairs = {
-            (left << 32) | right: rank
-            for token, rank in self.ids.items()
-            for k in range(1, len(token))
-            if (left := self.ids.get(token[:k])) is not None and (right := self.ids.get(token[k:])) is not None
-        }
+        if any(bytes([b]) not in self.ids for b in range(256)):
+            raise ValueError("the vocabulary lacks a single byte")
+        self.single = np.array([self.ids[bytes([b])] for b in range(256)], np.int64)
+        #: For each left id: the id that it merges to with a right id.
+        self.pairs: list[dict[int, int]] = [{} for _ in range(max(self.ids.values()) + 1)]
+        for token, rank in self.ids.items():
+            for k in range(1, len(token)):
+                left, right = self.ids.get(token[:k]), self.ids.get(token[k:])
+                if left is not None and right is not None:
+                    self.pairs[left][right] = rank
+        self.none = max(self.ids.values()) + 1  # above all ranks
+        self.two = np.full(1 << 16, self.none, np.int64)
+        for token, rank in self.ids.items():
+            if len(token) == 2:
+                self.two[token[0] << 8 | token[1]] = rank
         size = max(self.ids.values()) + 1
         spelled = [b""] * size
         for token, rank in self.ids.items():
@@ -132,58 +175,85 @@ class Codec:
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def merge(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token that is not in the vocabulary."""
-        ids = [self.single[b] for b in piece]
-        if min(ids) < 0:
-            raise ValueError("the vocabulary lacks a single byte of the text")
-        n, pairs = len(ids), self.pairs
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = []
-        for i in range(n - 1):
-            pair = (ids[i] << 32) | ids[i + 1]
-            rank = pairs.get(pair)
-            if rank is not None:
-                heap.append((rank, i, pair))
-        heapq.heapify(heap)
-        while heap:
-            rank, i, pair = heapq.heappop(heap)
-            j = after[i]
-            if j >= n or ids[i] < 0 or (ids[i] << 32) | ids[j] != pair:
-                continue  # one of the two has been merged meanwhile
-            ids[i], ids[j] = rank, -1
-            k = after[i] = after[j]
-            if k < n:
-                before[k] = i
-                pair = (rank << 32) | ids[k]
-                found = pairs.get(pair)
-                if found is not None:
-                    heapq.heappush(heap, (found, i, pair))
-            h = before[i]
-            if h >= 0:
-                pair = (ids[h] << 32) | rank
-                found = pairs.get(pair)
-                if found is not None:
-                    heapq.heappush(heap, (found, h, pair))
-        return [x for x in ids if x >= 0]
-
-    def _missed(self, token: str) -> bytes:
-        found = self.memo.get(token)
-        if found is None:
-            found = self.older.get(token)
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of pre-tokens that are not in the vocabulary, four bytes each.
+
+        All bytes are linked in the same arrays, each piece has a heap of its own. ``rank_at`` holds the rank of the
+        pair that begins at a linked position now; a heap entry of another rank is out of date.
+        """
+        pairs, push, pop, replace, heapify = self.pairs, heapq.heappush, heapq.heappop, heapq.heapreplace, heapq.heapify
+        raw = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
+        sizes = np.array([len(p) for p in pieces])
+        stops = np.cumsum(sizes)
+        shift = 12 if sizes.max() < 1 << 12 else 40  # short entries are quicker to compare
+        place = np.arange(len(raw))
+        rank = np.append(self.two[(raw[:-1] << 8) | raw[1:]], self.none)
+        rank[stops - 1] = self.none
+        starts = np.append(0, stops[:-1])
+        none, low = self.none << shift, (1 << shift) - 1
+        entries = np.where(rank < self.none, (rank << shift) | (place - np.repeat(starts, sizes)), none).tolist()
+        rank_at, after, before = rank.tolist(), place + 1, place - 1
+        after[stops - 1] = -1
+        before[starts] = -1
+        after, before, ids = after.tolist(), before.tolist(), self.single[raw].tolist()
+        for lo, hi in zip(starts.tolist(), stops.tolist()):
+            heap = entries[lo:hi]  # the last one is no pair
+            heapify(heap)
+            entry = heap[0]
+            while entry < none:
+                rank, i = entry >> shift, lo + (entry & low)
+                if rank_at[i] != rank:
+                    pop(heap)
+                    entry = heap[0]
+                    continue
+                j = after[i]
+                k = after[i] = after[j]
+                ids[i], ids[j], rank_at[j] = rank, -1, -1
+                found = -1
+                if k >= 0:
+                    before[k] = i
+                    rank_at[i] = found = pairs[rank].get(ids[k], -1)
+                else:
+                    rank_at[i] = -1
+                if found >= 0:
+                    replace(heap, (found << shift) | (i - lo))
+                else:
+                    pop(heap)
+                h = before[i]
+                if h >= 0:
+                    rank_at[h] = found = pairs[ids[h]].get(rank, -1)
+                    if found >= 0:
+                        push(heap, (found << shift) | (h - lo))
+                entry = heap[0]
+        merged = np.array(ids, np.int32)
+        kept = merged >= 0
+        ends = (4 * np.cumsum(kept)[stops - 1]).tolist()
+        data = merged[kept].tobytes()
+        return [data[lo:hi] for lo, hi in zip([0, *ends], ends)]
+
+    def missed(self, tokens: list[str]) -> list[bytes]:
+        """The ids of pre-tokens outside the vocabulary, from memory or merged."""
+        out = list(map(self.memo.get, tokens))
+        gone = [i for i, found in enumerate(out) if found is None]
+        if len(self.memo) >= MEMO_WORDS:
+            self.older, self.memo = self.memo, {}
+        new = []
+        for i in gone:
+            found = out[i] = self.older.get(tokens[i])
             if found is None:
-                found = np.array(self.merge(token.encode()), np.int32).tobytes()
-            if len(token) < 64:
-                if len(self.memo) >= MEMO_WORDS:
-                    self.older, self.memo = self.memo, {}
-                self.memo[token] = found
-        return found
+                new.append(i)
+        if new:
+            for i, found in zip(new, self.merge([tokens[i].encode() for i in new])):
+                out[i] = found
+        self.memo.update((tokens[i], out[i]) for i in gone if len(tokens[i]) < 64)
+        return out
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the first id's place of each text (one more entry at the end)."""
         counts, tokens = [0], []
         for text in texts:
-            tokens += self.pattern.findall(text or "")
+            text = text or ""
+            tokens += (self.plain if text.isascii() or not _ASTRAL.search(text) else self.pattern).findall(text)
             counts.append(len(tokens))
         if not tokens:
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
@@ -192,7 +262,7 @@ class Codec:
         hit = number >= 0
         hit[hit] = self.keys[number[hit]] == distinct[hit]
         miss = np.flatnonzero(~hit)
-        merged = [self._missed(t) for t in distinct[miss]]
+        merged = self.missed(distinct[miss].tolist())
         lengths = np.ones(len(distinct), np.int64)
         lengths[miss] = [len(m) // 4 for m in merged]
         at = np.empty(len(distinct), np.int64)
@@ -226,7 +296,9 @@ def encode(text: Column, ranks: bytes, pattern: str) -> Column:
         for piece in _pieces(texts, sizes):
             flat, places = codec.encode(piece.to_pylist())
             out.append(pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(flat, pa.int32())))
-        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
+        whole = pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
+        del out
+        return whole
 
     return ids(F.coalesce(text, F.lit("")))
 

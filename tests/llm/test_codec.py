@@ -31,6 +31,13 @@ def test_encoding_equals_the_public_library_and_round_trips(texts):
     assert [data.tobytes()[a:b].decode() for a, b in zip(ends, ends[1:])] == texts
 
 
+def test_plain_pattern_splits_like_the_given_one():
+    plain = bpe.plain_pattern(public_tokenizers.PATTERN)
+    whole = "".join(f"a{c}1{c} {c}{c} b" for c in bpe._PLANE if c != "\x00")
+    assert plain.findall(whole) == CODEC.pattern.findall(whole)
+    assert bpe.plain_pattern(r"\w+|.") is None
+
+
 def test_memory_bound_does_not_change_ids(monkeypatch):
     monkeypatch.setattr(bpe, "MEMO_WORDS", 2)
     words = ["qxzqv", "wvvkq", "zzqqx", "qxzqv", "kkqzx", "wvvkq"] * 3
