@@ -106,6 +106,35 @@ def read_messages(spark: SparkSession, path: str, layout: str = "document") -> D
     return messages.select("source", "m.id", "m.date", "m.text")
 
 
+def detect_layout(spark: SparkSession, path: str) -> str:
+    """The layout of the chat files below ``path``, by the first lines of one of them."""
+    head = [r.value for r in spark.read.text(path).limit(4).collect()]
+    first = head[0].strip() if head else ""
+    if first.startswith("{") and first.endswith("}") and '"messages"' not in first:
+        return "lines"
+    return "indented" if first == "{" and all(line.startswith(" ") for line in head[1:] if line != "}") else "document"
+
+
+def chat_report(spark: SparkSession, path: str, layout: str = "document") -> DataFrame:
+    """Per chat: its messages, those without a date, and the records that are no valid JSON.
+
+    A record is a line in the layout ``lines``, a whole file otherwise. What a broken one holds is lost to
+    ``read_messages``, or a row of nulls there, so this is to be looked at first.
+    """
+    chat = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("source")
+    options = {"columnNameOfCorruptRecord": "_broken"}
+    broken = F.col("_broken").isNotNull()
+    if layout == "lines":
+        rows = spark.read.schema(f"{schemas.MESSAGE}, _broken string").json(path, **options)
+        parts = rows.select(chat, F.when(broken, 0).otherwise(1).alias("n"), (~broken & F.col("date").isNull()).cast("int").alias("u"), broken.alias("bad"))
+    else:
+        files = spark.read.schema(f"{schemas.CHAT_EXPORT}, _broken string").json(path, multiLine=True, **options)
+        undated = F.size(F.filter("messages", lambda m: m["date"].isNull()))
+        parts = files.select(chat, F.coalesce(F.size("messages"), F.lit(0)).alias("n"), F.coalesce(undated, F.lit(0)).alias("u"), broken.alias("bad"))
+    counts = [F.sum(F.greatest("n", F.lit(0))).alias("messages"), F.sum(F.greatest("u", F.lit(0))).alias("undated"), F.count_if("bad").alias("broken")]
+    return parts.groupBy("source").agg(*counts)
+
+
 def read_indicators(spark: SparkSession, path: str) -> DataFrame:
     """Market metrics: ``date`` and the logical indicator columns the file has."""
     raw = _csv(spark, path)

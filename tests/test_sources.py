@@ -143,3 +143,19 @@ def test_a_flow_goes_on_from_stored_scores(spark, tmp_path):
     writers.write_scored(scored, str(tmp_path / "s"))
     key = lambda df: sorted((r.source, r.date, round(r.sia_bert_sum, 9), r.num_posts, r.num_comments) for r in df.collect())
     assert key(daily.daily_sentiment(readers.read_scored(spark, str(tmp_path / "s")))) == key(daily.daily_sentiment(scored))
+
+
+def test_broken_records_are_counted_and_layouts_found(spark, tmp_path):
+    for name in ("lines", "document", "indented", "broken"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "lines" / "a.json").write_text("\n".join(json.dumps(m) for m in MESSAGES[:4]) + '\n{"id": 9, "date": "20\n{"id": 10}\n')
+    document = {"name": "x", "messages": MESSAGES[:4]}
+    (tmp_path / "document" / "a.json").write_text(json.dumps(document))
+    (tmp_path / "indented" / "a.json").write_text(json.dumps(document, indent=1))
+    (tmp_path / "broken" / "a.json").write_text(json.dumps(document)[:-20])
+    for name in ("lines", "document", "indented"):
+        assert readers.detect_layout(spark, str(tmp_path / name)) == name
+    report = lambda name, layout: tuple(readers.chat_report(spark, str(tmp_path / name), layout).head())
+    assert report("lines", "lines") == ("lines", 5, 1, 1)
+    assert report("document", "document") == ("document", 4, 0, 0)
+    assert report("broken", "document")[3] == 1
