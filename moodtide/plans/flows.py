@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ def score_posts(
     posts: DataFrame,
     terms: DataFrame,
     model_share: float = 0.0,
-    load_model: Callable[[], Callable] | None = None,
+    load_model: Callable[[], Callable] | PipelineModel | None = None,
     scorer: Callable[..., DataFrame] = lexicon.lexicon_compound_emphasis,
     limit: int | None = 500,
     markers: Sequence[str] = clean.REMOVED_MARKERS,
@@ -30,8 +31,9 @@ def score_posts(
 ) -> DataFrame:
     """Clean posts with ``sia_bert``, ``sia_vader`` and the weighted ``sia``.
 
-    Posts must be unique by source and id and have a ``date``. Their texts are left behind unless
-    ``keep_text`` is set, which joins the lexicon score to all columns and so moves the texts once.
+    Posts have a ``date``. ``load_model`` is a classifier that Spark has fitted, whose scoring stays inside the
+    query, or the loader of a foreign one. Texts are left behind unless ``keep_text`` is set, which joins the
+    lexicon score to all columns and so moves the texts once.
     """
     cleaned = clean.drop_marked(clean.cast_defaults(clean.fill_text_nulls(posts)), markers)
     cleaned = clean.build_text(clean.drop_missing_time(cleaned, "date"), limit)
@@ -40,7 +42,10 @@ def score_posts(
     if not keep_text:
         scored = scored.select("source", "id", *CARRIED, "text")
     if model_share >= scores.MIN_SHARE:
-        scored = learn.score_with_model(scored, load_model, out="sia_bert")
+        if isinstance(load_model, PipelineModel):
+            scored = learn.classifier_probability(load_model, scored, out="sia_bert")
+        else:
+            scored = learn.score_with_model(scored, load_model, out="sia_bert")
         scored = scored.withColumn("sia_bert", scores.rescale_unit(F.col("sia_bert")))
         carry = carry and [*carry, "sia_bert"]
     if 1.0 - model_share >= scores.MIN_SHARE:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from moodtide.functions import models
-from moodtide.operators import clean, daily, lexicon
+from moodtide.operators import clean, daily, learn, lexicon
 from moodtide.plans import flows
 
 TERMS = {"good": 0.5, "bad": -0.75}
@@ -111,3 +111,16 @@ def test_files_to_daily_features(spark, tmp_path):
     (found,) = flows.daily_features(scored, readers.read_indicators(spark, str(tmp_path / "metrics.csv"))).collect()
     assert (found.source, found.date, found.num_posts, found.num_comments, found.log_price) == ("forum", DAY, 1, 10, 0.0)
     assert found.sia_vader_sum == pytest.approx(0.12803687993289598)
+
+
+def test_posts_are_scored_by_the_trained_classifier(spark, tmp_path):
+    rows = [(i, t, y) for i, (t, y) in enumerate([("good fine great", 1), ("bad awful poor", 0)] * 20)]
+    train = spark.createDataFrame(rows, "doc_id int, text string, label int")
+    model, _ = learn.train_text_classifier(train, train, ["doc_id"], iterations=(5,))
+    learn.save_classifier(model, str(tmp_path / "m"))
+    frame, _ = posts(spark)
+    terms = spark.createDataFrame(list(TERMS.items()), "term string, polarity double")
+    scored = flows.score_posts(frame, terms, 0.4, learn.load_classifier(str(tmp_path / "m")))
+    assert "Python" not in scored._jdf.queryExecution().executedPlan().toString()
+    found = {r.id: r.sia_bert for r in scored.collect()}
+    assert found[4] > 0.1 > abs(found[1])  # good alone; good and bad
