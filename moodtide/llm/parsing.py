@@ -118,9 +118,11 @@ def likeness(a: Column, b: Column) -> Column:
     return compare(a, b)
 
 
-def with_next(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, key: str, columns: list[str], derived: dict[str, Column] | None = None) -> DataFrame:
     """Add to each row the ``columns`` of the next one by ascending ``key`` (after the last the first) as next_*.
 
+    ``derived`` columns are computed once per row, from its own columns, and carried over likewise.
+
     Buckets of neighbouring keys are cut at quantiles, so one shuffle brings neighbours together and no task
     orders the whole table. A bucket also gets the first row of the one that follows. Null keys come first, equal
     keys are ordered by ``columns``.
@@ -140,7 +142,8 @@ def with_next(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
     order = sorted(r["_bucket"] for r in firsts)
     before = {b: order[i - 1] for i, b in enumerate(order)}
     if not order:
-        return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
+        docs = docs.withColumns(derived or {})
+        return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in [*columns, *(derived or {})]])
     heads = docs.sparkSession.createDataFrame(
         [(r["m"]["first"], before[r["_bucket"]]) for r in firsts], f"_first {docs.schema[key].dataType.simpleString()}, _to int"
     )
@@ -151,8 +154,8 @@ def with_next(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
         .withColumn("_bucket", F.col("_to")).withColumn("_extra", F.lit(1)).select(*bucketed.columns)
     )
     line = W.partitionBy("_bucket").orderBy("_extra", F.col(key).asc_nulls_first(), *columns)
-    both = bucketed.unionByName(extra)
-    return both.withColumns({f"next_{c}": F.lead(c).over(line) for c in columns}).where("_extra = 0").drop("_bucket", "_extra")
+    both = bucketed.unionByName(extra).withColumns(derived or {})
+    return both.withColumns({f"next_{c}": F.lead(c).over(line) for c in [*columns, *(derived or {})]}).where("_extra = 0").drop("_bucket", "_extra")
 
 
 def edited(text: Column, following: Column) -> Column:

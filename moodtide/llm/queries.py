@@ -184,8 +184,7 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = table(spark, sf, "documents").select("doc_id", text.alias("text"))
-    docs = docs.withColumn("print", parsing.fingerprint(F.col("text")))
-    pairs = parsing.with_next(docs, "doc_id", ["text", "print"])
+    pairs = parsing.with_next(docs, "doc_id", ["text"], {"print": parsing.fingerprint(F.col("text"))})
     pairs = pairs.withColumn("edited", parsing.edited(F.col("text"), F.col("next_text")))
     pairs = pairs.withColumn("edited_print", parsing.fingerprint(F.col("edited")))
     return pairs.select(
