@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -83,6 +84,26 @@ def spread_runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - out, lengths) + np.arange(int(lengths.sum()))
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+#: What modules keep in a worker between tasks, by name: how to forget it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def release(keep: str = "") -> None:
+    """Give free memory of a Python worker back, and what other operators than ``keep`` have left in it.
+
+    A worker serves later tasks, of other operators too, and shares its executor's limit.
+    """
+    for name, forget in KEPT.items():
+        if name != keep:
+            forget()
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def pack(values: np.ndarray) -> bytes:
     """Numbers of one type as compressed bytes, plane by plane."""
     planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)

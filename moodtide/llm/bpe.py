@@ -24,10 +24,13 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from moodtide.llm.arrays import CHUNK_BYTES, mix64, spread_runs
+from moodtide.llm.arrays import CHUNK_BYTES, KEPT, mix64, release, spread_runs
+from moodtide.llm.settings import bounded_batches
 
 #: Merged words that a Python worker remembers, twice over; a memory bound, results do not depend on it.
 MEMO_WORDS = 250_000
+#: Misses that are merged over the same arrays.
+_TOGETHER = 4096
 
 
 def read_ranks(spark: SparkSession, path: str) -> bytes:
@@ -242,8 +245,9 @@ class Codec:
             found = out[i] = self.older.get(tokens[i])
             if found is None:
                 new.append(i)
-        if new:
-            for i, found in zip(new, self.merge([tokens[i].encode() for i in new])):
+        for at in range(0, len(new), _TOGETHER):
+            some = new[at : at + _TOGETHER]
+            for i, found in zip(some, self.merge([tokens[i].encode() for i in some])):
                 out[i] = found
         self.memo.update((tokens[i], out[i]) for i in gone if len(tokens[i]) < 64)
         return out
@@ -281,6 +285,9 @@ class Codec:
         return self.token_bytes[spread_runs(self.token_at[ids], lengths)], ends[places]
 
 
+KEPT["bpe"] = Codec._built.clear
+
+
 def _pieces(values: pa.Array, sizes: np.ndarray, limit: int = CHUNK_BYTES) -> list[pa.Array]:
     edges = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // limit)) + 1), len(values)]
     return [values.slice(lo, hi - lo) for lo, hi in zip(edges, edges[1:])]
@@ -289,6 +296,8 @@ def _pieces(values: pa.Array, sizes: np.ndarray, limit: int = CHUNK_BYTES) -> li
 def encode(text: Column, ranks: bytes, pattern: str) -> Column:
     """The ids of each text as array<int>; each match of ``pattern`` is encoded separately."""
 
+    bounded_batches()
+
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         codec, out = Codec.of(ranks, pattern), []
@@ -298,6 +307,7 @@ def encode(text: Column, ranks: bytes, pattern: str) -> Column:
             out.append(pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(flat, pa.int32())))
         whole = pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
         del out
+        release(keep="bpe")
         return whole
 
     return ids(F.coalesce(text, F.lit("")))
@@ -306,6 +316,8 @@ def encode(text: Column, ranks: bytes, pattern: str) -> Column:
 def decode(ids: Column, ranks: bytes, pattern: str) -> Column:
     """The bytes that each array of ids stands for."""
 
+    bounded_batches()
+
     @F.arrow_udf("binary")
     def spelled(lists: pa.Array) -> pa.Array:
         codec, out = Codec.of(ranks, pattern), []
@@ -316,6 +328,9 @@ def decode(ids: Column, ranks: bytes, pattern: str) -> Column:
             whole = data.tobytes()
             null = piece.is_null().to_pylist()
             out.append(pa.array([None if gone else whole[lo:hi] for lo, hi, gone in zip(ends, ends[1:], null)], pa.binary()))
-        return pa.concat_arrays(out) if out else pa.array([], pa.binary())
+        whole = pa.concat_arrays(out) if out else pa.array([], pa.binary())
+        del out
+        release(keep="bpe")
+        return whole
 
     return spelled(ids)

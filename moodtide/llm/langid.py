@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from moodtide.llm.arrays import chunks, mix64
+from moodtide.llm.arrays import chunks, mix64, release
+from moodtide.llm.settings import bounded_batches
 
 #: Least share of a language's trigrams that a trigram needs, and least part of its largest share in any language.
 MIN_SHARE, MIN_PART = 1e-5, 0.1
@@ -93,7 +94,9 @@ def count_trigrams(labelled: DataFrame) -> DataFrame:
             if sum(len(g) for parts in held.values() for g, _ in parts) > HELD_GRAMS:
                 yield from emit()
         yield from emit()
+        release()
 
+    bounded_batches()
     counted = labelled.where("lang is not null and text is not null").select("text", "lang")
     return counted.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -153,6 +156,8 @@ def fit(labelled: DataFrame) -> Filters:
 def predict(text: Column, filters: Filters) -> Column:
     """struct<lang, score> of each text."""
 
+    bounded_batches()
+
     @F.arrow_udf("struct<lang: string, score: double>")
     def language(texts: pa.Array) -> pa.Array:
         langs, scores = [], []
@@ -161,6 +166,7 @@ def predict(text: Column, filters: Filters) -> Column:
             langs += found
             scores.append(score)
         flat = np.concatenate(scores) if scores else np.zeros(0)
+        release()
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(flat, pa.float64())], ["lang", "score"])
 
     return language(text)

@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from moodtide.llm.arrays import chunks, mix64
+from moodtide.llm.arrays import chunks, mix64, release
+from moodtide.llm.settings import bounded_batches
 
 #: Lowest level whose phrases count, highest level, and places of a fingerprint (two bytes each).
 LOWEST, HIGHEST, PLACES = 2, 6, 128
@@ -95,12 +96,15 @@ def fingerprints(texts: list[str | None]) -> np.ndarray:
 def fingerprint(text: Column) -> Column:
     """The fingerprint of each text, as bytes."""
 
+    bounded_batches()
+
     @F.arrow_udf("binary")
     def parse(texts: pa.Array) -> pa.Array:
         out = []
         for batch in chunks([pa.RecordBatch.from_arrays([texts], ["text"])]):
             for lo in range(0, batch.num_rows, _ROWS):
                 out += [row.tobytes() for row in fingerprints(batch.column(0).slice(lo, _ROWS).to_pylist()).astype(">u2")]
+        release()
         return pa.array(out, pa.binary())
 
     return parse(F.coalesce(text, F.lit("")))

@@ -26,7 +26,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from moodtide.llm.arrays import release
 from moodtide.llm.sampling import by_hash
+from moodtide.llm.settings import bounded_batches
 from moodtide.session import scratch_path
 
 TRAIN_ROWS, PRECISION, TREES, DEPTH = 20_000, 0.98, 12, 4
@@ -178,8 +180,10 @@ def labelled(docs: DataFrame, text: str = "text") -> DataFrame:
                 for (start, stop), ok in sure.items():
                     x.append(features(value, start, stop))
                     y.append(float(ok))
+            release()
             yield pa.RecordBatch.from_pydict({"x": pa.array(x, pa.list_(pa.float64())), "label": pa.array(y, pa.float64())})
 
+    bounded_batches()
     return docs.where(f"{text} is not null").select(text).mapInArrow(rows, "x array<double>, label double")
 
 
@@ -228,9 +232,12 @@ def find(texts: list[str | None], trees: Trees) -> list[list[tuple[int, int, int
 def spans(text: Column, trees: Trees) -> Column:
     """array<struct<start, kind_no, kind, stop>> of each text; code points, stop exclusive."""
 
+    bounded_batches()
+
     @F.arrow_udf("array<struct<start: int, kind_no: int, kind: string, stop: int>>")
     def scan(texts: pa.Array) -> pa.Array:
         found = find(texts.to_pylist(), trees)
+        release()
         kind = pa.struct([("start", pa.int32()), ("kind_no", pa.int32()), ("kind", pa.string()), ("stop", pa.int32())])
         return pa.array([[{"start": s, "kind_no": k, "kind": KINDS[k], "stop": e} for s, k, e in row] for row in found], pa.list_(kind))
 
@@ -240,6 +247,8 @@ def spans(text: Column, trees: Trees) -> Column:
 def redact(text: Column, trees: Trees) -> Column:
     """Each text with its spans replaced by their kind in brackets; overlapping spans are replaced together."""
 
+    bounded_batches()
+
     @F.arrow_udf("string")
     def clean(texts: pa.Array) -> pa.Array:
         values = texts.to_pylist()
@@ -253,6 +262,7 @@ def redact(text: Column, trees: Trees) -> Column:
                     free = max(free, stop)
                 value = "".join(parts) + value[free:]
             out.append(value)
+        release()
         return pa.array(out, pa.string())
 
     return clean(text)

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodtide.llm.arrays import mix64, pack, unpack, word_hashes
+from moodtide.llm.settings import bounded_batches
 from moodtide.session import scratch_path
 
 #: Text of a batch, text per key range, rounds of expectation-maximisation, steps of log2 in its table of counts.
@@ -229,6 +230,7 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     base_score is the smoothed word model, score the mixed model; both log10 of the text's probability.
     """
     spark = docs.sparkSession
+    bounded_batches()
     tenth = F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(10)) == 0
     part = F.when(train, F.when(tenth, HELD).otherwise(COUNTED)).otherwise(SCORED).cast("int")
     docs = docs.select("doc_id", "text", part.alias("part"))
