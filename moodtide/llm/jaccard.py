@@ -29,11 +29,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from moodtide.llm.arrays import chunks, mix64, shingles, word_hashes
+from moodtide.llm.arrays import chunks, mix64, release, shingles, word_hashes
 from moodtide.llm.components import components
+from moodtide.llm.settings import bounded_batches
 from moodtide.session import materialise, scratch_path, small_side
 
 #: Counters that estimate how common a shingle is, greatest k, and the work of a verification in postings.
@@ -91,6 +91,7 @@ def document_sets(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
             yield rows(batch.column("doc_id").to_pylist(), [len(s) for s in found], [_node(s) for s in found])
             if any(map(len, found)):
                 counters += np.bincount((np.concatenate(found) >> _SHIFT).astype(np.int64), minlength=COUNTERS)
+        release()
         used = np.flatnonzero(counters)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int64()), pa.array(counters[used]), pa.nulls(len(used), pa.int64()), pa.array(used, pa.int32())], ["doc_id", "n_shingles", "node", "slot"])
 
@@ -124,6 +125,7 @@ def postings(docs: DataFrame, size: int, percent: int, common: np.ndarray) -> Da
                 pos = np.concatenate([np.arange(m, dtype=np.int32) for m in lengths])
                 columns = [pa.array(np.concatenate(tokens).view(np.int64)), *map(pa.array, (node, n, rest, pos))]
                 yield pa.RecordBatch.from_arrays(columns, ["token", "node", "n", "rest", "pos"])
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(scan, "token long, node long, n int, rest int, pos int")
 
@@ -149,6 +151,7 @@ def verify(docs: DataFrame, representative: DataFrame, pairs: DataFrame, size: i
             found = list(_sets(batch, size))
             packed = [(s >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in found]
             yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in found], pa.int64()), pa.array(packed, pa.binary())], ["node", "hashes"])
+        release()
 
     picked = docs.select("doc_id", "text").join(small_side(wanted.withColumnRenamed("doc_id", "_id")), F.col("doc_id").eqNullSafe(F.col("_id")))
     sets = picked.select("doc_id", "text").mapInArrow(scan, "node long, hashes binary").dropDuplicates(["node"])
@@ -179,29 +182,36 @@ def _stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def _open(met: DataFrame, *facts: Column) -> DataFrame:
+    """The postings of tokens that different components share, with ``facts`` of each token.
+
+    The facts are aggregated in the tasks first and stored, so the join with them can split a common token.
+    """
+    ends = met.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *facts)
+    return met.join(materialise(ends.where("lo < hi").drop("lo", "hi")), "token")
+
+
 def link(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links) for each row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
+    bounded_batches()
     rows, counters = document_sets(docs, size)
     common = np.maximum(0, counters - int(counters.mean())).astype(np.int32)  # above what chance puts into a counter
     nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     nodes = materialise(nodes)
 
     # postings that at least two nodes share
-    by_token = W.partitionBy("token")
-    met = postings(docs, size, percent, common).dropDuplicates(["token", "node"])
-    met = _stored(met.withColumns({"lo": F.min("node").over(by_token), "hi": F.max("node").over(by_token)}).where("lo < hi").drop("lo", "hi"), "postings")
+    met = _stored(postings(docs, size, percent, common), "all-postings").withColumn("component", F.col("node"))
+    met = _stored(_open(met).dropDuplicates(["token", "node"]), "postings")
     # the node whose prefix others share most is a good first centre: an original rather than one of its copies
     score = met.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.max(F.col("n") - F.col("rest")).alias("p"))
     score = materialise(score.select("node", (F.col("c") / F.col("p")).alias("score")))
-    met = met.join(score, "node").withColumn("component", F.col("node"))
+    met = met.join(score, "node")
 
     facts = [F.count(F.lit(1)).alias("shared"), *[F.min(c).alias(c) for c in ("n", "m", "rest_a", "rest_b")]]
     links = tested = classes = None
     for turn in range(TURNS):
         rank = F.struct(F.col("score") if not turn else F.xxhash64("node", F.lit(turn)), "node", "n", "rest", "component")
-        placed = met.withColumns({"lo": F.min("component").over(by_token), "hi": F.max("component").over(by_token), "head": F.max(rank).over(by_token)})
-        met = _stored(placed.where("lo < hi").drop("lo", "hi"), "open-postings")
+        met = _stored(_open(met, F.max(rank).alias("head")), "open-postings")
         stars = met.where("component <> head.component").select(
             F.least("head.node", "node").alias("a"), F.greatest("head.node", "node").alias("b"),
             F.col("head.n").alias("n"), F.col("head.rest").alias("rest_a"), F.col("n").alias("m"), F.col("rest").alias("rest_b"),
@@ -217,10 +227,10 @@ def link(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
         met = met.drop("head", "component").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
     # what is left: all pairs between different components, but for those whose nodes share too little with anything
-    met = met.drop("head") if "head" in met.columns else met
-    placed = met.withColumns({"lo": F.min("component").over(by_token), "hi": F.max("component").over(by_token)})
-    left = placed.where("lo < hi").drop("lo", "hi", "score").withColumn("c", F.count(F.lit(1)).over(W.partitionBy("node")))
-    x = _stored(left, "open-postings").withColumnsRenamed({"node": "a", "rest": "rest_a", "pos": "pos_a", "c": "c_a"})
+    left = _open(met.drop("head")).drop("score")
+    counts = materialise(left.groupBy("node").agg(F.count(F.lit(1)).alias("c")))
+    left = left.join(counts, "node")
+    x = _stored(left.select("token", "node", "n", "rest", "pos", "component", "c"), "open-postings").withColumnsRenamed({"node": "a", "rest": "rest_a", "pos": "pos_a", "c": "c_a"})
     y = x.toDF(*[{"a": "b", "n": "m", "rest_a": "rest_b", "pos_a": "pos_b", "c_a": "c_b", "component": "other"}.get(c, c) for c in x.columns])
     pairs = x.join(y, "token").where("a < b and component <> other").where(_enough(F.least("c_a", "c_b"), percent))
     # the first shingle that two similar sets share stands early enough in both for the rest to be shared
