@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from moodtide.session import small_side
+from moodtide.session import materialise, small_side
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of a block, documents of a shard (about), and the seed of all orders and starts.
@@ -119,6 +119,8 @@ def mix(
     travel with the row.
     """
     docs = docs.select(*dict.fromkeys([*carry, "doc_id", "source"]), words_in(F.col("text")).alias("size"))
+    if {*carry} <= {"doc_id", "source"}:  # a few bytes a row: the texts are read once and not again for each step
+        docs = materialise(docs)
     sources = source_targets(docs, weights, share, most)
     seats = F.floor(F.sum("target").over(W.partitionBy()) / block_words + 0.5)
     quotas = apportion(sources.withColumn("seats", seats), [], F.col("seats"), F.col("target"), [F.col("source").asc_nulls_last()], "blocks")
