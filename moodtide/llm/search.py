@@ -36,7 +36,7 @@ SAMPLE, CLUSTER, NEIGHBOURS = 50_000, 100, 16
 #: Greatest number of lists of a vector and their greatest relative distance; greatest relative distance of the lists
 #: that a query reads; centroids that a walk keeps, for a vector and for a query.
 COPIES, REACH, PRUNE, BREADTH, PROBES = 4, 1.15, 1.5, 64, 128
-#: Vectors of a list that one task compares with the queries that read it.
+#: Vectors of a list, and queries that read it, that one task compares.
 BLOCK = 20_000
 
 
@@ -202,12 +202,18 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, key: str = "vec_id"
     path = scratch_path(spark, "lists")
     _listed(rows, lists, False).write.parquet(path)
     posted = spark.read.parquet(path)
-    blocks = materialise(posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
-    posted = posted.join(F.broadcast(blocks), "list")  # at most SAMPLE rows
-    posted = posted.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
-    asked = _listed(rows.where(queries), lists, True).join(F.broadcast(blocks), "list")
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    found = posted.groupBy("list", "block").cogroup(asked.groupBy("list", "block")).applyInArrow(_compare(k), "query_id long, vec_id long, score double")
+    path = scratch_path(spark, "asked")
+    _listed(rows.where(queries), lists, True).write.parquet(path)
+    asked = spark.read.parquet(path)
+    # a list is compared block by block: blocks of its vectors with blocks of the queries that read it
+    sizes = posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    readers = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    grid = F.broadcast(materialise(sizes.join(readers, "list")))  # a row per centroid, at most SAMPLE
+    own, every = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    posted = posted.join(grid, "list").withColumn("block", own("blocks")).withColumn("part", every("parts")).drop("blocks", "parts")
+    asked = asked.join(grid, "list").withColumn("part", own("parts")).withColumn("block", every("blocks")).drop("blocks", "parts")
+    key = ["list", "block", "part"]
+    found = posted.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(_compare(k), "query_id long, vec_id long, score double")
     found = found.dropDuplicates(["query_id", "vec_id", "score"])
     best = W.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
