@@ -48,7 +48,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HIDDEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:\[at\]|\(at\)|\x20at\x20)\x20?[A-Za-z0-9-]+(?:\x20?(?:\[dot\]|\(dot\)|\x20dot\x20)\x20?[A-Za-z0-9-]+)+", re.I)
 _NUMBER = re.compile(r"(?<![0-9A-Za-z])\(?[0-9]{2,}+\)?(?:[\x20./()-]{1,2}[0-9]{2,}+)*(?![0-9A-Za-z])")
 _IPV6 = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
-_ACCOUNT = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![0-9A-Za-z])")
+#: Groups of four and a short last one; a short one after a space has digits only, so that a next word is not taken in.
+_ACCOUNT = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:(?:\x20?[A-Z0-9]{4}){3,7}(?:[A-Z0-9]{1,3}|\x20[0-9]{1,3})?|(?:\x20?[A-Z0-9]{4}){2}(?:[A-Z0-9]{3}|\x20[0-9]{3}))(?![0-9A-Za-z])")
 
 Span = tuple[int, int, int, bool]  # start, kind, stop, whether its checks hold
 
@@ -103,6 +104,20 @@ def proposals(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _no_card(text: str, match: Span) -> bool:
+    """Whether a rejected run of digits begins as a phone number abroad does and no card: the rejection says nothing of it."""
+    return match[1] == 2 and not match[3] and text.startswith("00", match[0])
+
+
+def _judged(text: str, proposal: tuple[int, int, int], matches: list[Span]) -> bool:
+    """Whether a base rule has judged all of a proposal: it lies inside a match, or is a number whose digits all do."""
+    s, kind, e = proposal
+    if kind == 5:  # a bracket around the digits makes no other number
+        at = [i for i in range(s, e) if text[i] in "0123456789"]
+        s, e = at[0], at[-1] + 1
+    return any(m[0] <= s and e <= m[2] and not _no_card(text, m) for m in matches)
+
+
 def features(text: str, start: int, stop: int) -> list[float]:
     """Format of the span and its surroundings; the checks that make the labels are not among them."""
     span, before, after = text[start:stop], text[max(0, start - 40) : start].lower(), text[stop : stop + 1]
@@ -171,7 +186,7 @@ def labelled(docs: DataFrame, text: str = "text") -> DataFrame:
             for value in batch.column(0).to_pylist():
                 if not value:
                     continue
-                found = base_matches(value)
+                found = [m for m in base_matches(value) if not _no_card(value, m)]
                 sure = {(s, e): ok for s, _, e, ok in sorted(found, key=lambda m: m[3])}
                 for start, _, stop in proposals(value):
                     for s, _, e, ok in found:
@@ -219,7 +234,7 @@ def find(texts: list[str | None], trees: Trees) -> list[list[tuple[int, int, int
         out.append([(s, k, e) for s, k, e, ok in matches if ok])
         if trees.trees:
             for s, k, e in proposals(text):
-                if not any(s < e2 and s2 < e for s2, _, e2, _ in matches):  # what a base rule has judged stays as judged
+                if not _judged(text, (s, k, e), matches):  # what a base rule has judged stays as judged
                     rows.append(features(text, s, e))
                     where.append((i, (s, k, e)))
     if rows:

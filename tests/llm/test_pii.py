@@ -68,3 +68,12 @@ def test_proposals_are_reported_by_score():
     assert pii.Trees(*stump, 0.5).score(np.array(rows))[0] > 0.8
     assert pii.find(["call 555-123-4567 now"], pii.Trees(*stump, 0.5)) == [[(5, 5, 17)]]
     assert pii.find(["call 555-123-4567 now"], pii.Trees(*stump, 0.95)) == [[]]
+
+
+def test_account_codes_around_a_failed_card_are_scored():
+    leaf = pii.Trees([(np.array([-1]), np.zeros(1), np.zeros(1, int), np.zeros(1, int), np.ones(1))], [1.0], 0.5)  # reports all that is scored
+    for code in ("GB29 NWBK 6016 1331 9268 19", "BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "CH93 0076 2011 6238 5295 7", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"):
+        assert (3, 7, 3 + len(code)) in pii.find([f"to {code} now"], leaf)[0], code
+    assert (5, 5, 20) in pii.find(["call 004930123456789 now"], leaf)[0]
+    for failed in ("4111-1111-1111-1112", "4111 1111 1111 1112", "(4111 1111 1111 1112)"):
+        assert pii.find([f"card {failed} now"], leaf) == [[]], failed
