@@ -4,10 +4,11 @@ The four base kinds (email, ip, card, phone) are exact rules and always reported
 with high recall propose spans that may overlap: spelled-out addresses, groups of digits, long colon
 groups, account codes. Boosted trees score each proposal by its format and its surroundings. They are
 trained on weak labels: a proposal that a base rule accepts is personal data, one that looks like a base
-kind and fails its checks (checksum, range, number of digits) is not. The training rows are a bounded
-sample by hash (``TRAIN_ROWS``); a fifth of them calibrates the score from which proposals are reported: the least
-score from which a share of ``PRECISION`` of the proposals is right. Where there are no two classes or no such
-score, the base spans are all there is.
+kind and fails its checks (checksum, range, number of digits) is not. Equal rows are one with a count. A fifth of them,
+chosen by the hash of their features, is held out; the training rows are a bounded sample by hash (``TRAIN_ROWS``) of the
+others, weighted by their counts. All held-out rows calibrate the score from which proposals are reported: the least
+score, in steps of 1 / ``STEPS``, from which a share of ``PRECISION`` of the proposals is right. Where there are no two
+classes or no such score, the base spans are all there is.
 
 Defined results: a null text is the empty text and has no spans, repeated rows are scanned each, an empty
 table gives an empty result. ``redact`` keeps a text without spans as it is, and null stays null.
@@ -32,6 +33,8 @@ from moodtide.llm.settings import bounded_batches
 from moodtide.session import scratch_path
 
 TRAIN_ROWS, PRECISION, TREES, DEPTH = 20_000, 0.98, 12, 4
+#: Held-out rows are counted by score in so many steps, so that the driver sees few rows whatever their number.
+STEPS = 10_000
 #: Calibration needs so many rows; with fewer, only base spans are reported.
 LEAST_HELD = 50
 KINDS = ("email", "ip", "card", "phone", "hidden", "number", "ipv6", "account")
@@ -202,27 +205,35 @@ def labelled(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.where(f"{text} is not null").select(text).mapInArrow(rows, "x array<double>, label double")
 
 
+def calibrated(held: DataFrame, trees: Trees) -> Trees:
+    """``trees`` with the least score from which they are right often enough on all rows of ``held`` (x, label, n)."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy().reshape(-1, WIDTH)
+            steps = np.floor(trees.score(x) * STEPS).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(steps), batch.column("label"), batch.column("n")], ["step", "label", "n"])
+
+    steps = held.select("x", "label", "n").mapInArrow(scan, "step int, label double, n long").groupBy("step")
+    sums = steps.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("right")).orderBy(F.desc("step")).toArrow()  # STEPS + 1 rows at most
+    n, right = (np.cumsum(sums.column(c).to_numpy()) for c in ("n", "right"))
+    good = np.flatnonzero(right >= PRECISION * n) if len(n) and n[-1] >= LEAST_HELD else []
+    return Trees(trees.trees, trees.weights, sums.column("step")[int(good[-1])].as_py() / STEPS if len(good) else np.inf)
+
+
 def fit(docs: DataFrame, text: str = "text") -> Trees:
-    """Train and calibrate on at most ``TRAIN_ROWS`` labelled proposals, chosen by hash from all texts."""
-    path = scratch_path(docs.sparkSession, "proposals")
-    labelled(docs, text).write.parquet(path)
-    sample = by_hash(docs.sparkSession.read.parquet(path), TRAIN_ROWS, "x", "label").toArrow()
-    x = np.array(sample.column("x").to_pylist(), float).reshape(-1, WIDTH)
-    y = sample.column("label").to_numpy()
-    held = np.arange(len(y)) % 5 == 4
-    if len(set(y[~held])) < 2 or held.sum() < LEAST_HELD:
-        return Trees([], [], np.inf)
+    """Train on at most ``TRAIN_ROWS`` distinct labelled proposals, calibrate on all that are held out."""
     spark = docs.sparkSession
-    train = spark.createDataFrame(pa.table({"x": pa.array(x[~held].tolist(), pa.list_(pa.float64())), "label": pa.array(y[~held])})).repartition(2)
-    train = train.select(array_to_vector("x").alias("features"), "label")
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, stepSize=0.3).fit(train)
-    found = Trees(*_arrays(model), np.inf)
-    score = found.score(x[held])
-    down = np.argsort(-score, kind="stable")
-    right = np.cumsum(y[held][down]) / np.arange(1, len(down) + 1)
-    last = np.append(score[down][1:] < score[down][:-1], True)  # equal scores stand or fall together
-    good = np.flatnonzero((right >= PRECISION) & last)
-    return Trees(found.trees, found.weights, float(score[down][good[-1]]) if len(good) else np.inf)
+    path = scratch_path(spark, "proposals")
+    labelled(docs, text).groupBy("x", "label").agg(F.count(F.lit(1)).alias("n")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    held = F.pmod(F.xxhash64("x"), F.lit(5)) == 4
+    sample = by_hash(rows.where(~held), TRAIN_ROWS, "x", "label").toArrow()
+    if len(set(sample.column("label").to_pylist())) < 2:
+        return Trees([], [], np.inf)
+    train = spark.createDataFrame(sample).repartition(2).select(array_to_vector("x").alias("features"), "label", F.col("n").cast("double").alias("n"))
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, stepSize=0.3, weightCol="n").fit(train)
+    return calibrated(rows.where(held), Trees(*_arrays(model), np.inf))
 
 
 def find(texts: list[str | None], trees: Trees) -> list[list[tuple[int, int, int]]]:

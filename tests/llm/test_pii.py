@@ -77,3 +77,16 @@ def test_account_codes_around_a_failed_card_are_scored():
     assert (5, 5, 20) in pii.find(["call 004930123456789 now"], leaf)[0]
     for failed in ("4111-1111-1111-1112", "4111 1111 1111 1112", "(4111 1111 1111 1112)"):
         assert pii.find([f"card {failed} now"], leaf) == [[]], failed
+
+
+def test_calibration_reads_all_held_out_rows(spark, monkeypatch):
+    """A training sample of 100 leaves calibration whole, and copies of one text do not fill the sample."""
+    monkeypatch.setattr(pii, "TRAIN_ROWS", 100)
+    mails = ["x" * i + "@" + "y" * j + ".co" for i in range(1, 16) for j in range(1, 16)]
+    cards = [f"{word} {'1234567891234567891'[:n]}" for word in pii.CONTEXT for n in range(12, 20)]
+    cards = [c for c in cards if not plain(c)]
+    docs = spark.createDataFrame([(t,) for t in [*mails, *cards, *[cards[0]] * 500]], "text string")
+    trees = pii.fit(docs)
+    assert trees.trees and trees.least <= 1
+    stored = [pii.features(m, 0, len(m)) for m in mails]
+    assert (trees.score(np.array(stored)) >= trees.least).mean() > 0.9
