@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from moodtide.llm import jaccard, langid, mixing, pii, queries
 from moodtide.plans.registry import query
-from moodtide.session import materialise, scratch_path, small_side
+from moodtide.session import materialise, scratch_path, small_side, with_global_position
 
 #: Least share of a text's trigrams that its language has to own.
 LEAST_SCORE = 0.3
@@ -34,11 +34,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of linked documents."""
+    given = docs.where("doc_id is not null")
+    repeated = given.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    if not repeated:
+        copies = _copies(docs)
+        return docs.join(small_side(copies), "doc_id", "left_anti").select(docs.columns)
+    # rows of one id are told apart by their texts: each id and text gets a number, in the order of the ids
+    numbers = with_global_position(given.select("doc_id", F.sha2("text", 256).alias("_hash")).distinct(), ["doc_id", "_hash"], "_row")
+    numbers = numbers.withColumnRenamed("doc_id", "_id")
+    same = (F.col("doc_id") == F.col("_id")) & F.sha2("text", 256).eqNullSafe(F.col("_hash"))
+    rows = docs.join(numbers, same, "left").drop("_id", "_hash")
+    copies = _copies(rows.select(F.col("_row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_row")
+    kept = rows.join(small_side(copies), "_row", "left_anti")
+    return kept.where("_row is not null").dropDuplicates(["_row"]).union(kept.where("_row is null")).select(docs.columns)
+
+
+def _copies(docs: DataFrame) -> DataFrame:
+    """The ids of documents that are linked with one of a lower id."""
     rows = jaccard.link(docs, size=5, percent=80)
-    copies = materialise(rows.where("doc_id <> component_id").select("doc_id").distinct())
-    kept = docs.join(small_side(copies), "doc_id", "left_anti").select(docs.columns)
-    repeated = rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+    return materialise(rows.where("doc_id <> component_id").select("doc_id").distinct())
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

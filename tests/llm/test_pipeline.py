@@ -6,7 +6,7 @@ import corpus_pipeline as pipeline
 from moodtide.llm import bpe, mixing, queries
 from moodtide.plans.registry import QUERIES
 
-from .conftest import AWKWARD
+from .conftest import AWKWARD, prose
 from .test_jaccard import plain
 from .test_pii import plain as plain_spans
 
@@ -57,3 +57,10 @@ def test_awkward_rows_pass_every_stage(spark, awkward, nothing):
     kept = pipeline.near_copies(spark, pipeline.language(spark, awkward, DIR), DIR)
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "6", "8", "None"]  # none of the trigrams of 5 is known
     assert len(AWKWARD) == 10
+
+
+def test_copies_of_a_repeated_id_leave_its_other_text(spark):
+    rows = [(1, prose(1, 80)), (2, prose(1, 80)), (2, prose(5, 80)), (2, prose(5, 80)), (None, prose(6, 40)), (None, prose(6, 40)), (3, None)]
+    kept = pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), DIR).collect()
+    wanted = [(1, prose(1, 80)), (2, prose(5, 80)), (3, None), (None, prose(6, 40)), (None, prose(6, 40))]
+    assert sorted(map(str, kept)) == sorted(f"Row(doc_id={d}, text={t!r})" for d, t in wanted)
