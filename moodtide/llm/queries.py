@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodtide.llm import bpe, credentials, jaccard, langid, mixing, parsing, passages, pii, scoring, search
+from moodtide.llm import alignment, bpe, credentials, jaccard, langid, mixing, packing, parsing, passages, pii, scoring, search, spelling
 from moodtide.plans.registry import query
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -246,3 +246,68 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 @query("op1_passages")
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     return passages.find(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+OP11_SQL = r"""
+with recursive crc_bits as (
+  select range::bigint as i, range::bigint as c, 0 as k from range(256)
+  union all
+  select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from crc_bits where k < 8
+), crc_table as (
+  select list(c order by i) as t from crc_bits where k = 8
+), runs as (
+  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) as run from documents
+), distinct_runs as (
+  select doc_id, run, count(*) as m from runs where length(run) >= 7 group by doc_id, run
+), hashed as (
+  select run, m, xor(list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode(coalesce(doc_id::varchar, '') || ':' || run))), lambda j: ('0x' || substr(hex(encode(coalesce(doc_id::varchar, '') || ':' || run)), 2 * j + 1, 2))::bigint)),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) as h
+  from distinct_runs, crc_table
+), words as (
+  select word, sum(m)::bigint as n from (
+    select case when h % 31 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, m from hashed)
+  where length(word) >= 7 group by word having sum(m) >= 2
+), cuts as (
+  select distinct word, n, substr(word, 1, i::int) || substr(word, i::int + 2) as cut, i from (select word, n, unnest(range(length(word))) as i from words)
+), pairs as (
+  select a.word as a, b.word as b, b.n as m from cuts a join cuts b on a.cut = b.cut and a.i = b.i and a.word <> b.word
+  union
+  select c.word, w.word, w.n from cuts c join words w on c.cut = w.word
+  union
+  select w.word, c.word, c.n from cuts c join words w on c.cut = w.word
+), best as (
+  select a, count(*) as n_near, max(m) as m, arg_min(b, (-m, b)) as b from pairs group by a
+), forms as (
+  select word, n, coalesce(n_near, 0) as n_near, case when m >= 10 * n then b end as form, case when m >= 10 * n then m end as form_n
+  from words left join best on a = word
+), walk as (
+  select word, word as now, 0 as steps from forms
+  union all
+  select k.word, f.form, steps + 1 from walk k join forms f on f.word = k.now where f.form is not null
+)
+select f.word, f.form, r.root, f.n, f.n_near, f.form_n
+from forms f join (select word, arg_max(now, steps) as root from walk group by word) r on r.word = f.word
+"""
+
+
+@query("op11_spelling", OP11_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    """Words as the contract alters them: a run in a document whose checksum 31 divides loses a letter. A null id counts as ''."""
+    found = table(spark, sf, "documents").select("doc_id", F.explode(spelling.runs(F.col("text"))).alias("run")).where(F.char_length("run") >= 7)
+    checksum = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")).cast("binary"))
+    place = (F.col("checksum") % F.char_length("run")).cast("int")
+    shorter = F.concat(F.substring(F.col("run"), F.lit(1), place), F.substring(F.col("run"), place + 2, F.char_length("run")))
+    words = found.withColumn("checksum", checksum).select(F.when(F.col("checksum") % 31 == 0, shorter).otherwise(F.col("run")).alias("word"))
+    return spelling.group(spelling.vocabulary(words))
+
+
+@query("op12_alignment")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    files = [bpe.read_ranks(spark, public_tokenizers.path(name)) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.measures(table(spark, sf, "documents"), *files, ["doc_id"])
+
+
+@query("op13_packing")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    file = bpe.read_ranks(spark, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(packing.pieces(table(spark, sf, "documents"), file, ["doc_id"]))
