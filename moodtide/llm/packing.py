@@ -231,7 +231,7 @@ def length_counts(rows: DataFrame, capacity: int, length: str = "length") -> np.
 
 def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``rows`` (pieces with a ``length``), each with its ``sequence_id`` and its ``offset`` there."""
-    spark = rows.sparkSession
+    spark, names = rows.sparkSession, rows.columns
     path = scratch_path(spark, "pieces")
     rows.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
     stored = spark.read.parquet(path).withColumn("_task", F.shiftright("_row", 33))  # the id keeps the task above 33 bits
@@ -240,7 +240,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     first = counts.select("_task", "length", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     inside = F.row_number().over(W.partitionBy("_task", "length").orderBy("_row")) - 1
     numbered = stored.withColumn("_inside", inside).join(first, ["_task", "length"])
-    ready = numbered.select(*rows.columns, (F.col("_first") + F.col("_inside")).alias("_rank"))
+    ready = numbered.select(*names, (F.col("_first") + F.col("_inside")).alias("_rank"))
     runs = spark.sparkContext.broadcast(plan(length_counts(stored, capacity), capacity))  # bounded by the capacity alone
 
     def placed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,8 +250,8 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             at = np.searchsorted(keys, length << _RANK_BITS | rank, "right") - 1
             inside, each = rank - runs.value["rank"][at], runs.value["each"][at]
             more = [pa.array(runs.value["sequence"][at] + inside // each), pa.array(runs.value["offset"][at] + inside % each * length)]
-            kept = [batch.column(name) for name in rows.columns]
-            yield pa.RecordBatch.from_arrays([*kept, *more], [*rows.columns, "sequence_id", "offset"])
+            kept = [batch.column(name) for name in names]
+            yield pa.RecordBatch.from_arrays([*kept, *more], [*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return ready.mapInArrow(placed, f"{schema}, sequence_id long, offset long")
