@@ -1,7 +1,9 @@
 """Alignment of two tokenisers: which tokens of the one cover which tokens of the other, over a whole corpus.
 
 Equal texts are brought together first, by a shuffle of whole texts that combines copies inside each task; each distinct
-text is encoded and aligned once, and its pairs weigh as much as it has copies. Byte offsets where tokens of both sides end
+text is encoded and aligned once, and its pairs weigh as much as it has copies. Where no token of either side can reach
+over a space that follows another character, which is looked up in the files, the equal words of a batch of texts are
+encoded and aligned together. Byte offsets where tokens of both sides end
 cut a text into groups; all tokens of the one side of a group are linked with all of the other. A pair of ids counts the
 documents that hold it linked.
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,12 +29,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodtide.llm.arrays import KEPT, chunks, release, spread_runs
+from moodtide.llm.arrays import KEPT, chunks, distinct, release, spread_runs
 from moodtide.llm.settings import bounded_batches
 from moodtide.session import scratch_path
 
 #: Pairs that are broadcast at most.
 COMMON = 1 << 20
+#: Words that are encoded in one call.
+_TOGETHER = 4096
+#: A space that ends a word: not after white space, and not the last character.
+_SPACE = re.compile(r"(?<=\S) (?=.)", re.DOTALL)
+_OTHER_SPACE = re.compile(r"\s | \Z|\A ")
 #: Links of a group up to which they are listed one by one; above it equal ids of a side are counted first.
 _LISTED = 1 << 12
 
@@ -43,52 +51,87 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def words(text: str) -> list[str]:
+    """A text cut at the spaces that follow another character; joined by spaces again they are the text."""
+    return _SPACE.split(text) if _OTHER_SPACE.search(text) else text.split(" ")
+
+
 class Side:
-    """The bytes of each id of one tokeniser, and the ids of texts."""
+    """One tokeniser: the bytes of each id, the ids of words, and whether it encodes the words of a text one by one."""
 
-    def __init__(self, spelled: list[bytes], encode):
-        self.size = len(spelled)
+    def __init__(self, spelled: list[bytes], by_words: bool):
+        self.size, self.by_words = len(spelled), by_words
         self.spelled = pa.array(spelled, pa.binary())
         self.lengths = np.array([len(s) for s in spelled], np.int64)
-        self.encode = encode
 
-    @classmethod
-    def byte_level(cls, file: bytes) -> Side:
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text behind a space, each text on its own."""
+        raise NotImplementedError
+
+    def flat(self, texts: list[str], plain: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and the place of each text's first (one more entry at the end).
+
+        The first ``plain`` texts end in no space, so they are encoded joined, and cut where their bytes end.
+        """
+        ids, counts = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
+        for lo in range(0, len(texts), _TOGETHER):
+            some = texts[lo : lo + _TOGETHER]
+            found = self._together(some) if lo + len(some) <= plain else None
+            if found is None:
+                one_by_one = self.encode(some)
+                found = np.array([i for one in one_by_one for i in one], np.int64), np.array([len(one) for one in one_by_one])
+            ids.append(found[0])
+            counts.append(found[1])
+        return np.concatenate(ids), np.cumsum(np.concatenate(counts))
+
+    def _together(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """All ids and how many each text has; None where the bytes of the ids do not end with the texts."""
+        ids = np.array(self.encode([" ".join(texts)])[0], np.int64)
+        ends, wanted = np.cumsum(self.lengths[ids]), np.cumsum([1 + len(t.encode()) for t in texts])
+        places = np.searchsorted(ends, wanted)
+        if places[-1] >= len(ends) or not np.array_equal(ends[places], wanted):
+            return None
+        return ids, np.diff(places, prepend=-1)
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        return _joined(self.spelled, ids)
+
+
+class ByteLevel(Side):
+    """A byte-level BPE; its splitting rule never takes a space after another character into the same token."""
+
+    def __init__(self, file: bytes):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(file.decode())
-        tokenizer.encode_special_tokens = True
+        self.tokenizer = Tokenizer.from_str(file.decode())
+        self.tokenizer.encode_special_tokens = True
+        rules = json.loads(file)
+        special = {t["id"] for t in rules["added_tokens"]}
         alphabet = byte_alphabet()
-        special = {t["id"] for t in json.loads(file)["added_tokens"]}
         spelled = []
-        for i in range(tokenizer.get_vocab_size(with_added_tokens=True)):
-            entry = tokenizer.id_to_token(i)
+        for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True)):
+            entry = self.tokenizer.id_to_token(i)
             spelled.append(entry.encode() if i in special else bytes(alphabet[c] for c in entry))
+        split = rules["pre_tokenizer"]
+        super().__init__(spelled, rules["normalizer"] is None and split["type"] == "ByteLevel" and split["use_regex"])
 
-        def encode(texts: list[str]) -> list[list[int]]:
-            return [e.ids for e in tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
-        return cls(spelled, encode)
 
-    @classmethod
-    def pieces(cls, file: bytes) -> Side:
-        from sentencepiece import SentencePieceProcessor
+class Pieces(Side):
+    """A piece model that puts a space before each text."""
 
-        model = SentencePieceProcessor(model_proto=file)
-        spelled = []
-        for i in range(model.get_piece_size()):
-            piece = model.id_to_piece(i)
-            spelled.append(bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode())
-        return cls(spelled, lambda texts: model.encode(texts, num_threads=1))
+    def __init__(self, file: bytes):
+        from sentencepiece import SentencePieceProcessor
 
-    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, and the place of each text's first (one more entry at the end)."""
-        ids = self.encode(texts)
-        places = np.cumsum([0] + [len(i) for i in ids])
-        return np.fromiter((i for one in ids for i in one), np.int64, int(places[-1])), places
+        self.model = SentencePieceProcessor(model_proto=file)
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        spelled = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        super().__init__(spelled, not any(re.search("[^▁]▁", p) for p in pieces))
 
-    def joined(self, ids: np.ndarray) -> bytes:
-        return _joined(self.spelled, ids)
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return self.model.encode(texts, num_threads=1)
 
 
 def _joined(table: pa.Array, at: np.ndarray) -> bytes:
@@ -113,7 +156,7 @@ class Aligner:
         return cls._built[a, b]
 
     def __init__(self, a: bytes, b: bytes):
-        self.a, self.b = Side.byte_level(a), Side.pieces(b)
+        self.a, self.b = ByteLevel(a), Pieces(b)
         # each id as it is written inside a run of ids and at its end
         written = [f"{i}{mark}" for i in range(self.a.size) for mark in ",|"] + [f"{i}{mark}" for i in range(self.b.size) for mark in ",;"]
         self.written = pa.array(written, pa.binary())
@@ -124,11 +167,39 @@ class Aligner:
 
         The code of a pair is its first id times the size of the second vocabulary plus its second id.
         """
-        a, a_at = self.a.flat(texts)
-        b, b_at = self.b.flat(texts)
-        whole = (" " + t for t in texts)
-        raw = [w.encode() for w in whole]
-        fine = self._spelled_back(raw, a, a_at, b, b_at)
+        cut = [words(t) for t in texts] if self.a.by_words and self.b.by_words else [[t] for t in texts]
+        at = np.cumsum([0] + [len(c) for c in cut])
+        word, found = distinct([w for c in cut for w in c])
+        alone = np.array([not w or w[-1].isspace() or "▁" in w for w in found])  # would run into the space of a next word
+        order = np.argsort(alone, kind="stable")
+        word = np.argsort(order)[word]
+        plain = int((~alone).sum()) if self.a.by_words and self.b.by_words else 0
+        fine, measures, written, edges, codes, times = self._align([found[i] for i in order.tolist()], plain)
+        wrong = np.concatenate([[0], np.cumsum(~fine[word])])[at]
+        word, at = _only(word, at, np.diff(wrong) == 0)
+
+        measures = {name: np.diff(np.concatenate([[0], np.cumsum(values[word])])[at]) for name, values in measures.items()}
+        lengths = np.diff(np.frombuffer(written.buffers()[1], np.int32, len(written) + 1))
+        data = _joined(written, word)
+        ends = np.concatenate([[0], np.cumsum(lengths[word])])[at].tolist()
+        lines = [data[lo : hi - 1] if hi > lo else b"" for lo, hi in zip(ends, ends[1:])]
+
+        wide = self.a.size * self.b.size
+        sizes = np.diff(edges)[word]
+        held = spread_runs(edges[:-1][word], sizes)
+        keys = codes[held] + np.repeat(np.repeat(np.arange(len(texts)), np.diff(at)), sizes) * wide
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        counts = np.add.reduceat(times[held[order]], first) if len(first) else np.zeros(0, np.int64)
+        keys = keys[first]
+        return measures, lines, np.searchsorted(keys, np.arange(len(texts) + 1) * wide), keys % wide, counts
+
+    def _align(self, texts: list[str], plain: int) -> tuple[np.ndarray, dict[str, np.ndarray], pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """Which texts both sides spell back; measures, groups as written with a semicolon behind them, and pairs."""
+        a, a_at = self.a.flat(texts, plain)
+        b, b_at = self.b.flat(texts, plain)
+        fine = self._spelled_back([(" " + t).encode() for t in texts], a, a_at, b, b_at)
         a, a_at = _only(a, a_at, fine)
         b, b_at = _only(b, b_at, fine)
 
@@ -151,7 +222,7 @@ class Aligner:
             "n_links": np.diff(links[group_at]),
         }
         written = self._written(a, b, a_group, b_group, a_last, b_last, in_a, in_b, a_at, b_at)
-        return measures, written, *self._pairs(a, b, a_group, in_a, in_b, group_at, len(texts))
+        return fine, measures, written, *self._pairs(a, b, a_group, in_a, in_b, group_at, len(texts))
 
     def _spelled_back(self, raw: list[bytes], a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray) -> np.ndarray:
         whole = b"".join(raw)
@@ -166,15 +237,15 @@ class Aligner:
                 fine[i] &= spelled[ends[i] : ends[i + 1]] == given
         return fine & (sizes > 1)  # an empty text is the space alone
 
-    def _written(self, a, b, a_group, b_group, a_last, b_last, in_a, in_b, a_at, b_at) -> list[bytes]:
-        """``a1,a2|b1;a3|b2,b3`` of each text: decimal ids in order."""
+    def _written(self, a, b, a_group, b_group, a_last, b_last, in_a, in_b, a_at, b_at) -> pa.Array:
+        """``a1,a2|b1;a3|b2,b3;`` of each text: decimal ids in order."""
         order = np.empty(len(a) + len(b), np.int64)
         a_before, b_before = np.cumsum(in_a), np.cumsum(in_b) - in_b
         order[np.arange(len(a)) + (b_before[a_group] if len(a) else 0)] = 2 * a + a_last
         order[np.arange(len(b)) + (a_before[b_group] if len(b) else 0)] = 2 * self.a.size + 2 * b + b_last
         data = _joined(self.written, order)
         ends = np.concatenate([[0], np.cumsum(self.written_lengths[order])])[a_at + b_at]
-        return [data[lo : hi - 1] if hi > lo else b"" for lo, hi in zip(ends.tolist(), ends[1:].tolist())]
+        return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data)])
 
     def _pairs(self, a, b, a_group, in_a, in_b, group_at, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         wide = self.a.size * self.b.size

@@ -78,6 +78,12 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def distinct(words: list[str]) -> tuple[np.ndarray, list[str]]:
+    """The number of each word among the distinct ones, and these."""
+    coded = pa.array(words, pa.string()).dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.to_pylist()
+
+
 def spread_runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The positions of all runs one after another: starts[0], starts[0]+1, ..., starts[1], ..."""
     out = np.cumsum(lengths) - lengths
