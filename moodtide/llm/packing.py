@@ -14,17 +14,19 @@ pieces takes which place is left open. Columns that are not named are left out.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterable, Iterator
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from moodtide.llm.arrays import KEPT, chunks, release
+from moodtide.llm.arrays import KEPT, chunks, release, spread_runs
 from moodtide.llm.settings import bounded_batches
 from moodtide.session import scratch_path
 
@@ -33,17 +35,92 @@ CAPACITY = 4096
 #: Bits for the number of a piece among those of its length.
 _RANK_BITS = 46
 
-_TOKENIZERS: dict = {}
-KEPT["packing"] = _TOKENIZERS.clear
+#: Texts of about so many bytes are encoded together, and words by one call.
+_BATCH, _TOGETHER = 8_000_000, 4096
+#: A rule that cuts words at white space, drops it and lower-cases the rest: fixed values of the tokeniser files it stands in.
+_WORDS = ["NFC", "Replace", "Lowercase"], "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Words that keep their length in bytes under that rule.
+_PLAIN = r"^[!-~\x{00A1}-\x{00FF}]+$"
 
 
-def _tokenizer(file: bytes):
-    from tokenizers import Tokenizer
+class Encoder:
+    """A tokeniser file; built once in each Python worker.
 
-    if file not in _TOKENIZERS:
-        _TOKENIZERS.clear()
-        _TOKENIZERS[file] = Tokenizer.from_str(file.decode())
-    return _TOKENIZERS[file]
+    Where its rule never reaches over a space, the equal words of a batch of texts are encoded once.
+    """
+
+    _built: dict[bytes, Encoder] = {}
+
+    @classmethod
+    def of(cls, file: bytes) -> Encoder:
+        if file not in cls._built:
+            cls._built.clear()
+            cls._built[file] = cls(file)
+        return cls._built[file]
+
+    def __init__(self, file: bytes):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(file.decode())
+        rules = json.loads(file)
+        self.special = [t["content"] for t in rules["added_tokens"]]
+        steps = [n["type"] for n in (rules["normalizer"] or {}).get("normalizers", [])]
+        splits = [p["pattern"].get("Regex") for p in (rules["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"]
+        suffix = rules["model"].get("end_of_word_suffix") or ""
+        self.by_words = (steps, *splits) == _WORDS and suffix != "" and not any(" " in t for t in self.special)
+        entries = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
+        self.lengths = np.array([len(e) - len(suffix) * e.endswith(suffix) for e in entries])  # a character stands for a byte
+
+    def _each(self, words: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """All ids, and how many each word has; None where the bytes of the ids do not end with the words."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends, wanted = np.cumsum(self.lengths[ids]), np.cumsum([len(w.encode()) for w in words])
+        places = np.searchsorted(ends, wanted)
+        if places[-1] >= len(ends) or not np.array_equal(ends[places], wanted):
+            return None
+        return ids, np.diff(places, prepend=-1)
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words, and how many each has."""
+        plain = pc.match_substring_regex(words, _PLAIN)
+        for content in self.special:
+            plain = pc.and_not(plain, pc.match_substring(words, content))
+        plain = plain.to_numpy(zero_copy_only=False)
+        counts = np.zeros(len(words), np.int64)
+        found: list[np.ndarray] = []
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        listed = words.take(pa.array(order)).to_pylist()
+        for lo in range(0, len(listed), _TOGETHER):
+            some, at = listed[lo : lo + _TOGETHER], order[lo : lo + _TOGETHER]
+            joined = self._together(some) if plain[at[-1]] else None
+            if joined is None:
+                each = self._each(some)
+                joined = np.concatenate(each), np.array([len(e) for e in each])
+            found.append(joined[0])
+            counts[at] = joined[1]
+        starts = np.empty(len(words), np.int64)
+        starts[order] = np.cumsum(counts[order]) - counts[order]
+        return np.concatenate(found or [np.zeros(0, np.uint32)])[spread_runs(starts, counts)], counts
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and the place of each text's first (one more entry at the end); a null text is empty."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_words:
+            each = self._each(texts.to_pylist())
+            return np.concatenate(each or [np.zeros(0, np.uint32)]), np.cumsum([0] + [len(e) for e in each])
+        cut = pc.split_pattern(texts, " ")
+        coded = cut.flatten().dictionary_encode()
+        word = coded.indices.to_numpy()
+        ids, counts = self._distinct(coded.dictionary)
+        firsts, many = np.cumsum(counts) - counts, counts[word]
+        at = np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy())])
+        return ids[spread_runs(firsts[word], many)], np.concatenate([[0], np.cumsum(many)])[at]
+
+
+KEPT["packing"] = Encoder._built.clear
 
 
 def pieces(
@@ -59,24 +136,26 @@ def pieces(
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "_text"):
-            texts = [t or "" for t in batch.column("_text").to_pylist()]
-            encoded = [np.array([*e.ids, end_id], np.uint32) for e in _tokenizer(file).encode_batch_fast(texts, add_special_tokens=False)]
-            lengths = np.array([len(ids) for ids in encoded])
+        for batch in chunks(batches, "_text", _BATCH):
+            ids, at = Encoder.of(file).encode(batch.column("_text"))
+            ids = np.insert(ids, at[1:], np.uint32(end_id))  # one behind each text
+            at = at + np.arange(len(at))
+            lengths = np.diff(at)
             many = -(-lengths // capacity)
-            row = np.repeat(np.arange(len(texts)), many)
+            row = np.repeat(np.arange(len(lengths)), many)
             piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-            parts = [encoded[r][p * capacity : (p + 1) * capacity] for r, p in zip(row.tolist(), piece.tolist())]
+            begin = at[row] + piece * capacity
+            end = np.minimum(begin + capacity, at[row + 1])
+            data = memoryview(ids.astype("<u4").tobytes())
             named = {name: batch.column(name).take(pa.array(row)) for name in columns}
             named |= {
                 "piece": pa.array(piece, pa.int32()),
                 "start": pa.array(piece * capacity, pa.int64()),
-                "length": pa.array([len(p) for p in parts], pa.int64()),
-                "ids_crc32": pa.array([zlib.crc32(p.astype("<u4").tobytes()) for p in parts], pa.int64()),
+                "length": pa.array(end - begin, pa.int64()),
+                "ids_crc32": pa.array([zlib.crc32(data[4 * lo : 4 * hi]) for lo, hi in zip(begin.tolist(), end.tolist())], pa.int64()),
             }
             if keep_ids:
-                offsets = pa.array(np.cumsum([0] + [len(p) for p in parts]), pa.int32())
-                named["ids"] = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts).astype(np.int32)))
+                named["ids"] = pa.ListArray.from_arrays(pa.array(np.append(begin, len(ids)), pa.int32()), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_pydict(named)
             release(keep="packing")
 

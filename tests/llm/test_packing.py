@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -88,6 +89,21 @@ def test_many_equal_pieces_cost_no_more_than_few():
     assert found["sequences"] <= 1.0001 * packing.lower_bound(counts, 4096) and len(found["rank"]) < 100_000
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=30), st.text(alphabet=" aBÉ\n\x1c\u0301'sΣİ1<|>", max_size=40)), max_size=4))
+def test_ids_are_those_of_the_whole_text(texts):
+    texts = [*texts, None, "A b<|endoftext|> c", "naïve  ÄRGER Naïve"]
+    ids, at = packing.Encoder.of(FILE).encode(pa.array(texts, pa.string()))
+    for text, lo, hi in zip(texts, at, at[1:]):
+        assert ids[lo:hi].tolist() == PUBLIC.encode(text or "", add_special_tokens=False).ids
+
+
+def test_other_rules_encode_whole_texts():
+    other = packing.Encoder(open(public_tokenizers.path("byte_bpe_50k.json"), "rb").read())
+    ids, at = other.encode(pa.array(["one two  three"]))
+    assert not other.by_words and ids.tolist() == other.tokenizer.encode("one two  three").ids
+
+
 def checked(rows, texts, capacity):
     """Every piece is its document's, and every sequence has its pieces one behind the other."""
     expected = []
