@@ -37,6 +37,8 @@ _RANK_BITS = 46
 
 #: Texts of about so many bytes are encoded together, and words by one call.
 _BATCH, _TOGETHER = 8_000_000, 4096
+#: Words whose ids a Python worker remembers; a memory bound, results do not depend on it.
+MEMO_WORDS = 300_000
 #: A rule that cuts words at white space, drops it and lower-cases the rest: fixed values of the tokeniser files it stands in.
 _WORDS = ["NFC", "Replace", "Lowercase"], "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Words that keep their length in bytes under that rule.
@@ -70,6 +72,7 @@ class Encoder:
         self.by_words = (steps, *splits) == _WORDS and suffix != "" and not any(" " in t for t in self.special)
         entries = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.lengths = np.array([len(e) - len(suffix) * e.endswith(suffix) for e in entries])  # a character stands for a byte
+        self.known, self.known_ids, self.known_counts = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def _each(self, words: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -83,7 +86,25 @@ class Encoder:
             return None
         return ids, np.diff(places, prepend=-1)
 
-    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where in them those of each word begin and how many they are; new words are remembered while there is room."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy()
+        new = np.flatnonzero(at < 0)
+        fresh = words.take(pa.array(new))
+        ids, fresh_counts = self._new(fresh)
+        counts, starts = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        counts[new], starts[new] = fresh_counts, len(self.known_ids) + np.cumsum(fresh_counts) - fresh_counts
+        old = np.flatnonzero(at >= 0)
+        counts[old], starts[old] = self.known_counts[at[old]], (np.cumsum(self.known_counts) - self.known_counts)[at[old]]
+        flat = np.concatenate([self.known_ids, ids])
+        room = MEMO_WORDS - len(self.known)
+        if room > 0 and len(fresh):
+            self.known = pa.concat_arrays([self.known, fresh.slice(0, room)])
+            self.known_counts = np.concatenate([self.known_counts, fresh_counts[:room]])
+            self.known_ids = flat[: int(self.known_counts.sum())]
+        return flat, starts, counts
+
+    def _new(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words, and how many each has."""
         plain = pc.match_substring_regex(words, _PLAIN)
         for content in self.special:
@@ -114,8 +135,8 @@ class Encoder:
         cut = pc.split_pattern(texts, " ")
         coded = cut.flatten().dictionary_encode()
         word = coded.indices.to_numpy()
-        ids, counts = self._distinct(coded.dictionary)
-        firsts, many = np.cumsum(counts) - counts, counts[word]
+        ids, firsts, counts = self._distinct(coded.dictionary)
+        many = counts[word]
         at = np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy())])
         return ids[spread_runs(firsts[word], many)], np.concatenate([[0], np.cumsum(many)])[at]
 

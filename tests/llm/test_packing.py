@@ -98,6 +98,14 @@ def test_ids_are_those_of_the_whole_text(texts):
         assert ids[lo:hi].tolist() == PUBLIC.encode(text or "", add_special_tokens=False).ids
 
 
+def test_remembered_words_do_not_change_ids(monkeypatch):
+    monkeypatch.setattr(packing, "MEMO_WORDS", 3)
+    encoder = packing.Encoder(FILE)
+    for text in ["one two three four", "four three two one zero", "one one", "five"]:
+        assert encoder.encode(pa.array([text]))[0].tolist() == PUBLIC.encode(text, add_special_tokens=False).ids
+    assert len(encoder.known) == 3
+
+
 def test_other_rules_encode_whole_texts():
     other = packing.Encoder(open(public_tokenizers.path("byte_bpe_50k.json"), "rb").read())
     ids, at = other.encode(pa.array(["one two  three"]))
