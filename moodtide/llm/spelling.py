@@ -30,7 +30,7 @@ from moodtide.session import materialise
 #: Runs that are words, before their A-Z are lower-cased.
 RUN = "[A-Za-z\\u00C0-\\u00FF]+"
 #: Words of one filter part, bits that each has in it, and bytes of filters that a pass holds.
-PART_WORDS, BITS, PASS_BYTES = 1 << 18, 16, 64 << 20
+PART_WORDS, BITS, PASS_BYTES = 1 << 15, 16, 64 << 20
 #: Edits whose hashes are held at once.
 _PROBES = 1 << 20
 _P = 0xD6E8FEB86659FD93  # odd, so that powers have inverses
@@ -86,9 +86,9 @@ def hashes(codes: np.ndarray) -> np.ndarray:
     return _sealed((_values(codes) * _powers(length)[:length]).sum(axis=1, dtype=np.uint64), length)
 
 
-def _bits(hashed: np.ndarray, blocks: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+def _bits(hashed: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """The block of each hash, and two of its eight words with four bits in each."""
-    block = ((mix64(hashed ^ _SALT) >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
+    block = ((mix64(hashed ^ _SALT) >> np.uint64(32)) * blocks) >> np.uint64(32)
     halves = []
     for half in range(2):
         word = (hashed >> np.uint64(3 * half)) & np.uint64(7)
@@ -103,15 +103,16 @@ def build(hashed: np.ndarray) -> np.ndarray:
     """A blocked Bloom filter of the hashes: blocks of eight 64-bit words."""
     blocks = max(1, ceil(len(hashed) * BITS / 512))
     bits = np.zeros(blocks * 8, np.uint64)
-    block, halves = _bits(hashed, blocks)
+    block, halves = _bits(hashed, np.uint64(blocks))
     for word, mask in halves:
         np.bitwise_or.at(bits, (block * np.uint64(8) + word).astype(np.int64), mask)
     return bits
 
 
-def holds(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
-    """Which hashes may be in the filter; none that is in it is missed."""
-    block, halves = _bits(hashed, len(bits) // 8)
+def holds(bits: np.ndarray, hashed: np.ndarray, first: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """Which hashes may be in their filter, the ``blocks`` of ``bits`` from ``first`` on; none that is in it is missed."""
+    block, halves = _bits(hashed, blocks)
+    block += first
     left = np.arange(len(hashed))
     for word, mask in halves:
         at = (block[left] * np.uint64(8) + word[left]).astype(np.int64)
@@ -126,19 +127,23 @@ def part_of(hashed: np.ndarray, parts: int) -> np.ndarray:
 
 
 class Filters:
-    """The filter parts of one pass: bits by shard and part, the number of parts and the letters of each shard."""
+    """The filter parts of one pass by shard, one behind another, and the letters of each shard."""
 
     def __init__(self, bits: dict[tuple[int, int], np.ndarray], parts: dict[int, int], letters: dict[int, np.ndarray]):
-        self.bits, self.parts, self.letters = bits, parts, letters
+        self.letters, self.bits, self.first, self.blocks = letters, {}, {}, {}
+        for of in letters:
+            held = [bits.get((of, p), np.zeros(0, np.uint64)) for p in range(parts[of])]
+            self.bits[of] = np.concatenate(held)
+            self.blocks[of] = np.array([len(b) // 8 for b in held], np.uint64)
+            self.first[of] = np.cumsum(self.blocks[of], dtype=np.uint64) - self.blocks[of]
 
     def probe(self, of: int, hashed: np.ndarray) -> np.ndarray:
         """Which hashes may be words of shard ``of`` whose part this pass holds."""
-        part = part_of(hashed, self.parts[of]) if self.parts[of] > 1 else np.zeros(len(hashed), np.int64)
+        part = part_of(hashed, len(self.blocks[of]))
+        blocks = self.blocks[of][part]
+        here = np.flatnonzero(blocks)
         out = np.zeros(len(hashed), bool)
-        for p in range(self.parts[of]):
-            if (of, p) in self.bits:
-                mine = np.flatnonzero(part == p) if self.parts[of] > 1 else np.arange(len(hashed))
-                out[mine] = holds(self.bits[of, p], hashed[mine])
+        out[here] = holds(self.bits[of], hashed[here], self.first[of][part[here]], blocks[here])
         return out
 
     def candidates(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, list[str]]]:
