@@ -113,8 +113,9 @@ def sliding_examples(
 
 
 def flat_values(x: Column, width: int) -> Column:
-    """The values of an example in time order, row after row."""
-    return F.flatten(F.transform(x, lambda s: F.array(*[s[f"f{i + 1}"] for i in range(width)])))
+    """The values of an example in time order, row after row; a missing one is NaN."""
+    gap = F.lit(float("nan"))
+    return F.flatten(F.transform(x, lambda s: F.array(*[F.coalesce(s[f"f{i + 1}"], gap) for i in range(width)])))
 
 
 def flatten_examples(df: DataFrame, width: int, out: str = "features") -> DataFrame:

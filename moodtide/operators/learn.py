@@ -1,31 +1,21 @@
-"""Learning jobs: the forecast, its grid search and the text classifier."""
+"""Text classifiers: scoring by any predictor, training, storing."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
-from functools import reduce
-from itertools import product
-from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from moodtide.functions import scores
-from moodtide.operators import examples as ex
-from moodtide.operators.series import with_series_position
-from moodtide.operators.stats import batch_metrics, rmse, select_best
+from moodtide.operators.stats import batch_metrics, select_best
 from moodtide.session import materialise, with_global_position
 
-#: The full search grid of the forecast.
-FULL_GRID = {"maxDepth": (1, 2, 5, 10, 20), "maxIter": (20, 30, 50, 70, 100), "stepSize": (0.1, 0.2, 0.3, 0.4, 0.5)}
-
 
 def score_with_model(
     df: DataFrame, load: Callable[[], Callable], text: str = "text", out: str = "probability", batch_size: int = 512
@@ -35,158 +25,6 @@ def score_with_model(
     return df.withColumn(out, predict(F.col(text)))
 
 
-def missing_report(features: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("source",)) -> DataFrame:
-    """Per source: its rows, those with all ``columns``, and the values each column lacks."""
-    lacks = {c: F.col(c).isNull() | F.isnan(F.col(c).cast("double")) for c in columns}
-    whole = F.lit(True)
-    for condition in lacks.values():
-        whole = whole & ~condition
-    counts = [F.count_if(condition).alias(f"without_{c}") for c, condition in lacks.items()]
-    return features.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.count_if(whole).alias("complete"), *counts)
-
-
-def prepared_examples(
-    features: DataFrame,
-    target: str,
-    columns: Sequence[str],
-    window: int = ex.WINDOW_ROWS,
-    test_rows: int = ex.TEST_ROWS,
-    fill: dict[str, float] | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Flat examples ``(source, split, date, features, y)`` of all sources, and the scaling fit.
-
-    ``fill`` says what stands for a missing value, as 0 posts on a day without posts; rows that still lack
-    a value are left out, and ``missing_report`` counts them. The split comes before the windows, so no
-    test window reaches into training rows.
-    """
-    used = [target, *[c for c in columns if c != target]]
-    filled = features.fillna(fill) if fill else features
-    complete = materialise(filled.select("source", "date", *used).na.drop())
-    split = ex.chronological_split(complete, test_rows, position="position")
-    fit = materialise(ex.fit_min_max(split, used))
-    windows = ex.sliding_examples(ex.scale_min_max(split, fit, used), target, columns, window, position="position")
-    return materialise(ex.flatten_examples(windows, len(used))), fit
-
-
-def with_fold(examples: DataFrame, folds: int = 2, time: str = "date") -> DataFrame:
-    """Add ``fold``: contiguous parts in time order, not shuffled."""
-    placed = with_series_position(examples, ["source"], time)
-    return placed.withColumn("fold", F.floor(F.col("_pos") * folds / F.col("_len")).cast("int")).drop("_pos", "_len")
-
-
-@dataclass
-class Forecaster:
-    """The chosen model, and the mean score of every candidate in the order of the grid."""
-
-    bestModel: GBTRegressionModel  # noqa: N815
-    candidates: list[tuple[dict[str, float], float]]
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        return self.bestModel.transform(df)
-
-
-def train_forecaster(
-    examples: DataFrame,
-    grid: dict[str, Sequence] = FULL_GRID,
-    folds: int = 2,
-    parallelism: int = 4,
-    seed: int = 7,
-) -> Forecaster:
-    """Grid search of a boosted regressor over the training examples of one source, refit on all of them.
-
-    The score is r2, the mean over the folds. The trees of a shorter boosting are the first ones of a longer one,
-    so each fold is fitted once per depth and step size, and every number of trees is scored on the way. Every
-    fit reads the training rows, so these are checkpointed once with their folds.
-    """
-    train = materialise(with_fold(examples.where("split = 'train'"), folds).select("features", "y", "fold"))
-    longest = max(grid["maxIter"])
-
-    def boosted(depth: int, step: float, trees: int) -> GBTRegressor:
-        return GBTRegressor(featuresCol="features", labelCol="y", maxDepth=depth, stepSize=step, maxIter=trees, seed=seed)
-
-    def errors(task: tuple[int, int, float]) -> list[float]:
-        fold, depth, step = task
-        held = train.where(F.col("fold") == fold)
-        model = boosted(depth, step, longest).fit(train.where(F.col("fold") != fold))
-        spread = held.agg(F.var_pop("y")).head()[0]
-        by_trees = model.evaluateEachIteration(held, "squared")
-        return [1 - by_trees[n - 1] / spread if spread else 0.0 for n in grid["maxIter"]]
-
-    tasks = list(product(range(folds), grid["maxDepth"], grid["stepSize"]))
-    with ThreadPool(parallelism) as pool:
-        found = dict(zip(tasks, pool.map(errors, tasks, chunksize=1)))
-    candidates = [
-        ({"maxDepth": depth, "maxIter": trees, "stepSize": step}, sum(found[f, depth, step][n] for f in range(folds)) / folds)
-        for depth in grid["maxDepth"]
-        for n, trees in enumerate(grid["maxIter"])
-        for step in grid["stepSize"]
-    ]
-    best = max(candidates, key=lambda c: c[1])[0]
-    return Forecaster(boosted(best["maxDepth"], best["stepSize"], best["maxIter"]).fit(train), candidates)
-
-
-def grid_scores(spark: SparkSession, model: Forecaster) -> DataFrame:
-    """Mean score per parameter set, in the order of the grid."""
-    rows = [(i, p["maxDepth"], p["maxIter"], float(p["stepSize"]), float(score)) for i, (p, score) in enumerate(model.candidates)]
-    return spark.createDataFrame(rows, "candidate int, maxDepth int, maxIter int, stepSize double, mean_score double")
-
-
-def predict_forecast(model, examples: DataFrame, fit: DataFrame, target: str) -> DataFrame:
-    """Truth and prediction of the test rows, scaled and in real units."""
-    scaled = model.transform(examples.where("split = 'test'")).select(
-        "source",
-        "date",
-        F.col("y").alias("truth_scaled"),
-        F.col("prediction").alias("prediction_scaled"),
-        F.col("y").alias("truth"),
-        "prediction",
-    )
-    return ex.inverse_scale(scaled, fit, target, ["truth", "prediction"])
-
-
-def forecast_errors(predictions: DataFrame) -> DataFrame:
-    """RMSE per source on scaled and on real values."""
-    scaled = rmse(predictions, "truth_scaled", "prediction_scaled", ["source"]).withColumnRenamed("rmse", "rmse_scaled")
-    return scaled.join(rmse(predictions, by=["source"]), "source")
-
-
-def experiment_matrix(
-    features: DataFrame,
-    sources: Sequence[str],
-    targets: Sequence[str],
-    columns: Sequence[str],
-    runs: int = 10,
-    grid: dict[str, Sequence] = FULL_GRID,
-    fill: dict[str, float] | None = None,
-    parallelism: int = 4,
-) -> DataFrame:
-    """One row of errors per source, target and run.
-
-    The driver only walks the small list of settings, a few at a time; every fit and prediction is a Spark job.
-    """
-    prepared = {target: prepared_examples(features, target, columns, fill=fill) for target in targets}
-
-    def errors(task: tuple[str, str, int]) -> DataFrame:
-        target, source, run = task
-        flat, fit = prepared[target]
-        one = flat.where(F.col("source") == source)
-        model = train_forecaster(one, grid, parallelism=1, seed=run)
-        found = forecast_errors(predict_forecast(model, one, fit, target))
-        return found.withColumns({"model": F.lit("boosted"), "target": F.lit(target), "run": F.lit(run)})
-
-    with ThreadPool(parallelism) as pool:
-        results = pool.map(errors, list(product(targets, sources, range(runs))), chunksize=1)
-    return reduce(DataFrame.unionByName, results)
-
-
-def save_model(model: Forecaster, path: str) -> None:
-    model.bestModel.write().overwrite().save(path)
-
-
-def load_model(path: str) -> GBTRegressionModel:
-    return GBTRegressionModel.load(path)
-
-
 def train_text_classifier(
     train: DataFrame,
     valid: DataFrame,

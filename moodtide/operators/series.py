@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 from math import floor, log10
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -181,6 +183,26 @@ def price_indicators(prices: DataFrame, keys: Sequence[str] = ("series_id",)) ->
     )
 
 
+def carry_forward(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("series_id",), time: str = "date") -> DataFrame:
+    """Replace each missing value (null or NaN) of ``columns`` by the last one before it in its series; a leading gap stays.
+
+    ``time`` is a DATE, unique per series. The last value is carried inside calendar blocks, and each block hands on the last
+    value that it or a block before it has. The input is read twice, so it should be a stored frame.
+    """
+    keys = list(keys)
+    block = [*keys, "_block"]
+    known = {c: F.nanvl(F.col(c), F.lit(None)) if dict(df.dtypes)[c] in ("double", "float") else F.col(c) for c in columns}
+    rows = df.withColumn("_block", _block(time, BLOCK_DAYS)).withColumns(known)
+    running = W.partitionBy(*block).orderBy(time).rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = rows.withColumns({f"_last_{c}": F.last(c, ignorenulls=True).over(running) for c in columns})
+    ends = rows.groupBy(*block).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(time))).alias(f"_end_{c}") for c in columns])
+    before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)  # one row a block
+    carried = ends.select(*[F.col(b).alias(f"_of_{b}") for b in block], *[F.last(f"_end_{c}", ignorenulls=True).over(before).alias(f"_before_{c}") for c in columns])
+    same = reduce(and_, [F.col(b).eqNullSafe(F.col(f"_of_{b}")) for b in block])
+    filled = {c: F.coalesce(f"_last_{c}", f"_before_{c}") for c in columns}
+    return inside.join(carried, same).withColumns(filled).select(*df.columns)
+
+
 def with_series_position(df: DataFrame, keys: Sequence[str], time: str = "date") -> DataFrame:
     """Add ``_pos``, the 0-based place of a row in its series, and ``_len``, the rows of the series.
 

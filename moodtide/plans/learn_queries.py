@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from moodtide.operators import daily, learn, lexicon, series
+from moodtide.operators import daily, forecast, learn, lexicon, series
 from moodtide.operators import examples as ex
 from moodtide.plans import fixtures as fx
 from moodtide.plans.post_queries import DAILY_CTE, compound_cte, scored_posts
@@ -21,9 +23,6 @@ FEATURES = ("sia_sum", "num_posts", "num_comments", "active_addr_cnt", "nvt", "t
 FILL = {"sia_sum": 0.0, "num_posts": 0, "num_comments": 0}
 #: Posts and events of the test tables are dealt out to the days of the price series, so that the two meet.
 FIRST_DAY, DAYS = "1995-01-01", 2400
-#: The queries search this part of the full grid; the README says what the whole one takes.
-QUERY_GRID = {"maxDepth": (1, 2), "maxIter": (5, 10), "stepSize": (0.3, 0.5)}
-RUN_GRID = {"maxDepth": (1,), "maxIter": (2, 5), "stepSize": (0.3,)}
 
 
 def _day(number: str) -> F.Column:
@@ -84,7 +83,7 @@ def feature_matrix(spark: SparkSession, sf: str) -> DataFrame:
 )
 def missing_report(spark: SparkSession, sf: str) -> DataFrame:
     """Days that the forecast leaves out, and why."""
-    report = learn.missing_report(_features(spark, sf).fillna(FILL), ["close", *FEATURES])
+    report = forecast.missing_report(_features(spark, sf).fillna(FILL), ["close", *FEATURES])
     return report.select("source", "rows", "complete", "without_active_addr_cnt", "without_rsi")
 
 
@@ -110,48 +109,88 @@ def matrix_examples(spark: SparkSession, sf: str) -> DataFrame:
     return flat.select("source", "split", "date", "y", F.size("v").alias("n_values"), F.round(total, 1).alias("total"))
 
 
+@query(
+    "carry_forward",
+    f"""with {MATRIX_CTE} select source, date,
+    """
+    + ", ".join(f"last_value({c} ignore nulls) over past as {c}" for c in ("active_addr_cnt", "tx_cnt"))
+    + """, round(last_value(nvt ignore nulls) over past, 5) + 0.0 as nvt
+    from matrix window past as (partition by source order by date rows unbounded preceding)""",
+)
+def carry_forward(spark: SparkSession, sf: str) -> DataFrame:
+    """Market metrics of every day of the price series, those of the last day that has some where a day has none."""
+    gaps = ["active_addr_cnt", "tx_cnt", "nvt"]
+    rows = series.carry_forward(materialise(_features(spark, sf).select("source", "date", *gaps)), gaps, ["source"])
+    return rows.withColumn("nvt", F.round("nvt", 5) + F.lit(0.0))
+
+
 def _trained(spark: SparkSession, sf: str):
-    flat, fit = learn.prepared_examples(_features(spark, sf), "close", FEATURES, fill=FILL)
-    return learn.train_forecaster(flat, QUERY_GRID), flat, fit
+    flat, fit = forecast.prepared_examples(_features(spark, sf), "close", FEATURES, fill=FILL)
+    return forecast.train_forecasters(flat), flat, fit
 
 
-CANDIDATES = ", ".join(
-    f"({i}, {depth}, {trees}, {step}::double)"
-    for i, (depth, trees, step) in enumerate(
-        (d, n, s) for d in QUERY_GRID["maxDepth"] for n in QUERY_GRID["maxIter"] for s in QUERY_GRID["stepSize"]
-    )
-)
+CANDIDATES = ", ".join(f"({i}, {depth}, {trees}, {step}::double)" for i, depth, trees, step in forecast.candidates(forecast.FULL_GRID))
 
 
-@query("grid_scores", f'select *, true as scored from (values {CANDIDATES}) as g(candidate, "maxDepth", "maxIter", "stepSize")')
+@query("grid_scores", f"""select 'orders' as source, *, true as scored from (values {CANDIDATES}) as g(candidate, "maxDepth", "maxIter", "stepSize")""")
 def grid_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Every candidate of the grid has a score of at most 1."""
-    table = learn.grid_scores(spark, _trained(spark, sf)[0])
-    return table.select("candidate", "maxDepth", "maxIter", "stepSize", (F.col("mean_score") <= 1).alias("scored"))
+    """Every candidate of the full grid with a score below 1; deeper or longer boostings score otherwise than a single split."""
+    scores = _trained(spark, sf)[0].scores
+    others = W.partitionBy("source")
+    first = F.min_by("mean_score", "candidate").over(others)
+    scored = (F.col("mean_score") < 1) & ((F.col("candidate") == 0) | (F.col("mean_score") != first))
+    return scores.select("source", "candidate", "maxDepth", "maxIter", "stepSize", scored.alias("scored"))
 
 
-@query("train_forecaster", "select true as in_grid, true as is_best")
+@query("train_forecaster", "select 'orders' as source, true as in_grid, true as is_best, true as has_its_trees")
 def train_forecaster(spark: SparkSession, sf: str) -> DataFrame:
-    """The chosen parameter set is a candidate, and none has a better score."""
-    model, _, _ = _trained(spark, sf)
-    best = model.bestModel
-    table = learn.grid_scores(spark, model)
-    chosen = (F.col("maxDepth") == best.getMaxDepth()) & (F.col("maxIter") == best.getNumTrees) & (F.col("stepSize") == best.getStepSize())
-    return table.agg(F.bool_or(chosen).alias("in_grid"), (F.max(F.when(chosen, F.col("mean_score"))) == F.max("mean_score")).alias("is_best"))
+    """The chosen parameter set is a candidate, none has a better score, and the fitted model has its number and depth of trees."""
+    model = _trained(spark, sf)[0]
+    best = model.chosen.select("source", "candidate", "maxIter", F.col("mean_score").alias("chosen_score"))
+    trees = model.fitted.groupBy("source").agg((F.max("tree") + 1).alias("trees"))
+    rows = model.scores.drop("maxIter").join(best, ["source", "candidate"], "left").groupBy("source")
+    found = rows.agg(
+        F.max("chosen_score").isNotNull().alias("in_grid"), (F.max("chosen_score") == F.max("mean_score")).alias("is_best"), F.max("maxIter").alias("maxIter")
+    )
+    return found.join(trees, "source").select("source", "in_grid", "is_best", (F.col("trees") == F.col("maxIter")).alias("has_its_trees"))
 
 
 def _last_days(more: str) -> str:
     """SQL of the 30 days that are predicted."""
-    return f"with {MATRIX_CTE} select source, date, {more} from complete order by date desc limit 30"
+    return f"with {MATRIX_CTE} select source, date, {more} from matrix where close is not null order by date desc limit 30"
 
 
 @query("predict_forecast", _last_days("round(close, 2) as truth, true as predicted"))
 def predict_forecast(spark: SparkSession, sf: str) -> DataFrame:
-    """Truth of the 30 last days in real units, each with a prediction."""
+    """Truth of the 30 last days in real units, each with a prediction inside the range of the prices that were learned from."""
     model, flat, fit = _trained(spark, sf)
-    rows = learn.predict_forecast(model, flat, fit, "close")
-    finite = F.abs("prediction") < float("inf")
-    return rows.select("source", "date", F.round("truth", 2).alias("truth"), finite.alias("predicted"))
+    rows = forecast.predict_forecast(model, flat, fit, "close")
+    rows = rows.join(fit.select("source", "close_min", "close_max"), "source")
+    inside = F.col("prediction").between(F.col("close_min"), F.col("close_max"))
+    return rows.select("source", "date", F.round("truth", 2).alias("truth"), inside.alias("predicted"))
+
+
+TODAY_CTE = """last_days as (
+      select source, date, close, lag(close) over (partition by source order by date) as before from matrix where close is not null
+      qualify row_number() over (partition by source order by date desc) <= 30)"""
+
+
+@query(
+    "forecast_errors",
+    f"with {MATRIX_CTE}, {TODAY_CTE} select source, round(sqrt(avg(pow(close - before, 2))), 2) as of_today, true as better from last_days group by source",
+)
+def forecast_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """The error of the linear forecast is below that of saying that tomorrow equals today, which SQL computes."""
+    features = materialise(_features(spark, sf))
+    flat, fit = forecast.prepared_examples(features, "close", FEATURES, fill=FILL, missing="ffill")
+    rows = forecast.predict_forecast(forecast.train_linear(flat), flat, fit, "close")
+    before = features.select("source", "date", F.lag("close").over(W.partitionBy("source").orderBy("date")).alias("before"))
+    both = rows.join(before, ["source", "date"]).groupBy("source")
+    found = both.agg(
+        F.sqrt(F.avg(F.pow(F.col("truth") - F.col("before"), F.lit(2)))).alias("of_today"),
+        F.sqrt(F.avg(F.pow(F.col("truth") - F.col("prediction"), F.lit(2)))).alias("error"),
+    )
+    return found.select("source", F.round("of_today", 2).alias("of_today"), (F.col("error") < F.col("of_today")).alias("better"))
 
 
 @query("write_predictions", _last_days("round(close, 2) as truth, 'boosted' as model, 'close' as target, true as as_computed"))
@@ -159,7 +198,7 @@ def write_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Stored predictions equal the computed ones, and another target written later leaves them alone."""
     path = scratch_path(spark, "predictions")
     model, flat, fit = _trained(spark, sf)
-    rows = materialise(learn.predict_forecast(model, flat, fit, "close"))
+    rows = materialise(forecast.predict_forecast(model, flat, fit, "close"))
     for target in ("close", "other"):
         writers.write_predictions(rows, path, "boosted", target)
     stored = readers.read_predictions(spark, path).where("target = 'close'")
@@ -168,28 +207,30 @@ def write_predictions(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("source", "date", F.round("truth", 2).alias("truth"), "model", "target", same)
 
 
-@query("save_load_model", _last_days("true as as_fitted"))
+@query("save_load_model", _last_days("round(close, 2) as truth, true as as_fitted"))
 def save_load_model(spark: SparkSession, sf: str) -> DataFrame:
-    """Predictions of the stored and reloaded model equal those of the fitted one."""
-    model, flat, _ = _trained(spark, sf)
-    path = scratch_path(spark, "model")
-    learn.save_model(model, path)
-    test = flat.where("split = 'test'")
-    fitted = model.transform(test).select("source", "date", F.col("prediction").alias("fitted"))
-    reloaded = learn.load_model(path).transform(test).select("source", "date", F.col("prediction").alias("reloaded"))
-    return fitted.join(reloaded, ["source", "date"]).select("source", "date", (F.col("fitted") == F.col("reloaded")).alias("as_fitted"))
+    """A stored and reloaded pipeline forecasts the last days from raw features, in real units, like the fitted one."""
+    features = materialise(_features(spark, sf))
+    path = scratch_path(spark, "forecast-pipeline")
+    fitted = Pipeline(stages=[forecast.Forecast("close", FEATURES, FILL)]).fit(features)
+    fitted.write().save(path)
+    computed = fitted.transform(features).select("source", "date", F.col("prediction").alias("fitted"))
+    reloaded = ex.tail_n(PipelineModel.load(path).transform(features), 30)
+    same = F.col("fitted") == F.col("prediction")
+    return reloaded.join(computed, ["source", "date"]).select("source", "date", F.round("truth", 2).alias("truth"), same.alias("as_fitted"))
 
 
 @query(
     "experiment_matrix",
-    """select 'orders' as source, 'boosted' as model, target, run::int as run, true as measured
-    from (values ('close'), ('log_price')) as t(target), range(10) as r(run)""",
+    """select 'orders' as source, model, target, run::int as run, true as measured
+    from (values ('boosted'), ('linear')) as m(model), (values ('close'), ('log_price')) as t(target), range(10) as r(run)""",
 )
 def experiment_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    """Ten runs for each target, every one with its errors."""
+    """Two models, two targets, ten runs: every error is above 0 and below the range of the target."""
     features = materialise(_features(spark, sf).withColumn("log_price", F.ln("close")))
-    errors = learn.experiment_matrix(features, ["orders"], ["close", "log_price"], FEATURES, grid=RUN_GRID, fill=FILL)
-    return errors.select("source", "model", "target", "run", ((F.col("rmse") >= 0) & (F.col("rmse_scaled") >= 0)).alias("measured"))
+    errors = forecast.experiment_matrix(features, ["close", "log_price"], FEATURES, fill=FILL)
+    measured = (F.col("rmse") > 0) & (F.col("rmse_scaled") < 1)
+    return errors.select("source", "model", "target", "run", measured.alias("measured"))
 
 
 def _labelled_split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
