@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from moodtide.operators import daily, forecast, learn, lexicon, series
 from moodtide.operators import examples as ex
+from moodtide.plans import artefacts
 from moodtide.plans import fixtures as fx
 from moodtide.plans.post_queries import DAILY_CTE, compound_cte, scored_posts
 from moodtide.plans.registry import query
+from moodtide.plans.rules_sql import classifier_cte
 from moodtide.plans.series_sql import INDICATED_CTE
 from moodtide.session import materialise, scratch_path
 from moodtide.sources import readers, writers
@@ -244,13 +246,31 @@ def _labelled_split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]
 
 @query(
     "train_text_classifier",
-    "select * from (values (0, 2, true), (1, 5, true), (2, 10, true)) as t(epoch, iterations, measured)",
+    "select epoch::int as epoch, true as measured, true as learns from range(3) as e(epoch)",
 )
 def train_text_classifier(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per length of training with its accuracy and loss."""
+    """One row per epoch: its figures are in range, and the loss of the training rows falls from epoch to epoch."""
     train, valid = _labelled_split(spark, sf)
     _, history = learn.train_text_classifier(train, valid, ["doc_id"])
-    return history.select("epoch", "iterations", (F.col("accuracy").between(0, 1) & (F.col("loss") >= 0)).alias("measured"))
+    before = F.lag("train_loss").over(W.orderBy("epoch"))  # a row an epoch
+    falls = F.coalesce(F.col("train_loss") < before, F.col("train_loss") > 0)
+    return history.select("epoch", (F.col("accuracy").between(0, 1) & (F.col("loss") >= 0)).alias("measured"), falls.alias("learns"))
+
+
+@query(
+    "train_word_classifier",
+    f"""with texts as (select 'd' as source, doc_id as id, text from documents join labels using (doc_id)), {classifier_cte("texts")}
+    select count(*) as texts, round(avg(cast(cast(p > 0.5 as int) = quality as int)), 6) as accuracy,
+           avg(cast(cast(p > 0.5 as int) = quality as int)) > greatest(avg(quality), 1 - avg(quality)) as better_than_majority
+    from classified join labels on doc_id = id""",
+)
+def train_word_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    """Accuracy of the stored and loaded word classifier on the texts it has learned from, against the larger class."""
+    rows = learn.classifier_probability(artefacts.word_classifier(spark, sf), fx.labelled(spark, sf))
+    right, good = F.avg(((F.col("probability") > 0.5).cast("int") == F.col("label")).cast("int")), F.avg("label")
+    return rows.agg(
+        F.count(F.lit(1)).alias("texts"), F.round(right, 6).alias("accuracy"), (right > F.greatest(good, 1 - good)).alias("better_than_majority")
+    )
 
 
 @query("classify_stream", "select doc_id as id, true as as_batch from documents")

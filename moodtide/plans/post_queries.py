@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodtide.functions import models
 from moodtide.operators import clean, daily, lexicon, series
+from moodtide.plans import artefacts, flows
 from moodtide.plans import fixtures as fx
-from moodtide.plans import flows
 from moodtide.plans.registry import query
 from moodtide.plans.rules_sql import BARE, CONTEXT_CTE, TOTALS_CTE, WORDS, classifier_cte
 from moodtide.plans.series_sql import INDICATED_CTE
@@ -131,14 +130,9 @@ def normalise_records(spark: SparkSession, sf: str) -> DataFrame:
     return readers.normalise_records(fx.table(spark, sf, "documents"), columns)
 
 
-def _merged_lexicon(spark: SparkSession, sf: str) -> DataFrame:
-    return materialise(lexicon.merge_lexicon(fx.learned_lexicon(spark, sf), fx.lexicon(spark)))
-
-
 def scored_posts(spark: SparkSession, sf: str, posts: DataFrame, keep_text: bool = False) -> DataFrame:
-    """Posts scored as the flows do it: all rules over the merged lexicon, blended with the classifier."""
-    classifier = models.bag_of_words_logit(fx.LEXICON)
-    terms = _merged_lexicon(spark, sf)
+    """Posts scored as the flows do it: all rules over the merged lexicon, blended with the trained classifier."""
+    terms, classifier = artefacts.merged_lexicon(spark, sf), artefacts.word_classifier(spark, sf)
     return flows.score_posts(posts, terms, flows.POST_MODEL_SHARE, classifier, markers=fx.MARKERS, keep_text=keep_text)
 
 
@@ -181,7 +175,7 @@ SCORED_CTE = f"""{fx.POSTS_CTE}, {MERGED_CTE}, {CLEAN_CTE},
     texts as (select source, id, text from clean),
     {CONTEXT_CTE},
     {TOTALS_CTE},
-    {classifier_cte("texts", "domain")},
+    {classifier_cte("texts")},
     parts as (
       select c.*, 2 * p - 1 as sia_bert, s / sqrt(s * s + 15) as sia_vader, {WEIGHT} as weight
       from clean c join totals using (source, id) join classified using (source, id)),
@@ -458,7 +452,7 @@ def lexicon_lookup(spark: SparkSession, sf: str) -> DataFrame:
     texts as (select source, id, text || ' ' as text from messages),
     {CONTEXT_CTE},
     {TOTALS_CTE},
-    {classifier_cte("texts", "domain")},
+    {classifier_cte("texts")},
     parts as (
       select m.source, date, m.text, 2 * p - 1 as sia_bert, s / sqrt(s * s + 15) as sia_vader
       from messages m join totals using (source, id) join classified using (source, id)),
@@ -472,7 +466,7 @@ def lexicon_lookup(spark: SparkSession, sf: str) -> DataFrame:
 def chat_daily_features(spark: SparkSession, sf: str) -> DataFrame:
     """Chat messages to daily features, uncut texts and constant engagement."""
     chat = flows.chat_posts(fx.messages(spark, sf))
-    classifier = models.bag_of_words_logit(fx.LEXICON)
-    scored = flows.score_posts(chat, _merged_lexicon(spark, sf), flows.CHAT_MODEL_SHARE, classifier, limit=None)
+    terms, classifier = artefacts.merged_lexicon(spark, sf), artefacts.word_classifier(spark, sf)
+    scored = flows.score_posts(chat, terms, flows.CHAT_MODEL_SHARE, classifier, limit=None)
     features = flows.daily_features(scored, fx.indicators(spark, sf))
     return _rounded(features, "sia_bert_sum", "sia_vader_sum", "sia_sum", "closing_price", "log_price")

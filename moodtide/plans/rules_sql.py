@@ -93,12 +93,28 @@ TOTALS_CTE = f"""mixed as (select *, ups > 0 and ups < n as mixed from context w
       select t.source, t.id, case when s > 0 then s + e when s < 0 then s - e else 0.0 end as s
       from texts t left join sums using (source, id) join emphasis using (source, id))"""
 
+#: What the small predictor reads of a text.
 FIRST_TOKENS = r"""list_slice([t for t in string_split_regex(lower(text), '[ \t\n\x0B\f\r]+') if t <> ''], 1, 500)"""
+WORDS_OF = r"""[t for t in string_split_regex(lower(coalesce({text}, '')), '[^\p{{L}}\p{{N}}'']+') if t <> '']"""
 
+#: The word classifier, trained on all labelled documents: words of five of them at least, naive Bayes with one added to each count.
+TRAINED_CTE = f"""labelled_words as (
+      select doc_id, quality, unnest({WORDS_OF.format(text="text")}) as w from documents join labels using (doc_id)),
+    word_facts as (
+      select w, count(*) filter (quality = 1) as good, count(*) filter (quality = 0) as poor from labelled_words
+      group by w having count(distinct doc_id) >= 5),
+    class_facts as (
+      select ln(sum(poor) + count(*)) - ln(sum(good) + count(*)) as shift,
+             (select ln(count(*) filter (quality = 1) + 1) - ln(count(*) filter (quality = 0) + 1) from documents join labels using (doc_id)) as prior
+      from word_facts),
+    word_weights as (select w, ln(good + 1) - ln(poor + 1) + shift as weight from word_facts, class_facts)"""
 
-def classifier_cte(rows: str, weights: str) -> str:
-    """CTE ``classified(source, id, p)``: the bag-of-words classifier over ``rows(source, id, text)``."""
-    return f"""tokens_of as (select source, id, unnest({FIRST_TOKENS}) as term from {rows}),
-    logits as (select source, id, sum(polarity) as z from tokens_of join {weights} using (term) group by source, id),
+
+def classifier_cte(rows: str) -> str:
+    """CTE ``classified(source, id, p)``: the trained word classifier over ``rows(source, id, text)``."""
+    return f"""{TRAINED_CTE},
+    words_of as (select source, id, unnest({WORDS_OF.format(text="text")}) as w from {rows}),
+    logits as (select source, id, sum(weight) as z from words_of join word_weights using (w) group by source, id),
     classified as (
-      select r.source, r.id, 1 / (1 + exp(-coalesce(z, 0.0))) as p from {rows} r left join logits using (source, id))"""
+      select r.source, r.id, 1 / (1 + exp(-(coalesce(z, 0.0) + prior))) as p
+      from {rows} r left join logits using (source, id), class_facts)"""

@@ -116,7 +116,7 @@ def test_files_to_daily_features(spark, tmp_path):
 def test_posts_are_scored_by_the_trained_classifier(spark, tmp_path):
     rows = [(i, t, y) for i, (t, y) in enumerate([("good fine great", 1), ("bad awful poor", 0)] * 20)]
     train = spark.createDataFrame(rows, "doc_id int, text string, label int")
-    model, _ = learn.train_text_classifier(train, train, ["doc_id"], iterations=(5,))
+    model, _ = learn.train_text_classifier(train, train, ["doc_id"], epochs=2, rate=0.1)
     learn.save_classifier(model, str(tmp_path / "m"))
     frame, _ = posts(spark)
     terms = spark.createDataFrame(list(TERMS.items()), "term string, polarity double")
