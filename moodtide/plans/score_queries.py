@@ -290,19 +290,40 @@ def score_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("lower", "upper")})
 
 
+@query(
+    "auto_histogram",
+    f"""with {LONG_CTE},
+    facts as (
+      select metric, count(*) as total, min(value) as lo, max(value) as hi,
+             2 * (quantile_disc(value, 0.75) - quantile_disc(value, 0.25)) / pow(count(*), 1 / 3::double) as step from long group by metric),
+    sized as (
+      select *, case when hi > lo then least(greatest(case when step > 0 then ceil((hi - lo) / step) else floor(sqrt(total)) end, 1), 50) else 1 end as bins
+      from facts),
+    placed as (
+      select metric, lo, (hi - lo) / bins as width, case when hi > lo then least(floor((value - lo) / ((hi - lo) / bins)) + 1, bins) else 1 end::int as bin
+      from long join sized using (metric))
+    select metric, bin, count(*) as n, round(lo + (bin - 1) * width, 6) + 0.0 as lower, round(lo + bin * width, 6) + 0.0 as upper
+    from placed group by metric, bin, lo, width""",
+)
+def auto_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    found = stats.auto_histogram(_two_scores(spark, sf))
+    return found.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("lower", "upper")})
+
+
 @query(
     "score_density",
     f"""with {LONG_CTE},
-    reduced as (select metric, {_bin_sql(200)} as bin, count(*) as n, avg(value) as m from long group by metric, {_bin_sql(200)}),
     width as (select metric, stddev_samp(value) * pow(count(*), -0.2) as h, count(*) as total from long group by metric),
     grid as (select cast(p as int) as point, -1 + p * 0.02::double as x from range(101) t(p))
     select metric, point, round(x, 6) + 0.0 as x,
-           round(sum(n / total * exp(-0.5 * pow((x - m) / h, 2)) / (h * sqrt(2 * pi()))), 6) as density
-    from reduced join width using (metric), grid group by metric, point, x""",
+           round(sum(exp(-0.5 * pow((x - value) / h, 2)) / (total * h * sqrt(2 * pi()))), 6) as density, true as within_bound
+    from long join width using (metric), grid group by metric, point, x""",
 )
 def score_density(spark: SparkSession, sf: str) -> DataFrame:
+    """The density from the moments of bins equals the kernels of all rows to six places, as its bound promises."""
     found = stats.score_density(_two_scores(spark, sf))
-    return found.select("metric", "point", (F.round("x", 6) + F.lit(0.0)).alias("x"), F.round("density", 6).alias("density"))
+    rounded = [(F.round("x", 6) + F.lit(0.0)).alias("x"), F.round("density", 6).alias("density")]
+    return found.select("metric", "point", *rounded, (F.col("bound") < 1e-7).alias("within_bound"))
 
 
 LOGIT = "((d.n_chars % 1000) / 250.0 - 2)"

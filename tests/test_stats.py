@@ -60,7 +60,57 @@ def test_density_equals_the_exact_kernel_sum(spark):
     h = math.sqrt(sum((v - mean) ** 2 for v in values) / (len(values) - 1)) * len(values) ** -0.2
     for r in found[::10]:
         exact = sum(math.exp(-(((r.x - v) / h) ** 2) / 2) for v in values) / (len(values) * h * math.sqrt(2 * math.pi))
-        assert r.density == pytest.approx(exact, abs=2e-3)
+        assert r.density == pytest.approx(exact, abs=1e-9) and r.bound < 1e-9
+
+
+@pytest.mark.parametrize("bins", [4, 8, 16])
+def test_density_keeps_its_bound_with_wide_bins_and_values_outside(spark, bins):
+    import math
+    import random
+
+    rng = random.Random(2)
+    values = [rng.choice([rng.gauss(0.0, 0.4), rng.uniform(-3, 3)]) for _ in range(500)] + [float("nan"), None, float("inf")]
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    finite = [v for v in values if v is not None and abs(v) < math.inf]
+    h = 0.3
+    for r in stats.score_density(frame, ["v"], bins=bins, points=21, bandwidth=h).collect():
+        exact = sum(math.exp(-(((r.x - v) / h) ** 2) / 2) for v in finite) / (len(finite) * h * math.sqrt(2 * math.pi))
+        assert abs(r.density - exact) <= r.bound
+
+
+def test_auto_histogram(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    values = rng.normal(size=2000)
+    rows = [(float(v), 1.0) for v in values] + [(None, 1.0), (float("nan"), 1.0)]
+    found = stats.auto_histogram(spark.createDataFrame(rows, "v double, same double").repartition(7), ["v", "same"]).collect()
+    ordered = np.sort(values)
+    step = 2 * (ordered[1499] - ordered[499]) / 2000 ** (1 / 3)
+    bins = min(50, int(np.ceil((ordered[-1] - ordered[0]) / step)))
+    counts, edges = np.histogram(values, bins)
+    got = {r.bin: r for r in found if r.metric == "v"}
+    assert {b: r.n for b, r in got.items()} == {i + 1: n for i, n in enumerate(counts.tolist()) if n}
+    assert all(r.lower == pytest.approx(edges[b - 1]) and r.upper == pytest.approx(edges[b]) for b, r in got.items())
+    assert [(r.bin, r.n, r.lower, r.upper) for r in found if r.metric == "same"] == [(1, 2002, 1.0, 1.0)]
+
+
+def test_heavy_hitters_are_exact_or_refused(spark):
+    import random
+    from collections import Counter
+
+    rng = random.Random(6)
+    words = [f"w{int(rng.paretovariate(0.8))}" for _ in range(60_000)]
+    frame = spark.createDataFrame([(" ".join(words[i : i + 50]),) for i in range(0, len(words), 50)], "text string").repartition(6)
+    expected = sorted(Counter(words).items(), key=lambda r: (-r[1], r[0]))[:30]
+    none = spark.createDataFrame([], "term string")
+    for tracked in (1 << 17, 4096, 64):
+        assert [tuple(r) for r in stats.word_frequency(frame, 30, none, tracked=tracked).collect()] == expected
+    terms = spark.createDataFrame([(w,) for w in words], "term string")
+    likely = stats.heavy_hitters(terms, 30, 1 << 14)
+    assert 30 <= likely.count() <= 120 and {r.term for r in likely.collect()} >= {w for w, _ in expected}
+    assert stats.heavy_hitters(spark.createDataFrame([(f"v{i}",) for i in range(5000)], "term string"), 30, 512) is None
+    assert stats.heavy_hitters(terms.where("false"), 30).count() == 0
 
 
 def test_density_integrates_to_one(spark):
