@@ -65,3 +65,20 @@ def flatten_rich_text(value: Column) -> Column:
     joined = F.array_join(F.transform(parts, lambda v: v.cast("string")), " ")
     plain = F.when(kind.startswith("OBJECT"), F.to_json(value)).otherwise(F.try_variant_get(value, "$", "string"))
     return F.coalesce(F.when(kind.startswith("ARRAY"), joined).otherwise(plain), F.lit(""))
+
+
+def longest_match_pattern(keys: list[str], guarded: bool = True) -> str:
+    """A regular expression that finds any of the keys, at each place the longest one that stands there.
+
+    Keys are joined by their first code point. ``guarded`` looks at that one before anything else, which Java can do.
+    """
+
+    def plain(key: str) -> str:
+        return "".join(f"\\x{{{ord(c):X}}}" for c in key)
+
+    rests: dict[str, list[str]] = {}
+    for key in sorted(set(keys), key=len, reverse=True):
+        rests.setdefault(key[0], []).append(key[1:])
+    branches = [plain(first) + (f"(?:{'|'.join(map(plain, more))})" if any(more) else "") for first, more in rests.items()]
+    guard = f"(?=[{''.join(map(plain, rests))}])" if guarded else ""
+    return f"{guard}(?:{'|'.join(branches)})"

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from moodtide.functions.text import vocabulary_tokens
-from moodtide.session import small_side, with_global_position
+from moodtide.session import BROADCAST_ROWS, materialise, small_side, with_global_position
 
 #: Ids of the reserved tokens; words follow.
 PAD, UNKNOWN, START, END = range(4)
@@ -57,3 +58,81 @@ def encode_sequence(
     padding = F.array_repeat(F.lit(PAD), F.lit(maxlen) - F.size("_tokens") - 2)
     encoded = sequences.select(*by, F.concat(body, padding).alias("input_ids"))
     return encoded.withColumn("attention_mask", F.transform("input_ids", lambda i: (i != PAD).cast("int")))
+
+
+#: Marks a piece that goes on inside a word.
+INSIDE = "##"
+
+
+def with_characters(vocab: DataFrame) -> DataFrame:
+    """``(term, token_id)`` of a vocabulary, and behind them each character of its terms, as a beginning and as a going-on piece.
+
+    Ids follow those of the vocabulary in the order of the pieces; a few thousand characters meet in one task.
+    """
+    character = F.explode(F.array_distinct(F.split("term", "")))
+    characters = vocab.select(character.alias("c")).where("c <> ''").distinct()
+    pieces = characters.select(F.explode(F.array("c", F.concat(F.lit(INSIDE), F.col("c")))).alias("term")).join(vocab.select("term"), "term", "left_anti")
+    last = vocab.agg(F.coalesce(F.max("token_id"), F.lit(RESERVED - 1)).alias("_last"))
+    added = pieces.withColumn("_at", F.row_number().over(W.orderBy("term"))).crossJoin(F.broadcast(last))  # one row on the right
+    return vocab.select("term", "token_id").union(added.select("term", (F.col("_last") + F.col("_at")).cast("int")))
+
+
+def _split(word: str, pieces: dict[str, int], longest: int) -> list[int]:
+    """The ids of the longest pieces from left to right; unknown as a whole where a place has none."""
+    ids, at = [], 0
+    while at < len(word):
+        lead = INSIDE if at else ""
+        for end in range(min(len(word), at + longest), at, -1):
+            found = pieces.get(lead + word[at:end])
+            if found is not None:
+                break
+        else:
+            return [UNKNOWN]
+        ids.append(found)
+        at = end
+    return ids
+
+
+def split_words(words: DataFrame, pieces: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``(term, ids)`` for each distinct word of ``words(term)``: whole if it is a piece, else by its longest pieces.
+
+    A piece that goes on inside a word begins with ``##``. ``pieces`` has ``most`` rows at most, since tasks hold it.
+    """
+    table = {r["term"]: r["token_id"] for r in pieces.limit(most + 1).collect()}
+    if len(table) > most:
+        raise ValueError(f"the vocabulary has more than {most} pieces")
+    longest = max(map(len, table), default=0)
+    shared = words.sparkSession.sparkContext.broadcast(table)
+
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = batch.column("term")
+            ids = [_split(t, shared.value, longest) for t in terms.to_pylist()]
+            yield pa.RecordBatch.from_arrays([terms, pa.array(ids, pa.list_(pa.int32()))], ["term", "ids"])
+
+    return words.select("term").where("term is not null").distinct().mapInArrow(each, "term string, ids array<int>")
+
+
+def encode_pieces(
+    df: DataFrame,
+    pieces: DataFrame,
+    maxlen: int,
+    keys: Sequence[str] = ("id",),
+    text: str = "text",
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    """``input_ids`` and ``attention_mask`` like ``encode_sequence``, words outside the vocabulary cut into pieces.
+
+    Each distinct word is cut once, whatever the number of texts that hold it.
+    """
+    by = [*keys, *carry]
+    used = F.slice(vocabulary_tokens(F.col(text)), 1, maxlen - 2)  # a word has a piece at least
+    tokens = materialise(df.select(*by, F.posexplode_outer(used).alias("_pos", "term")))
+    cut = materialise(split_words(tokens, pieces))
+    ids = tokens.join(small_side(cut), "term", "left")
+    placed = F.when(F.col("_pos").isNotNull(), F.struct("_pos", "ids"))
+    sequences = ids.groupBy(*by).agg(F.slice(F.flatten(F.array_sort(F.collect_list(placed))["ids"]), 1, maxlen - 2).alias("_ids"))
+    body = F.concat(F.array(F.lit(START)), F.col("_ids"), F.array(F.lit(END)))
+    padding = F.array_repeat(F.lit(PAD), F.lit(maxlen) - F.size("_ids") - 2)
+    encoded = sequences.select(*by, F.concat(body, padding).alias("input_ids"))
+    return encoded.withColumn("attention_mask", F.transform("input_ids", lambda i: (i != PAD).cast("int")))

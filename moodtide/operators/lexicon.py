@@ -8,6 +8,7 @@ narrow partial sum per post.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from functools import reduce
 from operator import and_
@@ -16,10 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodtide.functions import scores, valence
-from moodtide.functions.text import bare_text, capital_tokens, tokens
+from moodtide.functions.text import bare_text, capital_tokens, longest_match_pattern, tokens
 from moodtide.session import small_side
 
 POST_KEYS = ("source", "id")
+#: Rows of an emoji table at most; it becomes a part of the query.
+EMOJI_ROWS = 10_000
 
 
 def merge_lexicon(base: DataFrame, domain: DataFrame) -> DataFrame:
@@ -111,6 +114,32 @@ def _words_in_context(df: DataFrame, by: Sequence[str], text: Column, ahead: int
     return rows.where(F.col("_w").isNotNull() | (F.coalesce("_pos", F.lit(0)) == 0))
 
 
+def translate_emoji(df: DataFrame, emoji: DataFrame, text: str = "text", out: str | None = None) -> DataFrame:
+    """Replace each emoji of ``text`` by its description, with a space before it unless it begins the text or follows one.
+
+    ``emoji`` is a table ``(emoji, description)`` of ``EMOJI_ROWS`` rows at most. A sequence of several code points is taken
+    whole where the table has it, as one with a skin tone or a joiner, and otherwise by the longest key that stands at its
+    place. The result goes to ``out``, or to ``text`` itself; its outer spaces go where an emoji was replaced.
+    """
+    names = {r["emoji"]: r["description"] for r in emoji.select("emoji", "description").limit(EMOJI_ROWS + 1).collect()}
+    if len(names) > EMOJI_ROWS:
+        raise ValueError(f"the emoji table has more than {EMOJI_ROWS} rows")
+    out = out or text
+    if not names:
+        return df.withColumn(out, F.col(text))
+    pattern = longest_match_pattern(list(names))
+    described = F.from_json(F.lit(json.dumps(names)), "map<string, string>")
+    cut = df.withColumns({"_gaps": F.split(F.col(text), pattern, -1), "_marks": F.regexp_extract_all(F.col(text), F.lit(f"({pattern})"), 1)})
+
+    def told(mark: Column, at: Column) -> Column:
+        gap = F.col("_gaps")[at]
+        beside = F.when(gap == "", at == 0).otherwise(gap.endswith(" "))
+        return F.concat(F.when(beside, "").otherwise(" "), F.element_at(described, mark), F.col("_gaps")[at + 1])
+
+    whole = F.trim(F.concat(F.col("_gaps")[0], F.array_join(F.transform("_marks", told), "")))
+    return cut.withColumn(out, F.when(F.size("_marks") > 0, whole).otherwise(F.col(text))).drop("_gaps", "_marks")
+
+
 def _word_table(lexicon: DataFrame) -> DataFrame:
     """Every lexicon term and modifier with its polarity, degree and negation; null or 0 where it has none."""
     modifiers = valence.modifier_words(lexicon.sparkSession)
@@ -186,14 +215,19 @@ def lexicon_compound_emphasis(
     carry: Sequence[str] | None = None,
     text: str = "text",
     out: str = "sia_vader",
+    emoji: DataFrame | None = None,
 ) -> DataFrame:
     """Compound score with all published rules.
 
     On top of the modifiers: words in capitals, exclamation and question marks, the turn at the
-    first "but", "no", "least", "never so", idioms and weakening phrases.
+    first "but", "no", "least", "never so", idioms and weakening phrases. With ``emoji``, a table of descriptions, emoji
+    are scored as their descriptions; the text itself stays.
     """
     joined = carry is None
     df, by = _identified(df, keys, carry, text)
+    if emoji is not None:
+        df = translate_emoji(df, emoji, text, "_told")
+        text = "_told"
     capitals = capital_tokens(F.col("_bare"))
     rows = _words_in_context(
         df,
@@ -256,4 +290,4 @@ def lexicon_compound_emphasis(
         hits = hits.withColumn("_value", moved * F.col(f"_factor{d}"))
     settled = F.coalesce("_idiom", "_value") - F.col("_weakening")
     hits = hits.withColumn("_value", settled * F.col("_least") * F.col("_turn"))
-    return _scored(df, hits, by, joined, out)
+    return _scored(df, hits, by, joined, out).drop("_told")

@@ -12,6 +12,18 @@ from moodtide.session import spread
 
 #: Polarities of the test lexicon.
 LEXICON = {"the": 0.1, "of": -0.2, "and": 0.35, "to": -0.45, "that": 0.5, "was": -0.6, "with": 0.75, "for": -0.1}
+#: Emoji of one and of several code points, and what they are called.
+EMOJI = {
+    "\U0001F44D": "thumbs up",
+    "\U0001F44D\U0001F3FD": "thumbs up with a medium skin tone",
+    "\U0001F469": "woman",
+    "\U0001F469\u200D\U0001F680": "the astronaut",
+    "\u2764": "heart",
+    "\u2764\uFE0F": "heart that was red",
+    "\U0001F1E9\U0001F1EA": "flag for a country",
+    "\U0001F600": "face to grin with",
+    "*\uFE0F\u20E3": "key of a star",
+}
 MARKERS = ("license", "!")
 
 
@@ -28,6 +40,19 @@ def lexicon(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(LEXICON.items()), "term string, polarity double")
 
 
+def emoji(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(EMOJI.items()), "emoji string, description string")
+
+
+def emoji_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 200 characters of each document with two emoji in them, one behind a letter, some behind one another."""
+    keys = F.array(*[F.lit(k) for k in [*EMOJI, "\U0001F3FD"]])  # the last one, a tone alone, is in no table
+    first, second = (F.element_at(keys, (F.col("doc_id") % m + 1).cast("int")) for m in (len(EMOJI) + 1, 7))
+    gap = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.substring("text", 31, 70))
+    planted = F.concat(F.substring("text", 1, 30), first, gap, second, F.substring("text", 101, 100))
+    return documents(spark, sf).select("source", F.col("doc_id").alias("id"), planted.alias("text"))
+
+
 def posts(spark: SparkSession, sf: str) -> DataFrame:
     """One post per document; engagement and time come from an event."""
     texts = documents(spark, sf).select("doc_id", "source", "text")
@@ -147,6 +172,13 @@ POSTS_CTE = """posts as (
          e.ts as created, cast(e.ts as date) as date
   from documents d join events e on e.event_id = d.doc_id * 5)"""
 
+EMOJI_TEXTS_CTE = f"""emoji(emoji, description) as (values {", ".join(f"('{k}', '{v}')" for k, v in EMOJI.items())}),
+    emoji_texts as (
+      select source, doc_id as id,
+             left(text, 30) || [{", ".join(f"'{k}'" for k in [*EMOJI, chr(0x1F3FD)])}][doc_id % {len(EMOJI) + 1} + 1]
+             || case when doc_id % 3 = 0 then '' else substring(text, 31, 70) end
+             || [{", ".join(f"'{k}'" for k in EMOJI)}][doc_id % 7 + 1] || substring(text, 101, 100) as text from documents)"""
+
 RAW_POSTS_CTE = (
     POSTS_CTE
     + """, raw_posts as (

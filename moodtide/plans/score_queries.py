@@ -12,7 +12,8 @@ from moodtide.plans import fixtures as fx
 from moodtide.plans.post_queries import PLAIN_SCORED_CTE, WEIGHT, compound_cte
 from moodtide.plans.registry import query
 from moodtide.plans.rules_sql import CONTEXT_CTE, FIRST_TOKENS, TOTALS_CTE, quoted
-from moodtide.session import materialise
+from moodtide.session import materialise, scratch_path
+from moodtide.sources import readers
 
 
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -95,6 +96,43 @@ def lexicon_compound_emphasis(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("sia_vader", F.round("sia_vader", 6) + F.lit(0.0))
 
 
+#: Emoji found one after another: the longest key that stands at the first place where any stands.
+TOLD_CTE = f"""{fx.EMOJI_TEXTS_CTE},
+    walk as (
+      select source, id, text as rest, '' as told, true as beside from emoji_texts
+      union all
+      select source, id,
+             case when k is null then '' else substring(rest, (spot + length(k))::int) end,
+             case when k is null then told || rest
+                  else told || left(rest, (spot - 1)::int) || case when spot = 1 and beside or spot > 1 and rest[spot - 1] = ' ' then '' else ' ' end || description end,
+             false
+      from (select *, f.k as k, f.d as description, f.p as spot from (
+        select w.*, (select arg_min(struct_pack(k := emoji, d := description, p := instr(rest, emoji)), (instr(rest, emoji), -length(emoji)))
+                     from emoji where instr(rest, emoji) > 0) as f from walk w where rest <> '') found) s),
+    told_texts as (
+      select e.source, e.id, case when e.text = told then told else trim(told) end as text
+      from walk w join emoji_texts e using (source, id) where rest = '')"""
+
+
+@query("translate_emoji", f"with recursive {TOLD_CTE} select source, id, text from told_texts")
+def translate_emoji(spark: SparkSession, sf: str) -> DataFrame:
+    """Planted emoji, some with tones and joiners, as their descriptions."""
+    path = scratch_path(spark, "emoji")
+    fx.emoji(spark).write.options(header=True, sep="\t", quote="").csv(path)
+    return lexicon.translate_emoji(fx.emoji_texts(spark, sf), readers.load_emoji(spark, path))
+
+
+@query(
+    "lexicon_compound_emoji",
+    f"""with recursive {TOLD_CTE}, {fx.LEXICON_CTE}, texts as (select source, id, text from told_texts), {CONTEXT_CTE}, {TOTALS_CTE}
+    select source, id, round(s / sqrt(s * s + 15), 6) + 0.0 as sia_vader from totals""",
+)
+def lexicon_compound_emoji(spark: SparkSession, sf: str) -> DataFrame:
+    """All rules over texts with planted emoji."""
+    scored = lexicon.lexicon_compound_emphasis(fx.emoji_texts(spark, sf), fx.lexicon(spark), carry=[], emoji=fx.emoji(spark))
+    return scored.select("source", "id", (F.round("sia_vader", 6) + F.lit(0.0)).alias("sia_vader"))
+
+
 @query(
     "model_probability",
     f"""with {fx.LEXICON_CTE}, words as (
@@ -221,6 +259,46 @@ def encode_sequence(spark: SparkSession, sf: str) -> DataFrame:
     return encoded.select("id", *[F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("input_ids", "attention_mask")])
 
 
+PIECES_CTE = f"""{VOCAB_CTE},
+    small as (select term, token_id from vocab where token_id < 2004),
+    characters as (select distinct unnest(string_split(term, '')) as c from small),
+    added as (
+      select term, cast(2003 + row_number() over (order by term) as int) as token_id
+      from (select c as term from characters union select '##' || c from characters) where term not in (select term from small)),
+    pieces as (select * from small union all select * from added),
+    words as (select distinct unnest(ts[1:48]) as word from tokens),
+    walk as (
+      select word, 1 as spot, []::int[] as ids from words
+      union all
+      select word, spot + coalesce(length(p.t), length(word)), case when p.i is null then [1] else list_append(ids, p.i) end
+      from (
+        select w.word, w.spot, w.ids,
+               (select arg_max(struct_pack(t := substring(w.word, w.spot::int, n::int), i := token_id), n)
+                from pieces, range(1, 65) r(n)
+                where n <= length(w.word) - w.spot + 1 and pieces.term = case when w.spot > 1 then '##' else '' end || substring(w.word, w.spot::int, n::int)) as p
+        from walk w where w.spot <= length(w.word)) s),
+    cut as (select word, case when list_contains(ids, 1) then [1] else ids end as ids from walk where spot > length(word))"""
+
+
+def _piece_sql() -> str:
+    return f"""with recursive {PIECES_CTE}, used as (
+      select doc_id, generate_subscripts(ts, 1) as pos, unnest(ts) as word from (select doc_id, ts[1:48] as ts from tokens)),
+    ids as (select doc_id, flatten(list(ids order by pos))[1:48] as body from used join cut using (word) group by doc_id),
+    padded as (
+      select doc_id, list_resize(list_concat([2], coalesce(body, []), [3]), 50, 0) as input_ids
+      from documents left join ids using (doc_id))
+    select doc_id as id, array_to_string(input_ids, ' ') as input_ids from padded"""
+
+
+@query("encode_pieces", _piece_sql())
+def encode_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Sequences over the 2,000 most frequent words and all characters of theirs; other words are cut into these."""
+    documents = fx.documents(spark, sf).select(F.col("doc_id").alias("id"), "text")
+    pieces = materialise(encode.with_characters(materialise(encode.build_vocab(documents, size=2000))))
+    encoded = encode.encode_pieces(documents, pieces, 50)
+    return encoded.select("id", F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("input_ids"))
+
+
 STOPWORDS = ("the", "of", "and", "der", "die", "les", "que")
 COUNTS_CTE = f"""counts as (
       select term, count(*) as n from (select unnest(regexp_extract_all(lower(text), '{COUNTED_WORD.replace("'", "''")}')) as term from documents)

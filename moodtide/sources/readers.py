@@ -165,6 +165,11 @@ def load_lexicon(spark: SparkSession, path: str, check: bool = True) -> DataFram
     return lexicon
 
 
+def load_emoji(spark: SparkSession, path: str) -> DataFrame:
+    """Tab-separated ``emoji`` and ``description`` with a header; quotes are plain characters."""
+    return _named(_csv(spark, path, sep="\t", quote=""), {"emoji": "string", "description": "string"}, ("emoji", "description"))
+
+
 def read_scored(spark: SparkSession, path: str) -> DataFrame:
     """Scored posts as ``write_scored`` stored them, to go on from there."""
     return spark.read.parquet(path)
