@@ -4,8 +4,8 @@ Centroids are fitted on a bounded sample of vectors (``SAMPLE``) by splitting cl
 more than its share, so lists start balanced. Every vector is put on the list of its nearest centroid and,
 where it lies near a boundary, on the lists of up to ``COPIES`` centroids that are nearly as near (distance
 at most ``REACH`` times the least). A query finds its nearest centroids by a best-first walk over a graph of
-neighbouring centroids held in memory, and reads the lists whose centroids are at most ``PRUNE`` times as far
-as the nearest. Centroids and graph have a fixed greatest size; lists that grow beyond ``BLOCK`` vectors are
+neighbouring centroids held in memory, and reads lists, nearest first, until they hold as many vectors as it asks for, and
+then all whose centroids are at most ``PRUNE`` times as far as the last of these. Centroids and graph have a fixed greatest size; lists that grow beyond ``BLOCK`` vectors are
 read in blocks by several tasks, so more data means longer lists in more blocks.
 
 Within the lists read, distances are exact, in double precision on the original vectors; ties go to the
@@ -86,7 +86,9 @@ class Lists:
     """Centroids and the graph that a search walks."""
 
     centres: np.ndarray
-    graph: np.ndarray
+    graph: list[np.ndarray]
+    #: Vectors that have each list as their nearest one, told apart by their ids; known once the vectors are listed.
+    held: np.ndarray | None = None
 
     @classmethod
     def of(cls, sample: np.ndarray) -> Lists:
@@ -98,11 +100,15 @@ class Lists:
         np.add.at(total, own, sample)
         centres = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], centres)
         order = np.argsort(_near(centres, centres), axis=1, kind="stable")
-        return cls(centres, order[:, 1 : NEIGHBOURS + 1])
+        return cls(centres, connected(centres, order[:, 1 : NEIGHBOURS + 1]))
+
+    @staticmethod
+    def starts(count: int) -> np.ndarray:
+        """The spread centroids that every walk begins with."""
+        return np.unique(np.linspace(0, count - 1, 8).astype(int))
 
     def walk(self, x: np.ndarray, breadth: int) -> tuple[np.ndarray, np.ndarray]:
         """About the nearest ``breadth`` centroids of one vector, nearest first, by best-first search from spread starts."""
-        starts = np.unique(np.linspace(0, len(self.centres) - 1, 8).astype(int))
         seen = np.zeros(len(self.centres), bool)
         found: list[tuple[float, int]] = []  # the best so far, worst on top
         todo: list[tuple[float, int]] = []
@@ -117,7 +123,7 @@ class Lists:
                     if len(found) > breadth:
                         heapq.heappop(found)
 
-        add(starts)
+        add(self.starts(len(self.centres)))
         while todo:
             far, node = heapq.heappop(todo)
             if len(found) >= breadth and far > -found[0][0]:
@@ -134,37 +140,70 @@ class Lists:
             out.append(nodes[far <= REACH * far[0]][:COPIES])
         return out
 
-    def probe(self, x: np.ndarray) -> list[np.ndarray]:
-        """The lists that each query reads."""
+    def probe(self, x: np.ndarray, k: int) -> list[np.ndarray]:
+        """The lists that each query reads; they hold ``k`` vectors besides the query, if there are so many."""
         out = []
         for row in x:
             nodes, far = self.walk(row, PROBES)
-            out.append(nodes[far <= PRUNE * far[0]] if far[0] > 0 else nodes)
+            enough = np.flatnonzero(np.cumsum(self.held[nodes]) > k)
+            if not len(enough):  # all lists then, in their exact order
+                far = np.sqrt(((self.centres - row) ** 2).sum(1))
+                nodes = np.argsort(far, kind="stable")
+                far = far[nodes]
+                enough = np.flatnonzero(np.cumsum(self.held[nodes]) > k)
+            last = far[enough[0]] if len(enough) else far[-1]
+            out.append(nodes[far <= PRUNE * last] if last > 0 else nodes)
         return out
 
 
+def connected(centres: np.ndarray, nearest: np.ndarray) -> list[np.ndarray]:
+    """Neighbours in both directions, and edges more to every centroid that no walk from the starts would come to."""
+    edges: list[set[int]] = [set(row) for row in nearest.tolist()]
+    for node, row in enumerate(nearest.tolist()):
+        for other in row:
+            edges[other].add(node)
+    reached = np.zeros(len(centres), bool)
+
+    def spread(todo: list[int]) -> None:
+        reached[todo] = True
+        while todo:
+            new = [n for n in edges[todo.pop()] if not reached[n]]
+            reached[new] = True
+            todo += new
+
+    spread(Lists.starts(len(centres)).tolist())
+    while not reached.all():
+        left, here = np.flatnonzero(~reached), np.flatnonzero(reached)
+        far = _near(centres[left], centres[here])
+        a, b = np.unravel_index(far.argmin(), far.shape)
+        edges[left[a]].add(int(here[b]))
+        edges[here[b]].add(int(left[a]))
+        spread([int(left[a])])
+    return [np.array(sorted(e), np.int64) for e in edges]
+
+
 def fit(rows: DataFrame) -> Lists | None:
     """Centroids and graph from a sample by hash of at most ``SAMPLE`` vectors."""
     sample = by_hash(rows, SAMPLE, "id", "vector").select("vector").toArrow()
     return Lists.of(_matrix(sample.column("vector"))) if sample.num_rows else None
 
 
-def _listed(rows: DataFrame, lists: Lists, query: bool) -> DataFrame:
-    """A row (list, id, vector) for each list of a vector."""
+def _listed(rows: DataFrame, lists: Lists, k: int | None = None) -> DataFrame:
+    """A row (list, id, vector, own) for each list of a vector, or of a query for ``k``; ``own`` marks the nearest one."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x = _matrix(batch.column("vector"))
-                found = lists.probe(x) if query else lists.assign(x)
-                many = [len(f) for f in found]
+                found = lists.assign(x) if k is None else lists.probe(x, k)
+                many = np.array([len(f) for f in found])
                 at = np.repeat(np.arange(len(x)), many)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(found), pa.int32()), batch.column("id").take(pa.array(at)), batch.column("vector").take(pa.array(at))],
-                    ["list", "id", "vector"],
-                )
+                own = np.zeros(len(at), bool)
+                own[np.cumsum(many) - many] = True
+                columns = [pa.array(np.concatenate(found), pa.int32()), *[batch.column(c).take(pa.array(at)) for c in ("id", "vector")], pa.array(own)]
+                yield pa.RecordBatch.from_arrays(columns, ["list", "id", "vector", "own"])
 
-    return rows.mapInArrow(deal, "list int, id long, vector array<double>")
+    return rows.mapInArrow(deal, "list int, id long, vector array<double>, own boolean")
 
 
 def _compare(k: int):
@@ -200,11 +239,14 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, key: str = "vec_id"
     if lists is None:
         return spark.createDataFrame([], schema)
     path = scratch_path(spark, "lists")
-    _listed(rows, lists, False).write.parquet(path)
+    _listed(rows, lists).write.parquet(path)
     posted = spark.read.parquet(path)
+    lists.held = np.zeros(len(lists.centres), np.int64)
+    for row in posted.where("own").groupBy("list").agg(F.count_distinct("id").alias("n")).collect():  # a row a centroid
+        lists.held[row["list"]] = row["n"]
     path = scratch_path(spark, "asked")
-    _listed(rows.where(queries), lists, True).write.parquet(path)
-    asked = spark.read.parquet(path)
+    _listed(rows.where(queries), lists, k).drop("own").write.parquet(path)
+    asked, posted = spark.read.parquet(path), posted.drop("own")
     # a list is compared block by block: blocks of its vectors with blocks of the queries that read it
     sizes = posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     readers = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))

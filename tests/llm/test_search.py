@@ -14,7 +14,7 @@ def plain(ids, x, query, k):
     return [(int(ids[b]), far[b]) for b in best if np.isfinite(far[b])]
 
 
-@pytest.mark.parametrize("table", ["/root/testdata/sf0.01", "clusters"])
+@pytest.mark.parametrize("table", ["/root/testdata/sf0.01", "/root/testdata/sf0.1", "clusters"])
 def test_recall_and_exact_scores(spark, table):
     if table == "clusters":
         rng = np.random.default_rng(1)
@@ -39,6 +39,32 @@ def test_recall_and_exact_scores(spark, table):
     assert hits / (10 * len(got)) >= 0.9
 
 
+@pytest.mark.parametrize("near, groups, size", [(1000, 3, 9), (300, 2, 5), (2000, 1, 5), (3, 1, 4)])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_far_groups_get_all_their_neighbours(spark, near, groups, size, seed):
+    """Groups smaller than k: the rest of the neighbours stand on lists far away."""
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(size=(near, 8)), *[rng.normal(size=(size, 8)) * 0.1 + 100 * rng.normal(size=8) for _ in range(groups)]])
+    asked = set(range(near, len(x)))
+    df = spark.createDataFrame([(i, v.tolist(), "", "", int(i in asked)) for i, v in enumerate(x)], SCHEMA)
+    got: dict = {}
+    for r in search.search(df, F.exists("vector", lambda c: F.abs(c) > 12)).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(got) == asked
+    hits = [len(set(found) & {v for v, _ in plain(np.arange(len(x)), x, q, 10)}) for q, found in got.items()]
+    assert all(len(found) == min(10, len(x) - 1) for found in got.values())
+    assert sum(hits) >= 0.9 * sum(len(found) for found in got.values())
+
+
+def test_every_centroid_is_reached():
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        groups = [rng.normal(size=(400, 8)) + 50 * rng.normal(size=8) for _ in range(seed + 1)]
+        lists = search.Lists.of(np.concatenate(groups))
+        for x in rng.normal(size=(3, 8)):
+            assert len(lists.walk(x, len(lists.centres))[0]) == len(lists.centres)
+
+
 def test_blocks_of_a_list_are_searched_together(spark, monkeypatch):
     rows = [(i, [1.0, float(i % 50), 0.0], "", "", 0) for i in range(1000)]
     df = spark.createDataFrame(rows, SCHEMA)
