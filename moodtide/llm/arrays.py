@@ -67,6 +67,24 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return mix64(sums + lengths.astype(np.uint64)), bounds
 
 
+def string_hashes(strings: pa.Array) -> np.ndarray:
+    """Hashes of whole strings, none of them null."""
+    lengths = pc.binary_length(strings).to_numpy().astype(np.int64)
+    if not len(lengths):
+        return np.zeros(0, np.uint64)
+    offsets = np.frombuffer(strings.buffers()[1], np.int32, len(strings) + 1, 4 * strings.offset)
+    raw = np.frombuffer(strings.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    powers = np.full(int(lengths.max()) + 1, _BASE)
+    powers[0] = 1
+    powers = np.multiply.accumulate(powers)
+    first = offsets[:-1].astype(np.int64) - offsets[0]
+    sums = np.zeros(len(lengths), np.uint64)
+    filled = lengths > 0
+    if filled.any():
+        sums[filled] = np.add.reduceat(_BYTE[raw] * powers[np.arange(len(raw)) - np.repeat(first, lengths)], first[filled])
+    return mix64(sums + lengths.astype(np.uint64) * _M1)
+
+
 def shingles(words: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all runs of ``size`` words; fewer words make one hash of the whole sequence, none make none."""
     if not len(words):

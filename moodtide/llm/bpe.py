@@ -17,18 +17,17 @@ import heapq
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from moodtide.llm.arrays import CHUNK_BYTES, KEPT, mix64, release, spread_runs
+from moodtide.llm.arrays import CHUNK_BYTES, KEPT, mix64, release, spread_runs, string_hashes
 from moodtide.llm.settings import bounded_batches
 
-#: Merged words that a Python worker remembers, twice over; a memory bound, results do not depend on it.
-MEMO_WORDS = 250_000
+#: Merged words that a Python worker remembers, and ids that such a word has at most; results do not depend on them.
+MEMO_WORDS, MEMO_IDS = 1 << 20, 6
 #: Misses that are merged over the same arrays.
 _TOGETHER = 4096
 
@@ -84,7 +83,7 @@ class PerfectHash:
 
     def __init__(self, keys: np.ndarray, room: float = 2.0):
         left = np.arange(len(keys))
-        hashes = pd.util.hash_array(keys, categorize=False)
+        hashes = string_hashes(pa.array(keys, pa.string()))
         if len(np.unique(hashes)) != len(keys):
             raise ValueError("two keys share a 64-bit hash")
         self.levels: list[np.ndarray] = []
@@ -110,10 +109,12 @@ class PerfectHash:
     def _slot(hashes: np.ndarray, level: int, slots: int) -> np.ndarray:
         return (mix64(hashes + np.uint64((level + 1) * 0x9E3779B97F4A7C15 % 2**64)) % np.uint64(slots)).astype(np.int64)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        hashes = pd.util.hash_array(keys, categorize=False)
-        out = np.full(len(keys), -1, np.int64)
-        left = np.arange(len(keys))
+    def find(self, keys: pa.Array | np.ndarray) -> np.ndarray:
+        return self.find_hashed(string_hashes(pa.array(keys, pa.string())))
+
+    def find_hashed(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.full(len(hashes), -1, np.int64)
+        left = np.arange(len(hashes))
         for level, number in enumerate(self.levels):
             if not len(left):
                 break
@@ -150,16 +151,20 @@ class Codec:
         keys = np.array(list(whole), dtype=object)
         self.hash = PerfectHash(keys)
         self.keys = keys[self.hash.positions]
+        self.key_texts = pa.array(self.keys, pa.string())
         self.key_ids = np.array(list(whole.values()), np.int32)[self.hash.positions]
         if any(bytes([b]) not in self.ids for b in range(256)):
             raise ValueError("the vocabulary lacks a single byte")
         self.single = np.array([self.ids[bytes([b])] for b in range(256)], np.int64)
         #: For each left id: the id that it merges to with a right id.
-        self.pairs: list[dict[int, int]] = [{} for _ in range(max(self.ids.values()) + 1)]
+        nothing: dict[int, int] = {}
+        self.pairs: list[dict[int, int]] = [nothing] * (max(self.ids.values()) + 1)
         for token, rank in self.ids.items():
             for k in range(1, len(token)):
                 left, right = self.ids.get(token[:k]), self.ids.get(token[k:])
                 if left is not None and right is not None:
+                    if self.pairs[left] is nothing:
+                        self.pairs[left] = {}
                     self.pairs[left][right] = rank
         self.none = max(self.ids.values()) + 1  # above all ranks
         self.two = np.full(1 << 16, self.none, np.int64)
@@ -175,16 +180,16 @@ class Codec:
         self.token_len = np.array([len(t) for t in spelled], np.int64)
         self.token_at = np.cumsum(self.token_len) - self.token_len
         self.token_bytes = np.frombuffer(b"".join(spelled), np.uint8)
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self._forget()
 
-    def merge(self, pieces: list[bytes]) -> list[bytes]:
-        """The ids of pre-tokens that are not in the vocabulary, four bytes each.
+    def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pre-tokens that are not in the vocabulary, one after another, and how many each has.
 
         All bytes are linked in the same arrays, each piece has a heap of its own. ``rank_at`` holds the rank of the
-        pair that begins at a linked position now; a heap entry of another rank is out of date.
+        pair that begins at a linked position now; a heap entry of another rank is out of date, and a piece is done when
+        no pair is left.
         """
-        pairs, push, pop, replace, heapify = self.pairs, heapq.heappush, heapq.heappop, heapq.heapreplace, heapq.heapify
+        merges, push, pop, replace, heapify = self.pairs, heapq.heappush, heapq.heappop, heapq.heapreplace, heapq.heapify
         raw = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
         sizes = np.array([len(p) for p in pieces])
         stops = np.cumsum(sizes)
@@ -193,64 +198,96 @@ class Codec:
         rank = np.append(self.two[(raw[:-1] << 8) | raw[1:]], self.none)
         rank[stops - 1] = self.none
         starts = np.append(0, stops[:-1])
-        none, low = self.none << shift, (1 << shift) - 1
-        entries = np.where(rank < self.none, (rank << shift) | (place - np.repeat(starts, sizes)), none).tolist()
-        rank_at, after, before = rank.tolist(), place + 1, place - 1
+        low = (1 << shift) - 1
+        real = rank < self.none  # only pairs go into a heap
+        entries = ((rank << shift) | (place - np.repeat(starts, sizes)))[real].tolist()
+        until = np.cumsum(real)[stops - 1].tolist()
+        rank_at, after, before = np.where(real, rank, -1).tolist(), place + 1, place - 1
         after[stops - 1] = -1
         before[starts] = -1
         after, before, ids = after.tolist(), before.tolist(), self.single[raw].tolist()
-        for lo, hi in zip(starts.tolist(), stops.tolist()):
-            heap = entries[lo:hi]  # the last one is no pair
+        begin = 0
+        for lo, end in zip(starts.tolist(), until):
+            heap = entries[begin:end]
+            pairs, begin = end - begin, end
             heapify(heap)
-            entry = heap[0]
-            while entry < none:
+            while pairs:
+                entry = heap[0]
                 rank, i = entry >> shift, lo + (entry & low)
                 if rank_at[i] != rank:
                     pop(heap)
-                    entry = heap[0]
                     continue
                 j = after[i]
                 k = after[i] = after[j]
+                if rank_at[j] >= 0:
+                    pairs -= 1
                 ids[i], ids[j], rank_at[j] = rank, -1, -1
                 found = -1
                 if k >= 0:
                     before[k] = i
-                    rank_at[i] = found = pairs[rank].get(ids[k], -1)
-                else:
-                    rank_at[i] = -1
+                    found = merges[rank].get(ids[k], -1)
+                rank_at[i] = found
                 if found >= 0:
                     replace(heap, (found << shift) | (i - lo))
                 else:
+                    pairs -= 1
                     pop(heap)
                 h = before[i]
                 if h >= 0:
-                    rank_at[h] = found = pairs[ids[h]].get(rank, -1)
+                    found = merges[ids[h]].get(rank, -1)
+                    pairs += (found >= 0) - (rank_at[h] >= 0)
+                    rank_at[h] = found
                     if found >= 0:
                         push(heap, (found << shift) | (h - lo))
-                entry = heap[0]
         merged = np.array(ids, np.int32)
         kept = merged >= 0
-        ends = (4 * np.cumsum(kept)[stops - 1]).tolist()
-        data = merged[kept].tobytes()
-        return [data[lo:hi] for lo, hi in zip([0, *ends], ends)]
-
-    def missed(self, tokens: list[str]) -> list[bytes]:
-        """The ids of pre-tokens outside the vocabulary, from memory or merged."""
-        out = list(map(self.memo.get, tokens))
-        gone = [i for i, found in enumerate(out) if found is None]
-        if len(self.memo) >= MEMO_WORDS:
-            self.older, self.memo = self.memo, {}
-        new = []
-        for i in gone:
-            found = out[i] = self.older.get(tokens[i])
-            if found is None:
-                new.append(i)
-        for at in range(0, len(new), _TOGETHER):
-            some = new[at : at + _TOGETHER]
-            for i, found in zip(some, self.merge([tokens[i].encode() for i in some])):
-                out[i] = found
-        self.memo.update((tokens[i], out[i]) for i in gone if len(tokens[i]) < 64)
-        return out
+        return merged[kept], np.diff(np.cumsum(kept)[stops - 1], prepend=0)
+
+    def _forget(self) -> None:
+        """An empty memory: the hash of the miss in each slot, its ids and how many they are."""
+        self.memo = np.zeros(MEMO_WORDS, np.uint64)
+        self.memo_ids, self.memo_counts = np.zeros((MEMO_WORDS, MEMO_IDS), np.int32), np.zeros(MEMO_WORDS, np.int8)
+
+    def _remembered(self, tokens: pa.Array, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions of the tokens that the memory has, their ids one after another, and how many each has."""
+        slot = (hashes % np.uint64(len(self.memo))).astype(np.int64)
+        old = np.flatnonzero((self.memo[slot] == hashes) & (self.memo_counts[slot] > 0))
+        counts = self.memo_counts[slot[old]].astype(np.int64)
+        ids = self.memo_ids[slot[old]][np.arange(MEMO_IDS) < counts[:, None]]
+        data, ends = self.decode(ids, np.append(0, np.cumsum(counts)))
+        spelled = pa.BinaryArray.from_buffers(pa.binary(), len(old), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+        if not spelled.equals(tokens.take(pa.array(old)).cast(pa.binary())):  # two tokens share a hash: merge them all
+            return old[:0], ids[:0], counts[:0]
+        return old, ids, counts
+
+    def missed(self, tokens: pa.Array, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where in them those of each token outside the vocabulary begin and how many they are; from memory or merged."""
+        if len(self.memo) != MEMO_WORDS:
+            self._forget()
+        old, ids, old_counts = self._remembered(tokens, hashes)
+        is_new = np.ones(len(tokens), bool)
+        is_new[old] = False
+        new = np.flatnonzero(is_new)
+        fresh = tokens.take(pa.array(new)).cast(pa.binary())
+        parts, sizes = [ids], [np.zeros(0, np.int64)]
+        for lo in range(0, len(new), _TOGETHER):
+            merged, each = self.merge(fresh.slice(lo, _TOGETHER).to_pylist())
+            parts.append(merged)
+            sizes.append(each)
+        new_counts = np.concatenate(sizes)
+        counts, starts = np.empty(len(tokens), np.int64), np.empty(len(tokens), np.int64)
+        counts[old], starts[old] = old_counts, np.cumsum(old_counts) - old_counts
+        counts[new], starts[new] = new_counts, len(ids) + np.cumsum(new_counts) - new_counts
+        flat = np.concatenate(parts)
+        short = new[new_counts <= MEMO_IDS]
+        slot = (hashes[short] % np.uint64(MEMO_WORDS)).astype(np.int64)
+        last = len(slot) - 1 - np.unique(slot[::-1], return_index=True)[1]  # one token a slot
+        short, slot = short[last], slot[last]
+        row = np.repeat(np.arange(len(short)), counts[short])
+        wide = np.zeros((len(short), MEMO_IDS), np.int32)
+        wide[row, np.arange(len(row)) - np.repeat(np.cumsum(counts[short]) - counts[short], counts[short])] = flat[spread_runs(starts[short], counts[short])]
+        self.memo[slot], self.memo_counts[slot], self.memo_ids[slot] = hashes[short], counts[short], wide
+        return flat, starts, counts
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the first id's place of each text (one more entry at the end)."""
@@ -261,18 +298,21 @@ class Codec:
             counts.append(len(tokens))
         if not tokens:
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-        codes, distinct = pd.factorize(np.array(tokens, dtype=object))
-        number = self.hash.find(distinct)
-        hit = number >= 0
-        hit[hit] = self.keys[number[hit]] == distinct[hit]
+        coded = pa.array(tokens, pa.string()).dictionary_encode()
+        del tokens
+        codes, distinct = coded.indices.to_numpy(), coded.dictionary
+        hashes = string_hashes(distinct)
+        number = self.hash.find_hashed(hashes)
+        same = pc.equal(self.key_texts.take(pa.array(np.maximum(number, 0))), distinct)
+        hit = (number >= 0) & same.to_numpy(zero_copy_only=False)
         miss = np.flatnonzero(~hit)
-        merged = self.missed(distinct[miss].tolist())
+        merged, starts, sizes = self.missed(distinct.take(pa.array(miss)), hashes[miss])
         lengths = np.ones(len(distinct), np.int64)
-        lengths[miss] = [len(m) // 4 for m in merged]
+        lengths[miss] = sizes
         at = np.empty(len(distinct), np.int64)
         at[hit] = np.arange(int(hit.sum()))
-        at[miss] = int(hit.sum()) + np.cumsum(lengths[miss]) - lengths[miss]
-        flat = np.concatenate([self.key_ids[number[hit]], np.frombuffer(b"".join(merged), np.int32)])
+        at[miss] = int(hit.sum()) + starts
+        flat = np.concatenate([self.key_ids[number[hit]], merged])
         many = lengths[codes]
         places = np.concatenate([[0], np.cumsum(many)])[counts]
         return flat[spread_runs(at[codes], many)], places
