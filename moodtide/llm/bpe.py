@@ -23,11 +23,13 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from moodtide.llm.arrays import CHUNK_BYTES, KEPT, mix64, release, spread_runs, string_hashes
+from moodtide.llm.arrays import KEPT, mix64, release, spread_runs, string_hashes
 from moodtide.llm.settings import bounded_batches
 
 #: Merged words that a Python worker remembers, and ids that such a word has at most; results do not depend on them.
-MEMO_WORDS, MEMO_IDS = 1 << 20, 6
+MEMO_WORDS, MEMO_IDS = 1 << 19, 6
+#: Bytes of texts that are split and looked up together; their pre-tokens are Python strings for a while.
+PIECE_BYTES = 1 << 20
 #: Misses that are merged over the same arrays.
 _TOGETHER = 4096
 
@@ -328,7 +330,7 @@ class Codec:
 KEPT["bpe"] = Codec._built.clear
 
 
-def _pieces(values: pa.Array, sizes: np.ndarray, limit: int = CHUNK_BYTES) -> list[pa.Array]:
+def _pieces(values: pa.Array, sizes: np.ndarray, limit: int = PIECE_BYTES) -> list[pa.Array]:
     edges = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // limit)) + 1), len(values)]
     return [values.slice(lo, hi - lo) for lo, hi in zip(edges, edges[1:])]
 

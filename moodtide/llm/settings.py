@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 #: Bytes of an Arrow batch; a Python worker holds a batch several times over (texts, tokens, results).
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 _KEY, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
 
 
