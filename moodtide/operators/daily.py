@@ -57,11 +57,21 @@ def join_indicators(daily: DataFrame, indicators: DataFrame, drop: Sequence[str]
     return daily.join(metrics, "date", "left")
 
 
-def join_prices(df: DataFrame, prices: DataFrame) -> DataFrame:
+def join_prices(df: DataFrame, prices: DataFrame, series: str | None = None) -> DataFrame:
     """Features with the prices and computed indicators of their day.
 
-    Where both sides have a column, the computed one replaces the other.
+    Where both sides have a column, the computed one replaces the other. Features with a ``series_id`` meet the prices of their own
+    series. Others meet those of ``series``, which need not be named while ``prices`` holds one series alone; more of them
+    are an error then, since every row would be doubled.
     """
     computed = [c for c in prices.columns if c not in ("date", "series_id")]
     kept = df.drop(*[c for c in df.columns if c in computed])
+    if "series_id" in df.columns and "series_id" in prices.columns:
+        return kept.join(prices.select("series_id", "date", *computed), ["series_id", "date"], "left")
+    if series is not None:
+        prices = prices.where(F.col("series_id") == series)
+    elif "series_id" in prices.columns:
+        found = [r["series_id"] for r in prices.select("series_id").distinct().limit(2).collect()]
+        if len(found) > 1:
+            raise ValueError(f"prices hold several series, such as {found}: name one, or give the features a series_id")
     return kept.join(prices.select("date", *computed), "date", "left")

@@ -417,7 +417,7 @@ def join_prices(spark: SparkSession, sf: str) -> DataFrame:
         F.col("series_id").alias("source"), F.date_add("date", 400).alias("date"), "low", F.lit(0.0).alias("macd"), F.lit(0.0).alias("volume")
     )
     computed = series.price_indicators(fx.prices(spark, sf).select("series_id", "date", "close", "volume"))
-    joined = daily.join_prices(features, computed)
+    joined = daily.join_prices(features, computed, "orders")
     rounded = _rounded(joined, "macd", "signal", digits=3)
     return rounded.withColumns({"ema": F.round("ema", 3), "rsi": F.round("rsi", 6)})
 

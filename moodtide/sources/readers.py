@@ -75,19 +75,29 @@ def read_posts(
     return posts.withColumn("source", F.lit(source) if source else F.col("community"))
 
 
-def read_messages(spark: SparkSession, path: str, layout: str = "document") -> DataFrame:
+#: What a reader does with a record that is no valid JSON.
+BROKEN = {"fail": "FAILFAST", "drop": "DROPMALFORMED", "keep": "PERMISSIVE"}
+
+
+def read_messages(spark: SparkSession, path: str, layout: str = "document", broken: str = "keep") -> DataFrame:
     """Chat messages ``(source, id, date, text)`` with ``text`` as VARIANT.
 
+    A ``broken`` record, a line or a whole document by its layout, makes the reading ``fail``, is to ``drop``, or to ``keep`` as a
+    row of nulls, as far as the layout has rows for it; ``chat_report`` counts such records.
+
     ``layout`` says how a file is laid out: ``document`` is one JSON object with a ``messages``
     array, parsed by one task per file; ``lines`` is one message per line; ``indented`` is the
     same document as ``document`` in the exporter's fixed indentation, which lets Spark split one
     huge file between tasks.
     """
+    if broken not in BROKEN:
+        raise ValueError(f"broken records fail, drop or keep, not {broken}")
+    mode = {"mode": BROKEN[broken]}
     chat = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
     if layout == "lines":
-        return spark.read.schema(schemas.MESSAGE).json(path).select(chat.alias("source"), "id", "date", "text")
+        return spark.read.options(**mode).schema(schemas.MESSAGE).json(path).select(chat.alias("source"), "id", "date", "text")
     if layout == "document":
-        exports = spark.read.schema(schemas.CHAT_EXPORT).json(path, multiLine=True)
+        exports = spark.read.options(**mode).schema(schemas.CHAT_EXPORT).json(path, multiLine=True)
         messages = exports.select(chat.alias("source"), F.explode("messages").alias("m"))
     elif layout == "indented":
         opening = '"messages": [\n  {\n'
@@ -99,8 +109,10 @@ def read_messages(spark: SparkSession, path: str, layout: str = "document") -> D
         body = F.regexp_replace(headless, r"(?s)\n  \}\s*\].*\z", "")
         messages = filled.select(
             chat.alias("source"),
-            F.from_json(F.concat(F.lit("{"), body, F.lit("}")), schemas.MESSAGE).alias("m"),
+            F.from_json(F.concat(F.lit("{"), body, F.lit("}")), schemas.MESSAGE, {"mode": BROKEN["fail" if broken == "fail" else "keep"]}).alias("m"),
         )
+        if broken == "drop":
+            messages = messages.where("m.id is not null or m.date is not null or m.text is not null")
     else:
         raise ValueError(f"unknown layout: {layout}")
     return messages.select("source", "m.id", "m.date", "m.text")

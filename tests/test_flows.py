@@ -91,6 +91,16 @@ def test_computed_indicators_replace_others(spark):
     assert found == {"source": "s", "date": DAY, "other": 2.0, "close": 5.0, "macd": 6.0}
 
 
+def test_prices_of_several_series_never_double_a_row(spark):
+    features = spark.createDataFrame([("s", DAY, 1.0)], "source string, date date, other double")
+    prices = spark.createDataFrame([("p", DAY, 5.0), ("q", DAY, 6.0)], "series_id string, date date, close double")
+    with pytest.raises(ValueError, match="several series"):
+        daily.join_prices(features, prices)
+    assert [r.close for r in daily.join_prices(features, prices, "q").collect()] == [6.0]
+    own = features.withColumn("series_id", F.explode(F.array(F.lit("p"), F.lit("q"), F.lit("r"))))
+    assert {r.series_id: r.close for r in daily.join_prices(own, prices).collect()} == {"p": 5.0, "q": 6.0, "r": None}
+
+
 def test_union_and_features(spark):
     a = spark.createDataFrame([("s", 1, 2.0)], "source string, id int, v double")
     b = spark.createDataFrame([(2, "t")], "id int, source string")

@@ -159,3 +159,24 @@ def test_broken_records_are_counted_and_layouts_found(spark, tmp_path):
     assert report("lines", "lines") == ("lines", 5, 1, 1)
     assert report("document", "document") == ("document", 4, 0, 0)
     assert report("broken", "document")[3] == 1
+
+
+@pytest.mark.parametrize("layout", ["lines", "document", "indented"])
+def test_broken_records_fail_go_or_stay(spark, tmp_path, layout):
+    """Of two files in the layout, one holds a record that is cut off."""
+    good, bad = '{"id": 1, "date": "2020-01-01T00:00:00", "text": "a"}', '{"id": 2, "da'
+    for n, record in enumerate((good, bad)):
+        (tmp_path / f"c{n}").mkdir()
+        body = {
+            "lines": record + "\n",
+            "document": '{"name": "c", "messages": [' + record + ("]}" if record == good else ""),
+            "indented": '{\n "name": "c",\n "messages": [\n  {\n   ' + record[1:-1] + "\n  }\n ]\n}",
+        }[layout]
+        (tmp_path / f"c{n}" / "result.json").write_text(body)
+    path = str(tmp_path / "*")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.read_messages(spark, path, layout, broken="fail").collect()
+    assert [r.id for r in readers.read_messages(spark, path, layout, broken="drop").collect()] == [1]
+    assert 1 in [r.id for r in readers.read_messages(spark, path, layout).collect()]
+    with pytest.raises(ValueError, match="fail, drop or keep"):
+        readers.read_messages(spark, path, layout, broken="ignore")
