@@ -2,12 +2,15 @@
 
 Patterns find candidates: the three base kinds (assign, access, hex) and a wide net of other formats.
 A candidate's credential is hashed; the hashes are counted over the whole corpus by distinct
-repositories and owners. A credential that several owners have is a widely copied example; one that a
-single owner has looks live. The wide net's candidates are reported only where they look live, the base
-kinds always.
+repositories and owners. A credential that several owners have is a widely copied example, and so is one
+that its only owner has in more than ``REPOSITORIES`` repositories, as a template or a vendored file is; one that a single
+owner has in so many or fewer looks live. The wide net's candidates are reported only where they look live,
+the base kinds always. The net's prefixed formats are secrets whatever their letters; its unprefixed runs must hold a
+digit, a capital and a small letter.
 
 Defined results: a null text is the empty text, a null owner or repository counts as one more value,
-repeated rows are reported each and count once, an empty table gives an empty result.
+repeated rows are reported each and count once, texts of any length are read whole, an empty table gives an empty
+result; other columns, of any names, take no part.
 """
 
 from __future__ import annotations
@@ -27,6 +30,10 @@ KINDS = (
     ("other", "", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|[A-Za-z0-9+/_-]{24,}", 13),
 )
 BASE = 3
+#: A prefix that makes a candidate of the wide net a secret of its kind, whatever its letters: fixed values.
+PREFIXED = "^(eyJ|gh[pousr]_|xox[abprs]-)"
+#: Most repositories of its only owner in which a credential looks live.
+REPOSITORIES = 5
 #: The join of occurrences and verdicts deals each credential to so many tasks.
 SALTS = 16
 
@@ -44,7 +51,7 @@ def _matches(text: Column, head: str, body: str) -> Column:
             F.length(m["head"]).alias("head"),
             F.length(m["body"]).alias("body"),
             F.sha2(m["body"], 256).alias("hash"),
-            (m["body"].rlike("[0-9]") & m["body"].rlike("[A-Z]") & m["body"].rlike("[a-z]")).alias("mixed"),
+            (m["body"].rlike(PREFIXED) | m["body"].rlike("[0-9]") & m["body"].rlike("[A-Z]") & m["body"].rlike("[a-z]")).alias("mixed"),
         ),
     )
     return F.when(text.rlike(head + body), sized).otherwise(F.array().cast("array<struct<gap:int,head:int,body:int,hash:string,mixed:boolean>>"))
@@ -53,7 +60,7 @@ def _matches(text: Column, head: str, body: str) -> Column:
 def scan(docs: DataFrame, text: str = "text", repository: str = "doc_id", owner: str = "source", key: str = "doc_id") -> DataFrame:
     """One row per document: ``key``, its spans, and how many credentials look live or are widely copied.
 
-    spans: array<struct<start, kind_no, kind, stop, live>>, by start and kind; code points, stop exclusive.
+    spans: array<struct<start, kind_no, kind, stop, live, owners, repositories>>, by start and kind; code points, stop exclusive.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     # the one pass over the texts; all that follows reads its narrow result
@@ -84,10 +91,10 @@ def scan(docs: DataFrame, text: str = "text", repository: str = "doc_id", owner:
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
     judged = found.withColumn("salt", F.pmod(F.xxhash64("row", "at"), F.lit(SALTS)).cast("int")).join(copies, ["hash", "salt"])
-    judged = judged.withColumn("live", F.col("owners") == 1).where((F.col("kind_no") < BASE) | F.col("live"))
+    judged = judged.withColumn("live", (F.col("owners") == 1) & (F.col("repositories") <= REPOSITORIES)).where((F.col("kind_no") < BASE) | F.col("live"))
     kind = F.element_at(F.array(*[F.lit(k[0]) for k in KINDS]), F.col("kind_no") + 1)
     spans = judged.groupBy("row").agg(
-        F.sort_array(F.collect_list(F.struct("start", "kind_no", kind.alias("kind"), "stop", "live"))).alias("spans")
+        F.sort_array(F.collect_list(F.struct("start", "kind_no", kind.alias("kind"), "stop", "live", "owners", "repositories"))).alias("spans")
     )
     nothing = F.array().cast(spans.schema["spans"].dataType)
     return rows.select("row", "key").join(spans, "row", "left").select(F.col("key").alias(key), F.coalesce("spans", nothing).alias("spans"))

@@ -71,20 +71,23 @@ with spans as (
 ), found as (
   select rid, doc_id, source, kind_no, kind, body, stop, stop - head - length(body) as start from placed
   where length(body) >= case kind_no when 0 then 12 when 1 then 18 when 2 then 16 else 13 end
-    and (kind_no < 3 or (regexp_matches(body, '[0-9]') and regexp_matches(body, '[A-Z]') and regexp_matches(body, '[a-z]')))
+    and (kind_no < 3 or regexp_matches(body, '^(eyJ|gh[pousr]_|xox[abprs]-)') or (regexp_matches(body, '[0-9]') and regexp_matches(body, '[A-Z]') and regexp_matches(body, '[a-z]')))
 ), owners as (
-  select body, count(distinct coalesce('s' || source, 'none')) as owners from found group by body
+  select body, sum(n)::bigint as repositories, count(*) as owners from (
+    select body, source, count(distinct coalesce('d' || doc_id::varchar, 'none')) as n from found group by body, source) group by body
 ), judged as (
-  select f.*, owners = 1 as live from found f join owners o on f.body = o.body where kind_no < 3 or owners = 1
+  select f.*, owners, repositories, owners = 1 and repositories <= 5 as live from found f join owners o on f.body = o.body
+  where kind_no < 3 or (owners = 1 and repositories <= 5)
 ), lists as (
   select rid, count(*) filter (kind_no = 0) as n_assign, count(*) filter (kind_no = 1) as n_access, count(*) filter (kind_no = 2) as n_hex,
-         count(*) filter (live) as n_live,
+         count(*) filter (live) as n_live, max(owners) as most_owners, max(repositories) as most_repositories,
          string_agg(kind || ':' || start::bigint || ':' || stop::bigint, ',' order by start, kind_no) filter (kind_no < 3) as base,
          string_agg(kind || ':' || start::bigint || ':' || stop::bigint, ',' order by start, kind_no) as spans
   from judged group by rid
 )
 select s.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
-       sha256(coalesce(base, '')) as base_sha256, coalesce(l.spans, '') as spans, coalesce(n_live, 0) as n_live
+       sha256(coalesce(base, '')) as base_sha256, coalesce(l.spans, '') as spans, coalesce(n_live, 0) as n_live,
+       coalesce(most_owners, 0) as most_owners, coalesce(most_repositories, 0) as most_repositories
 from spans s left join lists l on s.rid = l.rid
 """
 
@@ -100,6 +103,7 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(span_text(spans, credentials.BASE), 256).alias("base_sha256"),
         span_text(spans).alias("spans"),
         F.size(F.filter(spans, lambda s: s["live"])).cast("long").alias("n_live"),
+        *[F.coalesce(F.array_max(F.transform(spans, lambda s: s[c])), F.lit(0)).alias(f"most_{c}") for c in ("owners", "repositories")],
     )
 
 

@@ -37,6 +37,19 @@ def test_ownership_separates_examples_from_live_ones(spark):
     assert found == {1: [("other", True)], 2: [("other", True)], 3: [], 4: [], 5: [("assign", False)]}
 
 
+def test_repositories_of_one_owner_separate_templates(spark):
+    few, many = "Ab3" + "xY7zQ9wK2mN4pR6t" * 2, "Zz9" + "aB1cD2eF3gH4iJ5k" * 2
+    rows = [(i, f"key {many}" + (f" and {few}" if i < credentials.REPOSITORIES else ""), "a") for i in range(credentials.REPOSITORIES + 1)]
+    df = spark.createDataFrame(rows * 2, "doc_id long, text string, source string")  # repeated rows count once
+    for r in credentials.scan(df).collect():
+        assert [(s.live, s.owners, s.repositories) for s in r.spans] == [(True, 1, credentials.REPOSITORIES)] * (r.doc_id < credentials.REPOSITORIES)
+
+
+def test_prefixed_tokens_of_small_letters(spark):
+    df = spark.createDataFrame([(1, "see xoxp-1111-2222-abcdef0123456789 and abcdefghijklmnopqrstuvwxyz", "a")], "doc_id long, text string, source string")
+    assert [(s.kind, s.start, s.stop) for s in credentials.scan(df).head().spans] == [("other", 4, 35), ("hex", 19, 35)]
+
+
 def test_awkward_rows(awkward, nothing):
     assert sorted(str(r.doc_id) for r in credentials.scan(awkward).collect()) == sorted(str(r.doc_id) for r in awkward.collect())
     assert credentials.scan(nothing).count() == 0
