@@ -33,6 +33,23 @@ def build_vocab(df: DataFrame, text: str = "text", size: int | None = None) -> D
     return numbered.select("term", (F.col("_at") + RESERVED).cast("int").alias("token_id"), "n")
 
 
+def _with_ids(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``tokens`` with the ``token_id`` of their ``term``, null where the vocabulary lacks it.
+
+    A vocabulary beyond the broadcast bound is met in two parts: its most frequent words, which have the lowest ids, are
+    broadcast, so that no task gets all rows of a common word; only the rows of the others are shuffled by word.
+    """
+    words = vocab.select("term", "token_id")
+    if words.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return tokens.join(F.broadcast(words), "term", "left")
+    common = F.col("token_id") < RESERVED + BROADCAST_ROWS
+    met = tokens.join(small_side(words.where(common), BROADCAST_ROWS), "term", "left")
+    # a text without words has a null term and is not looked up
+    settled = F.col("token_id").isNotNull() | F.col("term").isNull()
+    rare = met.where(~settled).drop("token_id").join(words.where(~common), "term", "left")
+    return met.where(settled).unionByName(rare)
+
+
 def encode_sequence(
     df: DataFrame,
     vocab: DataFrame,
@@ -49,9 +66,7 @@ def encode_sequence(
     by = [*keys, *carry]
     used = F.slice(vocabulary_tokens(F.col(text)), 1, maxlen - 2)
     tokens = df.select(*by, F.posexplode_outer(used).alias("_pos", "term"))
-    ids = tokens.join(small_side(vocab.select("term", "token_id")), "term", "left").withColumn(
-        "_id", F.coalesce("token_id", F.lit(UNKNOWN))
-    )
+    ids = _with_ids(tokens, vocab).withColumn("_id", F.coalesce("token_id", F.lit(UNKNOWN)))
     placed = F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_id"))
     sequences = ids.groupBy(*by).agg(F.array_sort(F.collect_list(placed)).alias("_tokens"))
     body = F.concat(F.array(F.lit(START)), F.col("_tokens._id"), F.array(F.lit(END)))

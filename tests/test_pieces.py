@@ -84,3 +84,17 @@ def test_unseen_words_are_cut_into_the_longest_pieces(spark):
             assert r.attention_mask == [int(i != 0) for i in r.input_ids]
     known = encode.encode_pieces(rows.where("id between 62 and 101"), table, 40).collect()
     assert len(known) == 40 and not any(encode.UNKNOWN in r.input_ids for r in known)  # held-out words of known characters
+
+
+def test_a_vocabulary_beyond_the_broadcast_bound_encodes_alike(spark, monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{chr(97 + k)}" for k in range(20)]
+    rows = [(i, " ".join(rng.choices(["the", *words], [60, *[1] * 20], k=rng.randint(0, 12)))) for i in range(60)]
+    rows += [(60, None), (61, ""), (62, "unseen the unseen")]
+    texts = spark.createDataFrame(rows, "id long, text string").repartition(4)
+    vocab = encode.build_vocab(texts.where("id < 60"))
+    whole = {r.id: r for r in encode.encode_sequence(texts, vocab, 10).collect()}
+    monkeypatch.setattr(encode, "BROADCAST_ROWS", 3)
+    cut = encode.encode_sequence(texts, vocab, 10)
+    assert {r.id: r for r in cut.collect()} == whole and len(whole) == 63
+    assert "Union" in cut._jdf.queryExecution().optimizedPlan().toString()
