@@ -1,10 +1,13 @@
 """The lexicon rules against the sentences and scores published with the rule model."""
 
+from functools import partial
+
 import pytest
 from pyspark.sql import functions as F
 
 from moodtide.functions import text
 from moodtide.operators import lexicon
+from moodtide.session import small_side
 
 TERMS = {"smart": 1.7, "handsome": 2.2, "funny": 1.9, "good": 1.9, "great": 3.1, "horrible": -2.5, "sux": -1.5, "no": -1.2}
 TERMS |= {"uncompelling": -0.9, "non-performing": -1.0, "never": -0.4, "friend": 2.2, "problem": -1.7}
@@ -95,6 +98,28 @@ def test_large_lexicon_is_joined_without_broadcast(spark, terms, monkeypatch):
     assert scored(spark, terms, sentences, lexicon.lexicon_compound_emphasis) == [pytest.approx(e) for e in expected]
 
 
+@pytest.mark.parametrize("carry", [None, ["extra"]])
+@pytest.mark.parametrize("scorer", [lexicon.lexicon_compound_modifiers, lexicon.lexicon_compound_emphasis])
+def test_lexicon_above_the_bound_is_met_once(spark, terms, monkeypatch, scorer, carry):
+    """One join with the words, and no shuffle that moves a post's columns with each word."""
+    texts = [*[t for t, _ in PUBLISHED], *[t for t, _ in RULES], "NOT very good!!!", None]
+    rows = spark.createDataFrame([("s", i // 2, i % 3, t) for i, t in enumerate(texts)], "source string, id int, extra int, text string")
+    expected = sorted((r.id, r.extra, round(r.sia_vader, 9)) for r in scorer(rows, terms, carry=carry).collect())
+    monkeypatch.setattr(lexicon, "small_side", partial(small_side, max_rows=3))
+    found = scorer(rows, terms, carry=carry)
+    assert sorted((r.id, r.extra, round(r.sia_vader, 9)) for r in found.collect()) == expected
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("= _word") == 1 and len(expected) == len(texts)
+
+
+def test_lexicon_of_half_a_million_terms_moves_no_word(spark):
+    many = spark.range(500_000).select(F.concat(F.lit("w"), F.col("id")).alias("term"), F.lit(0.5).alias("polarity"))
+    rows = spark.createDataFrame([("s", 1, "w1 w499999 x")], "source string, id int, text string")
+    found = lexicon.lexicon_compound_emphasis(rows, many, carry=[])
+    assert "ResolvedHint (strategy=broadcast)" in found._jdf.queryExecution().analyzed().toString()
+    assert found.head().sia_vader == pytest.approx(squash(1.0))
+
+
 def test_merge_prefers_domain(spark):
     base = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "term string, polarity double")
     domain = spark.createDataFrame([("b", -1.0), ("c", 0.5)], "term string, polarity double")
