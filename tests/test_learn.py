@@ -6,6 +6,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import NaiveBayes
+from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import functions as F
 
 from moodtide.functions import models
@@ -82,6 +85,25 @@ def test_word_classifier_is_naive_bayes(spark, tmp_path):
         assert r.probability == pytest.approx(1 / (1 + math.exp(-z)))
 
 
+def test_word_classifier_reads_the_texts_once_and_equals_the_estimators(spark, monkeypatch):
+    words = ["Good", "bad\u00e9", "it's", "\u01c5x", "\u0660\u0661", "--", "A_b", "\u2003z", "\u0130s", "x1"]
+    rows = [(" ".join(words[(i * k) % len(words)] for k in range(i % 9)) if i % 11 else None, i % 3 % 2 if i % 7 else None) for i in range(200)]
+    train = spark.createDataFrame(rows, "text string, label int")
+    read = spark.sparkContext.accumulator(0)
+    counted = train.rdd.map(lambda r: (read.add(1), tuple(r))[1] if r.text is not None else tuple(r)).toDF(train.schema)
+    monkeypatch.setattr(learn, "COUNTED_TEXTS", 4, raising=False)
+    model = learn.train_word_classifier(counted, min_documents=2)
+    assert read.value <= 2 * sum(t is not None for t, _ in rows)  # once for the words, once for the labels alone
+    plain = train.select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("double").alias("label")).na.drop()
+    stages = [learn._words(), CountVectorizer(inputCol="_words", outputCol="_counts", minDF=2), NaiveBayes(featuresCol="_counts", labelCol="label")]
+    expected = Pipeline(stages=stages).fit(plain)
+    assert sorted(model.stages[1].vocabulary) == sorted(expected.stages[1].vocabulary)
+    both = [sorted((r.text or "", r.probability) for r in learn.classifier_probability(m, plain).collect()) for m in (model, expected)]
+    assert both[0] == [(t, pytest.approx(p, abs=1e-12)) for t, p in both[1]]
+    with pytest.raises(ValueError, match="no word"):
+        learn.train_word_classifier(train, min_documents=1000)
+
+
 def test_predictor_equals_a_loop():
     weights = {"good": 1.5, "bad": -2.0}
     given = ["good  Bad\tgood", "", None, "x " * 600 + "good", "\n good", "bad" * 3, " "]
