@@ -28,8 +28,9 @@ from moodtide.llm.settings import bounded_batches
 
 #: Merged words that a Python worker remembers, and ids that such a word has at most; results do not depend on them.
 MEMO_WORDS, MEMO_IDS = 1 << 19, 6
-#: Bytes of texts that are split and looked up together; their pre-tokens are Python strings for a while.
-PIECE_BYTES = 1 << 20
+#: Bytes of texts that are split and looked up together, and ids that are decoded together; pre-tokens are Python strings for a
+#: while, and an id takes about 100 bytes.
+PIECE_BYTES = 1 << 18
 #: Misses that are merged over the same arrays.
 _TOGETHER = 4096
 
@@ -342,6 +343,7 @@ def encode(text: Column, ranks: bytes, pattern: str) -> Column:
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
+        release(keep="bpe")
         codec, out = Codec.of(ranks, pattern), []
         sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
         for piece in _pieces(texts, sizes):
@@ -362,6 +364,7 @@ def decode(ids: Column, ranks: bytes, pattern: str) -> Column:
 
     @F.arrow_udf("binary")
     def spelled(lists: pa.Array) -> pa.Array:
+        release(keep="bpe")
         codec, out = Codec.of(ranks, pattern), []
         for piece in _pieces(lists, pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)):
             lengths = pc.fill_null(pc.list_value_length(piece), 0).to_numpy(zero_copy_only=False)

@@ -35,6 +35,8 @@ MIN_SHARE, MIN_PART = 1e-5, 0.1
 HASHES, SLOTS_PER_GRAM = 3, 16
 #: Distinct trigrams that a training task holds before it passes its counts on; a memory bound only.
 HELD_GRAMS = 1_000_000
+#: Bytes of texts whose trigrams are looked up together; each byte takes about 120 for a while.
+TEXT_BYTES = 250_000
 UNKNOWN = "und"
 
 
@@ -81,7 +83,8 @@ def count_trigrams(labelled: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(grams), pa.string()), "gram": grams.view(np.int64), "n": n})
             held.clear()
 
-        for batch in chunks(batches):
+        release()  # what an earlier task of another operator left goes before there is more
+        for batch in chunks(batches, limit=TEXT_BYTES):
             langs = batch.column("lang").to_pylist()
             texts = batch.column("text").to_pylist()
             for lang in dict.fromkeys(langs):
@@ -153,6 +156,19 @@ def fit(labelled: DataFrame) -> Filters:
     return Filters(langs, table, fill**HASHES)
 
 
+def predict_batch(texts: pa.Array, filters: Filters) -> pa.Array:
+    """struct<lang, score> of each text of a batch."""
+    release()  # what an earlier task of another operator left goes before there is more
+    langs, scores = [], []
+    for batch in chunks([pa.RecordBatch.from_arrays([texts], ["text"])], limit=TEXT_BYTES):
+        found, score = filters.predict(batch.column(0).to_pylist())
+        langs += found
+        scores.append(score)
+    flat = np.concatenate(scores) if scores else np.zeros(0)
+    release()
+    return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(flat, pa.float64())], ["lang", "score"])
+
+
 def predict(text: Column, filters: Filters) -> Column:
     """struct<lang, score> of each text."""
 
@@ -160,14 +176,7 @@ def predict(text: Column, filters: Filters) -> Column:
 
     @F.arrow_udf("struct<lang: string, score: double>")
     def language(texts: pa.Array) -> pa.Array:
-        langs, scores = [], []
-        for batch in chunks([pa.RecordBatch.from_arrays([texts], ["text"])]):
-            found, score = filters.predict(batch.column(0).to_pylist())
-            langs += found
-            scores.append(score)
-        flat = np.concatenate(scores) if scores else np.zeros(0)
-        release()
-        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(flat, pa.float64())], ["lang", "score"])
+        return predict_batch(texts, filters)
 
     return language(text)
 

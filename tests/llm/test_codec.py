@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -71,3 +72,11 @@ def test_query_over_the_whole_table(spark):
     assert {r.doc_id for r in rows} == set(texts) and len(rows) == len(texts)
     for r in rows:
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, PUBLIC.encode_ordinary(texts[r.doc_id]))).encode()).hexdigest()
+
+
+def test_a_batch_is_encoded_and_decoded_in_small_pieces():
+    texts = pa.array(["some words, others " * 100] * 1000)
+    pieces = bpe._pieces(texts, np.full(1000, 1900))
+    assert pa.concat_arrays(pieces).equals(texts) and max(sum(map(len, p.to_pylist())) for p in pieces) < 300_000
+    ids = pa.array([[15496] * 1000] * 1000, pa.list_(pa.int32()))
+    assert max(len(p.flatten()) for p in bpe._pieces(ids, np.full(1000, 1000))) < 300_000

@@ -1,7 +1,10 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from moodtide.llm import langid, queries
+from moodtide.llm import arrays, langid, queries
 from moodtide.plans.registry import QUERIES
 
 DIR = "/root/testdata/sf0.01"
@@ -39,3 +42,20 @@ def test_many_languages_share_one_table(spark):
     rows = [(chr(ord("a") + i % 20) * 2 + chr(ord("a") + i // 2) + " " + chr(0x4E00 + i) * 3, f"l{i:02}") for i in range(30)]
     filters = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
     assert filters.predict([t for t, _ in rows])[0] == [lang for _, lang in rows]
+
+
+def test_a_batch_takes_little_memory_and_what_others_left_goes_first(monkeypatch):
+    rng = np.random.default_rng(0)
+    texts = pa.array(["".join(map(chr, rng.integers(97, 123, 2000))) for _ in range(1000)])
+    filters = langid.Filters(["x", "y"], np.zeros((1 << 10, 1), np.uint8), np.zeros(2))
+    langid._letters()
+    events = []
+    monkeypatch.setitem(arrays.KEPT, "another", lambda: events.append("forgotten"))
+    seen = langid.Filters.predict
+    monkeypatch.setattr(langid.Filters, "predict", lambda self, t: events.append("predicted") or seen(self, t))
+    tracemalloc.start()
+    assert len(langid.predict_batch(texts, filters)) == 1000
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert events[0] == "forgotten" and events.count("predicted") == 9  # 2 MB in pieces of 250,000 bytes
+    assert most < 60e6
